@@ -80,11 +80,11 @@ def rule_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def features(s) -> np.ndarray:
-    """Ratios of the counts, which a text's length doesn't move."""
+    """Square roots of ratios of the counts, which a text's length doesn't move; over one symbol a word counts as one."""
     words = np.maximum(np.asarray(s["n_words"], float), 1)
     chars = np.maximum(np.asarray(s["word_chars"], float), 1)
     part = lambda c, of: np.asarray(s[c], float) / of
-    return np.column_stack([chars / words, part("n_symbols", words), part("n_dup_lines", np.maximum(np.asarray(s["n_lines"], float), 1)), part("n_repeat_words", words), part("n_upper", chars), part("n_marks", words)])
+    return np.sqrt(np.column_stack([chars / words, np.minimum(part("n_symbols", words), 1), part("n_dup_lines", np.maximum(np.asarray(s["n_lines"], float), 1)), part("n_repeat_words", words), part("n_upper", chars), part("n_marks", words)]))
 
 
 def base_failed(s):
@@ -94,27 +94,31 @@ def base_failed(s):
 class IsolationForest:
     """Trees of random splits; ``score`` is 2 ** (-mean path length / expected length), near 1 for anomalies."""
 
-    def __init__(self, rows: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 7):
+    def __init__(self, rows: np.ndarray, box: tuple[np.ndarray, np.ndarray], trees: int = 100, sample: int = 256, seed: int = 7):
+        """``box``: least and greatest value of each feature that the splits may fall between, beyond those of ``rows``."""
         rng = np.random.default_rng(seed)
         self.sample = min(sample, len(rows))
         deepest = max(1, int(np.ceil(np.log2(max(2, self.sample)))))
-        self.trees = [self._grow(rows[rng.choice(len(rows), self.sample, replace=False)], rng, deepest) for _ in range(trees)]
+        low, high = np.minimum(box[0], rows.min(0)), np.maximum(box[1], rows.max(0))
+        self.trees = [self._grow(rows[rng.choice(len(rows), self.sample, replace=False)], low, high, rng, deepest) for _ in range(trees)]
 
     @staticmethod
     def expected(n: int) -> float:
         """Mean path length of an unsuccessful search in a binary search tree of n keys."""
         return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
-    def _grow(self, rows, rng, deepest):
-        """Arrays (feature, cut, left, right, length); a leaf has feature -1 and its path length."""
+    def _grow(self, rows, low, high, rng, deepest):
+        """Arrays (feature, cut, left, right, length); a leaf has feature -1 and its path length.
+
+        A split falls anywhere in the node's box, not only between its rows: where no row lies, the path ends at once.
+        """
         nodes: list[list[float]] = []
-        todo = [(rows, 0, -1, 0)]
+        todo = [(rows, low, high, 0, -1, 0)]
         while todo:
-            part, depth, parent, side = todo.pop()
+            part, low, high, depth, parent, side = todo.pop()
             me = len(nodes)
             if parent >= 0:
                 nodes[parent][2 + side] = me
-            low, high = part.min(0), part.max(0)
             usable = np.flatnonzero(high > low)
             if depth >= deepest or len(part) < 2 or not len(usable):
                 nodes.append([-1, 0, 0, 0, depth + self.expected(len(part))])
@@ -123,7 +127,9 @@ class IsolationForest:
             cut = rng.uniform(low[f], high[f])
             nodes.append([f, cut, 0, 0, 0])
             below = part[:, f] < cut
-            todo += [(part[below], depth + 1, me, 0), (part[~below], depth + 1, me, 1)]
+            left_high, right_low = high.copy(), low.copy()
+            left_high[f] = right_low[f] = cut
+            todo += [(part[below], low, left_high, depth + 1, me, 0), (part[~below], right_low, high, depth + 1, me, 1)]
         a = np.array(nodes)
         return a[:, 0].astype(int), a[:, 1], a[:, 2].astype(int), a[:, 3].astype(int), a[:, 4]
 
@@ -163,7 +169,10 @@ def fit_quality(stats: DataFrame, labels: DataFrame, trees: int = 100, sample: i
     rows = known.where("quality = 1").orderBy(F.xxhash64("doc_id"), *STATS).limit(bound).toPandas()
     if len(rows) < 2:
         return QualityModel(None, 1.0)
-    forest = IsolationForest(features(rows), trees, sample)
+    # The box spans all labelled rows' counts per word or character; a ratio's range is one row of figures.
+    spread = known.mapInPandas(lambda parts: (pd.DataFrame(features(p), columns=[f"f{k}" for k in range(6)]) for p in parts if len(p)), ", ".join(f"f{k} double" for k in range(6)))
+    ends = spread.agg(*(g(f"f{k}") for g in (F.min, F.max) for k in range(6))).first()
+    forest = IsolationForest(features(rows), (np.array(ends[:6]), np.array(ends[6:])), trees, sample)
 
     def scores(parts):
         for p in parts:
