@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import orc_tokens, packing, quality, token_count
+from lexspark.llm import line_dedup, orc_tokens, packing, parity_join, quality, token_count
 from lexspark.llm.shared import fresh_path
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -28,6 +28,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly_score")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "n_lines", "n_deleted_lines", "n_deleted_words")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
 
@@ -36,6 +41,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE)))
 
 
+def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-ids")
     orc_tokens.write_token_ids(table(spark, sf_dir, "documents"), path, tokenizer_path(BYTE_BPE))
@@ -44,8 +53,10 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_line_dedup": op3_line_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
+    "op9_parity_join": op9_parity_join,
     "op10_orc_tokens": op10_orc_tokens,
 }
 
