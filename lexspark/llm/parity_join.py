@@ -8,9 +8,9 @@ sets agree in some block of the band of the larger one. Documents are joined on
 filtered by the Hamming distance of 1024-bit sketches, then verified on their exact sets.
 
 Documents with equal sets form one class and are joined once. A group that shares a block isn't expanded into pairs:
-its members are first verified against the member that shares most blocks with others; what then lies in one component
-needs no further pairs, and only pairs across components are verified in a second round, so that no link between
-components is lost.
+its members are first verified against the member that shares most blocks with others. A group that then lies in one
+component needs no more. Of the others, small ones are expanded into pairs across components, and large ones compared in
+chunks, so that no link that connects components is lost.
 
 Defined cases: null or empty texts, and texts without words, have no shingles and link with nothing; a text with fewer
 words than a shingle is one shingle; repeated rows and copies get the same component; the component of documents is its
@@ -21,6 +21,7 @@ named columns are read.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ from lexspark.llm.shared import record_batch, slices, stored, texts_of
 from lexspark.llm.shingles import mix, shingle_sets
 
 BLOCK_BITS = 256
+#: Open groups of at most FEW members are expanded into pairs, larger ones compared in chunks of about CHUNK members.
+FEW, CHUNK = 8, 256
 _SIGNATURE = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("cid", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 _SET = pa.schema([("cid", pa.int64()), ("members", pa.binary())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -138,6 +141,56 @@ def linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
     return near.join(of("a"), "a").join(of("b"), "b").mapInArrow(verify, "a long, b long")
 
 
+def links_in_clusters(groups: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what is linked within large groups (columns cid, leader, root).
+
+    Groups that overlap form a cluster, so that a pair is looked at once however many blocks it shares. The members are
+    dealt into chunks of about ``CHUNK``; a task gets two chunks, compares their sketches in a block, verifies
+    what passes on the exact sets and returns the links of a spanning forest.
+    """
+    nodes = groups.select("cid", "leader", "root").distinct()
+    cluster = components(nodes.select(F.col("cid").alias("a"), F.col("leader").alias("b"))).select(F.col("node").alias("cid"), F.col("root").alias("cluster"))
+    members = nodes.groupBy("cid").agg(F.min("root").alias("root")).join(cluster, "cid")
+    chunks = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    dealt = (members.join(chunks, "cluster").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
+             .join(classes.select("cid", "n_shingles", "sketch"), "cid").join(sets, "cid")
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+             .withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")}))
+
+    def forest(rows):
+        n = rows["n_shingles"].to_numpy()
+        sketch = np.array(rows["sketch"].tolist(), np.int64).view(np.uint64).reshape(len(n), -1)
+        exact = [np.frombuffer(m, np.uint64) for m in rows["members"]]
+        chunk, cid = rows["chunk"].to_numpy(), rows["cid"].to_numpy()
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in above:
+                above[x] = x = above.get(above[x], above[x])
+            return x
+
+        found = []
+        roots = rows["root"].tolist()
+        one_chunk = rows["low"].iloc[0] == rows["high"].iloc[0]
+        for i in range(len(n) - 1):
+            rest = slice(i + 1, None)
+            total = n[i] + n[rest]
+            apart = np.bitwise_count(sketch[i] ^ sketch[rest]).sum(axis=1)
+            passed = (apart <= total * (100 - percent) // (100 + percent)) & (100 * np.minimum(n[i], n[rest]) >= percent * np.maximum(n[i], n[rest]))
+            if not one_chunk:
+                passed &= chunk[rest] != chunk[i]  # pairs within a chunk have a task of their own
+            for j in (np.flatnonzero(passed) + i + 1).tolist():
+                x, y = top(roots[i]), top(roots[j])
+                if x != y:
+                    both = len(np.intersect1d(exact[i], exact[j], assume_unique=True))
+                    if 100 * both >= percent * (n[i] + n[j] - both):
+                        above[x] = y
+                        found.append((cid[i], cid[j]))
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return dealt.groupBy("cluster", "low", "high").applyInPandas(forest, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, th (hash of the text), n_shingles, component_id."""
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("th"))
@@ -150,20 +203,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     shared = stored(shared, "shared-blocks")
     # The member that meets most others leads its group.
     fame = shared.groupBy("cid").agg(F.sum("size").alias("fame"))
-    groups = shared.select("key", "cid").join(fame, "cid")
-    leaders = groups.groupBy("key").agg(F.max_by("cid", F.struct("fame", "cid")).alias("leader"))
-    led = stored(groups.join(leaders, "key").select("key", "cid", "leader"), "led-groups")
+    groups = shared.join(fame, "cid")
+    leaders = groups.groupBy("key").agg(F.max_by("cid", F.struct("fame", "cid")).alias("leader"), F.count(F.lit(1)).alias("members"))
+    led = stored(groups.join(leaders, "key").select("key", "cid", "leader", "members"), "led-groups")
     classes = stored(keyed.join(fame.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.min_by(F.struct("doc_id", "th", "n_shingles", "sketch"), F.struct("doc_id", "th")).alias("r")).select("cid", "r.*"), "classes")
     sets = stored(exact_sets(docs, classes.select("cid", F.col("doc_id").alias("w_doc_id"), F.col("th").alias("w_th")), words).dropDuplicates(["cid"]), "sets")
 
     first = stored(linked(led.where("cid <> leader").select(F.col("cid").alias("a"), F.col("leader").alias("b")).distinct(), classes, sets, percent), "links")
-    roots = stored(components(first), "roots")
-    rooted = led.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    leading = led.where("cid = leader").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("key", F.coalesce("root", "cid").alias("leader_root"))
-    others = rooted.join(leading, "key").where("root <> leader_root").select("key", F.col("cid").alias("a"), F.col("root").alias("root_a"))
-    across = (others.join(rooted.select("key", F.col("cid").alias("b"), F.col("root").alias("root_b"), "leader"), "key")
-              .where("root_a <> root_b and b <> leader").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = stored(first.union(linked(across, classes, sets, percent)), "links")
+    roots = components(first).withColumnRenamed("node", "cid")
+    rooted = stored(led.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "rooted-groups")
+    # Only groups that still hold several components need more pairs.
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    open_groups = stored(rooted.join(mixed, "key"), "open-groups")
+    few, many = open_groups.where(F.col("members") <= FEW), open_groups.where(F.col("members") > FEW)
+    side = lambda x: few.select("key", F.col("cid").alias(x), F.col("root").alias(f"root_{x}"))
+    across = side("a").join(side("b"), "key").where("root_a <> root_b and a < b").select("a", "b").distinct()
+    links = stored(first.union(linked(across, classes, sets, percent)).union(links_in_clusters(many, classes, sets, percent)), "links")
 
     firsts = signed.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first"))
     named = components(links).withColumnRenamed("node", "cid").join(firsts, "cid")
