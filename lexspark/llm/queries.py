@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import line_dedup, orc_tokens, packing, parity_join, quality, token_count
+from lexspark.llm import ann_tree, html_paths, line_dedup, orc_tokens, packing, parity_join, quality, token_count
 from lexspark.llm.shared import fresh_path
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -41,6 +41,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE)))
 
 
+def op6_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann_tree.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op8_html_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_paths.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
@@ -56,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
+    "op6_ann_tree": op6_ann_tree,
+    "op8_html_paths": op8_html_paths,
     "op9_parity_join": op9_parity_join,
     "op10_orc_tokens": op10_orc_tokens,
 }
