@@ -41,11 +41,11 @@ class ChunkCache:
             self.head.clear()
             self.body.clear()
         parts = [split_chunks(t) for t in texts]
-        heads, bodies = {p[0] for p in parts} - self.head.keys(), set()
+        bodies: set[str] = set()
         for p in parts:
             bodies.update(p[1:])
-        bodies -= self.body.keys()
-        new_heads, new_bodies = list(heads), list(bodies)
+        new_heads = [c for c in {p[0] for p in parts} if c not in self.head]
+        new_bodies = [c for c in bodies if c not in self.body]
         found = self.compute(new_heads + [" " + c for c in new_bodies])
         self.head.update(zip(new_heads, found))
         self.body.update(zip(new_bodies, found[len(new_heads):]))

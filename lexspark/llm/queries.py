@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import ann_tree, html_paths, line_dedup, orc_tokens, packing, parity_join, quality, token_count
+from lexspark.llm import ann_tree, html_paths, katz, line_dedup, orc_tokens, packing, parity_join, quality, token_count, unigram_pieces
 from lexspark.llm.shared import fresh_path
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,6 +29,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly_score")
 
 
+def op2_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram_pieces.piece_digests(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", "n_lines", "n_deleted_lines", "n_deleted_words")
@@ -46,6 +51,10 @@ def op6_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_tree.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op7_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_html_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_paths.extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -62,10 +71,12 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_unigram_pieces": op2_unigram_pieces,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
     "op6_ann_tree": op6_ann_tree,
+    "op7_katz_backoff": op7_katz_backoff,
     "op8_html_paths": op8_html_paths,
     "op9_parity_join": op9_parity_join,
     "op10_orc_tokens": op10_orc_tokens,

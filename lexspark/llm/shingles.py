@@ -27,9 +27,8 @@ class WordHashes:
         new: set[bytes] = set()
         for words in texts:
             new.update(words)
-        new -= self.known.keys()
         digest = xxhash.xxh3_64_intdigest
-        self.known.update((w, digest(w)) for w in new)
+        self.known.update((w, digest(w)) for w in new if w not in self.known)
         get = self.known.__getitem__
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         return np.fromiter((h for words in texts for h in map(get, words)), np.uint64, int(sizes.sum())), sizes
