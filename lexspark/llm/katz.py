@@ -3,7 +3,8 @@
 A bigram model with unigram backoff over words and one end token per text; the first token's context is the start:
 
 * counts r <= 5 are discounted by Good-Turing (d = (r*/r - q) / (1 - q) with r* = (r+1) n[r+1] / n[r] and
-  q = 6 n[6] / n[1]); where the counts of counts allow none, half a count is taken off every count instead;
+  q = 6 n[6] / n[1]); a count whose factor isn't between 0 and 1 isn't discounted, and where no count can be, half a
+  count is taken off every count instead;
 * unigram: d c(w) / N, and what the discounts free is the probability of the unknown token (any word not in training);
 * bigram: d c(v,w) / c(v) if (v, w) is in training, else alpha(v) times the unigram probability, with
   alpha(v) = (1 - sum of d c(v,w) / c(v)) / (1 - sum of P(w)) over the words w seen after v, so that the probabilities
@@ -152,14 +153,11 @@ class Discounts:
     def __init__(self, n: np.ndarray):
         self.turing = np.ones(GOOD_TURING + 1)
         self.usable = False
-        if (n[1 : GOOD_TURING + 2] > 0).all():
-            r = np.arange(1, GOOD_TURING + 1)
-            q = (GOOD_TURING + 1) * n[GOOD_TURING + 1] / n[1]
-            star = (r + 1) * n[2 : GOOD_TURING + 2] / n[1 : GOOD_TURING + 1]
-            if q < 1:
-                d = (star / r - q) / (1 - q)
-                if ((d > 0) & (d < 1)).all():
-                    self.turing[1:], self.usable = d, True
+        if n[1] > 0 and (q := (GOOD_TURING + 1) * n[GOOD_TURING + 1] / n[1]) < 1:
+            r, here, above = np.arange(1, GOOD_TURING + 1), n[1 : GOOD_TURING + 1], n[2 : GOOD_TURING + 2]
+            d = ((r + 1) * above / np.maximum(here, 1) / r - q) / (1 - q)
+            self.turing[1:] = np.where((here > 0) & (d > 0) & (d <= 1), d, 1.0)
+            self.usable = bool(((self.turing[1:] < 1) & (here > 0)).any())
 
     def of(self, counts: np.ndarray) -> np.ndarray:
         if self.usable:
