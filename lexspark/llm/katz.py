@@ -296,7 +296,8 @@ def score_texts(docs: DataFrame, bucket_tokens: int = 2_000_000, id_col: str = "
             kinds = np.zeros((len(b.contexts), GOOD_TURING + 2), np.int64)
             np.add.at(kinds, (b.seen_context, r), 1)
             out += [(int(b.contexts[k : k + 1].view(np.int64)[0]), kinds[k].tolist(), float(mass[k]), float(p[k])) for k in spread]
-        return pd.DataFrame(out, columns=["context", "kinds", "mass", "freed_from"]).astype({"context": "Int64"})
+        context, kinds, mass, freed_from = zip(*out)
+        return pd.DataFrame({"context": pd.array(context, dtype="Int64"), "kinds": kinds, "mass": mass, "freed_from": freed_from})
 
     found = by_bucket.applyInPandas(count, "context long, kinds array<long>, mass double, freed_from double")
     kinds = [F.sum(F.col("kinds")[k]).alias(f"k{k}") for k in range(GOOD_TURING + 2)]
