@@ -267,9 +267,13 @@ def score_texts(docs: DataFrame, bucket_tokens: int = 2_000_000, id_col: str = "
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    chunks = stored(token_chunks(docs), "token-chunks")
+    # Both tables are bucketed by what they are read by, so that the corpus itself isn't shuffled.
+    corpus = f"token_chunks_{uuid.uuid4().hex}"
+    token_chunks(docs).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").format("parquet").saveAsTable(corpus)
+    chunks = spark.table(corpus)
     size = chunks.agg(F.sum("entries"), F.sum("tokens"), F.sum("trained")).first()
     if size[1] is None:
+        spark.sql(f"DROP TABLE {corpus}")
         return spark.createDataFrame([], RESULT)
     totals = stored(word_totals(chunks, max(8, size[0] // bucket_tokens)), "word-totals")
     # One small row per part of the vocabulary.
@@ -347,4 +351,5 @@ def score_texts(docs: DataFrame, bucket_tokens: int = 2_000_000, id_col: str = "
 
     result = stored(own.join(scored, "chunk").select("payload", "sums").mapInArrow(texts, RESULT), "scores")
     spark.sql(f"DROP TABLE {name}")
+    spark.sql(f"DROP TABLE {corpus}")
     return result
