@@ -211,3 +211,5 @@ def upsert_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ORACLE_SQL: dict[str, str] = {k: v for k, v in SQL.items() if k in QUERIES}
+#: Queries without SQL; their tests compare them with brute force.
+WITHOUT_SQL = sorted(set(QUERIES) - set(ORACLE_SQL))
