@@ -42,6 +42,7 @@ from lexspark.llm.shingles import mix
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 GOOD_TURING = 5
+FIXED = 2.0**32  # sums of parts of a text travel as whole multiples of 2 ** -32
 END, START = 0, np.uint64(0x517CC1B727220A95)  # the end token is number 0 of every chunk
 _END_HASH = np.uint64(0x2127599BF4325C37)
 _CHUNK = pa.schema([("chunk", pa.int64()), ("entries", pa.int64()), ("tokens", pa.int64()), ("trained", pa.int64()), ("docs", pa.binary()), ("words", pa.binary()), ("stream", pa.binary())])
@@ -286,6 +287,7 @@ def score_texts(docs: DataFrame, bucket_tokens: int = 2_000_000, id_col: str = "
     by_chunk = totals.where("chunk >= 0").groupBy("chunk").agg(F.collect_list("totals").alias("totals"))
     name = f"bigrams_{uuid.uuid4().hex}"
     bigram_rows(chunks.join(by_chunk, "chunk"), unigrams, buckets, spread_over, starts).write.bucketBy(buckets, "bucket").format("parquet").saveAsTable(name)
+    spark.sql(f"DROP TABLE {corpus}")  # from here on only the bigrams are read
     table = spark.table(name)
     by_bucket = table.where("bucket >= 0").select("bucket", "chunk", "payload").groupBy("bucket")
 
@@ -331,7 +333,9 @@ def score_texts(docs: DataFrame, bucket_tokens: int = 2_000_000, id_col: str = "
         value = np.where(b.count > 0, known, other)
         out, at = [], 0
         for chunk, doc, k in zip(rows["chunk"], b.docs, b.sizes):
-            out.append((chunk, squeezed(doc_ := np.unique(doc), np.bincount(doc, value[at : at + k])[doc_])))
+            doc_ = np.unique(doc)
+            fixed = np.round(np.bincount(doc, value[at : at + k])[doc_] * FIXED).astype(np.int64)
+            out.append((chunk, squeezed(np.diff(doc_, prepend=np.uint32(0)), fixed)))
             at += k
         return pd.DataFrame(out, columns=["chunk", "sums"])
 
@@ -344,12 +348,11 @@ def score_texts(docs: DataFrame, bucket_tokens: int = 2_000_000, id_col: str = "
                 doc_id, null, length, train, known, base = unsqueezed(row["payload"])
                 value = np.zeros(len(doc_id))
                 for x in row["sums"]:
-                    doc, part = unsqueezed(x)
-                    value[doc] += part
+                    steps, part = unsqueezed(x)
+                    value[np.cumsum(steps)] += part / FIXED
                 columns = [pa.array(doc_id, mask=null), pa.array(~train), pa.array(length.astype(np.int64)), pa.array(known), pa.array(np.full(len(doc_id), tokens)), pa.array(base), pa.array(value)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     result = stored(own.join(scored, "chunk").select("payload", "sums").mapInArrow(texts, RESULT), "scores")
     spark.sql(f"DROP TABLE {name}")
-    spark.sql(f"DROP TABLE {corpus}")
     return result
