@@ -2,10 +2,16 @@
 
 The hash of each shingle flips one bit of a document's sketch, so the Hamming distance of two sketches never exceeds
 the size of the symmetric difference of their sets. Two sets of sizes a and b with a similarity of t percent differ in
-at most D = (a + b)(100 - t) / (100 + t) shingles. Sizes are cut into bands so that sets which can link lie in the same
-band or in neighbouring ones; each band has sketches of D + 1 blocks of 256 bits, and by the pigeonhole principle linked
-sets agree in some block of the band of the larger one. Documents are joined on (band, block, bits), candidates are first
-filtered by the Hamming distance of 1024-bit sketches, then verified on their exact sets.
+at most (a + b)(100 - t) / (100 + t) shingles. A band holds the sizes from a power of two up to the next one. Its sketches
+have half as many blocks again as sets of the band may differ in, each of 65,536 bits. A document has a sketch for its own
+band and for each higher one that a set linked with it can lie in.
+
+Each differing shingle changes at most one block. If a document may differ from linked ones of the band in D shingles and has
+bits in u > D blocks, at least u - D of these agree with those of a linked set. So of its blocks, in an order that all
+documents share, the first D + 1 are enough: the first block in which both agree is among them. The order puts blocks with more
+bits first, as they agree by chance least. A document with bits in at most D blocks gives them all, empty ones too.
+Documents are joined on (band, block, bits), candidates are first filtered by the Hamming distance of one small sketch
+each, then verified on their exact sets.
 
 Documents with equal sets form one class and are joined once. A group that shares a block isn't expanded into pairs:
 its members are first verified against the member that shares most blocks with others. A group that then lies in one
@@ -30,7 +36,7 @@ from lexspark.llm.components import components
 from lexspark.llm.shared import record_batch, slices, stored, texts_of
 from lexspark.llm.shingles import mix, shingle_sets
 
-BLOCK_BITS = 256
+BLOCK_BITS = 16
 #: Open groups of at most FEW members are expanded into pairs, larger ones compared in chunks of about CHUNK members.
 FEW, CHUNK = 8, 256
 _SIGNATURE = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("cid", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
@@ -38,36 +44,36 @@ _SET = pa.schema([("cid", pa.int64()), ("members", pa.binary())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def band_starts(percent: int, up_to: int) -> list[int]:
-    """First sizes of the bands: a set can only link with sets of its own band and the next ones up or down."""
-    starts = [1]
-    while starts[-1] <= up_to:
-        starts.append(100 * starts[-1] // percent + 1)
-    return starts
-
-
 def most_different(a: int, b: int, percent: int) -> int:
     """Largest symmetric difference of linked sets of these sizes."""
     return (a + b) * (100 - percent) // (100 + percent)
 
 
-def block_keys(members: np.ndarray, band: int, starts: list[int], percent: int) -> np.ndarray:
-    """A 64-bit key for each block of the band's parity sketch."""
-    blocks = most_different(starts[band + 1] - 1, starts[band + 1] - 1, percent) + 1
+def block_keys(members: np.ndarray, band: int, percent: int) -> np.ndarray:
+    """64-bit keys of the blocks by which the set meets those of the band that it can link with."""
+    n, top = len(members), (2 << band) - 1
+    differ = most_different(n, min(top, 100 * n // percent), percent)
+    blocks = 3 * (most_different(top, top, percent) + 1) // 2
     block = ((members >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-    place = block.astype(np.int64) * BLOCK_BITS + (members & np.uint64(BLOCK_BITS - 1)).astype(np.int64)
-    bits = np.packbits((np.bincount(place, minlength=blocks * BLOCK_BITS) & 1).astype(np.uint8)).view(np.uint64).reshape(blocks, BLOCK_BITS // 64)
+    place, times = np.unique((block << np.uint64(BLOCK_BITS)) | (members & np.uint64((1 << BLOCK_BITS) - 1)), return_counts=True)
+    place = place[(times & 1).astype(bool)]  # the bits that are set
+    used, first, bits = np.unique(place >> np.uint64(BLOCK_BITS), return_index=True, return_counts=True)
     with np.errstate(over="ignore"):
-        key = mix(np.arange(blocks, dtype=np.uint64) + np.uint64(band) * np.uint64(0x9E3779B97F4A7C15))
-        for part in bits.T:
-            key = mix(key * np.uint64(31) + part)
-    return key.view(np.int64)
+        salt = np.uint64(band) * np.uint64(0x9E3779B97F4A7C15)
+        key = mix(mix(used + salt) + np.add.reduceat(mix(place), first)) if len(used) else used
+        if len(used) > differ:
+            return key[np.lexsort((key, -bits))[: differ + 1]].view(np.int64)
+        empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), used)
+        return np.concatenate([key, mix(mix(empty + salt))]).view(np.int64)
+
 
+def size_sketch(members: np.ndarray) -> np.ndarray:
+    """A parity sketch as 64-bit numbers; as many bits as the power of two from 0.6 times the set's size on, 128 at least.
 
-def small_sketch(members: np.ndarray) -> np.ndarray:
-    """A parity sketch of 1024 bits as 16 numbers, comparable between any two documents."""
-    place = ((members >> np.uint64(16)) & np.uint64(1023)).astype(np.int64)
-    return np.packbits((np.bincount(place, minlength=1024) & 1).astype(np.uint8)).view(np.int64)
+    A wider sketch folds to a narrower one: numbers whose places are equal modulo the narrower width are XORed."""
+    width = max(128, 1 << (6 * len(members) // 10).bit_length())
+    place = ((members >> np.uint64(16)) & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=width) & 1).astype(np.uint8)).view(np.int64)
 
 
 def class_id(members: np.ndarray) -> int:
@@ -83,7 +89,6 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def sign(batches):
         seen: set[int] = set()
-        starts = band_starts(percent, 1000)
         for b in slices(batches):
             out: dict[str, list] = {f.name: [] for f in _SIGNATURE}
             for members in shingle_sets(texts_of(b), words):
@@ -92,13 +97,9 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     cid = class_id(members)
                     if cid not in seen:
                         seen.add(cid)
-                        if n >= starts[-1]:
-                            starts = band_starts(percent, 2 * n)
-                        band = int(np.searchsorted(starts, n, "right")) - 1
-                        if band + 2 >= len(starts):
-                            starts = band_starts(percent, 4 * n)
-                        keys = np.concatenate([block_keys(members, k, starts, percent) for k in (band, band + 1)])
-                        sketch = small_sketch(members)
+                        bands = range(n.bit_length() - 1, (100 * n // percent).bit_length())
+                        keys = np.concatenate([block_keys(members, band, percent) for band in bands])
+                        sketch = size_sketch(members)
                 out["n_shingles"].append(n)
                 out["cid"].append(cid)
                 out["keys"].append(keys)
@@ -122,7 +123,9 @@ def exact_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 def linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets have the wanted similarity."""
     side = lambda x: classes.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    both_widths = "least(size(s_a), size(s_b))"
+    folded = lambda x: F.expr(f"if(size({x}) = {both_widths}, {x}, transform(sequence(0, {both_widths} - 1), i -> aggregate(sequence(i, size({x}) - 1, {both_widths}), 0L, (acc, j) -> acc ^ {x}[j])))")
+    apart = F.aggregate(F.zip_with(folded("s_a"), folded("s_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
     near = (pairs.join(side("a"), "a").join(side("b"), "b")
             .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
             .where(apart <= F.expr(f"(n_a + n_b) * {100 - percent} div {100 + percent}")).select("a", "b"))
@@ -158,8 +161,9 @@ def links_in_clusters(groups: DataFrame, classes: DataFrame, sets: DataFrame, pe
              .withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")}))
 
     def forest(rows):
+        rows = rows.sort_values("n_shingles")  # widths of sketches grow with it
         n = rows["n_shingles"].to_numpy()
-        sketch = np.array(rows["sketch"].tolist(), np.int64).view(np.uint64).reshape(len(n), -1)
+        wide = [np.asarray(x, np.int64).view(np.uint64) for x in rows["sketch"]]
         exact = [np.frombuffer(m, np.uint64) for m in rows["members"]]
         chunk, cid = rows["chunk"].to_numpy(), rows["cid"].to_numpy()
         above: dict[int, int] = {}
@@ -172,10 +176,14 @@ def links_in_clusters(groups: DataFrame, classes: DataFrame, sets: DataFrame, pe
         found = []
         roots = rows["root"].tolist()
         one_chunk = rows["low"].iloc[0] == rows["high"].iloc[0]
+        width = 0
         for i in range(len(n) - 1):
-            rest = slice(i + 1, None)
+            if len(wide[i]) != width:  # from here on all are at least as wide
+                width, base = len(wide[i]), i
+                sketch = np.array([np.bitwise_xor.reduce(x.reshape(-1, width)) for x in wide[i:]])
+            rest = slice(i + 1, int(np.searchsorted(n, 100 * n[i] // percent, "right")))
             total = n[i] + n[rest]
-            apart = np.bitwise_count(sketch[i] ^ sketch[rest]).sum(axis=1)
+            apart = np.bitwise_count(sketch[i - base] ^ sketch[rest.start - base : rest.stop - base]).sum(axis=1)
             passed = (apart <= total * (100 - percent) // (100 + percent)) & (100 * np.minimum(n[i], n[rest]) >= percent * np.maximum(n[i], n[rest]))
             if not one_chunk:
                 passed &= chunk[rest] != chunk[i]  # pairs within a chunk have a task of their own

@@ -350,9 +350,15 @@ def test_parity_join_large_group(spark):
 
 
 def test_one_of_each(edge):
-    kept = [(r.doc_id, r.text) for r in parity_join.one_of_each(edge).collect()]
-    assert sorted(i for i, t in kept if i is not None) == [1, 2, 3, 4, 5, 7, 7, 8, 10, 11, 12, 13, 14, 15] or len(kept) < len(EDGE)
-    assert (9, LONG) not in kept and (8, LONG) in kept
+    """Of each component the smallest doc_id stays, and every row without words."""
+    first = {}
+    for doc, _, component in jaccard_brute(EDGE, 5, 80):
+        first.setdefault(component, doc)
+    kept = collections.Counter((r.doc_id, r.text) for r in parity_join.one_of_each(edge).collect())
+    words = [(i, t) for i, t in EDGE if (t or "").encode().split()]
+    assert collections.Counter({k: n for k, n in kept.items() if not (k[1] or "").encode().split()}) == collections.Counter((i, t) for i, t in EDGE if not (t or "").encode().split())
+    assert all(kept[k] <= 1 for k in words)
+    assert {i for i, t in kept if (t or "").encode().split()} == {c for (_, n, c) in jaccard_brute(EDGE, 5, 80) if n}
 
 
 def test_hamming_is_a_lower_bound():
@@ -360,5 +366,24 @@ def test_hamming_is_a_lower_bound():
     for _ in range(50):
         a = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
         b = np.unique(np.concatenate([a[:280], rng.integers(0, 2**63, 15).astype(np.uint64)]))
-        apart = np.bitwise_count(parity_join.small_sketch(a).view(np.uint64) ^ parity_join.small_sketch(b).view(np.uint64)).sum()
+        x, y = parity_join.size_sketch(a).view(np.uint64), parity_join.size_sketch(b).view(np.uint64)
+        width = min(len(x), len(y))
+        apart = np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, width)) ^ np.bitwise_xor.reduce(y.reshape(-1, width))).sum()
         assert apart <= len(np.setxor1d(a, b))
+
+
+def test_linked_sets_share_a_block():
+    """Sets as different as links may be, of every size up to 300 and of sizes in neighbouring bands."""
+    rng = np.random.default_rng(2)
+    for percent in (80, 90):
+        for n in [*range(1, 300), 1023, 1500, 2047]:
+            pool = np.unique(rng.integers(0, 2**64, 2 * n + 20, dtype=np.uint64))
+            rng.shuffle(pool)
+            gone = int(rng.integers(0, n * (100 - percent) // 100 + 1))
+            more = max(0, (100 * (n - gone)) // percent - n)
+            a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[gone:n], pool[n : n + more]]))
+            both = len(np.intersect1d(a, b))
+            if not len(b) or 100 * both < percent * (len(a) + len(b) - both):
+                continue
+            keys = [set().union(*(parity_join.block_keys(x, k, percent).tolist() for k in range(len(x).bit_length() - 1, (100 * len(x) // percent).bit_length()))) for x in (a, b)]
+            assert keys[0] & keys[1], (percent, n, gone, more)
