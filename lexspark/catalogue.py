@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from lexspark.functions import refs, text
 from lexspark.operators import citations, graph, search, structure, tfidf, usage
 from lexspark.plans.oracle import SQL
-from lexspark.sources import adapters
+from lexspark.sources import adapters, formex
 from lexspark.sources.adapters import table
+from lexspark.streaming import usage as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -210,6 +211,51 @@ def upsert_merge(spark: SparkSession, sf: str) -> DataFrame:
     return stored.join(updates, "c_custkey", "full").select("c_custkey", F.coalesce("new_name", "old_name").alias("name"), F.coalesce("new_state", "old_state").alias("state"))
 
 
+@register
+def ref_parse_external(spark: SparkSession, sf: str) -> DataFrame:
+    """References as documents have them: 95/46, 1612/68/EEC, 2016/679, 300/2008."""
+    target = "case o_orderkey % 4 when 0 then concat(lpad(o_orderkey % 100, 2, '0'), '/', o_custkey % 1000) when 1 then concat(1000 + o_custkey % 1100, '/', o_orderkey % 100, '/EEC') when 2 then concat(1950 + o_orderkey % 70, '/', o_custkey) else concat(100 + o_custkey % 900, '/', 1990 + o_orderkey % 30) end"
+    year, number = refs.external_year_number(col("target"))
+    return table(spark, sf, "orders").select("o_orderkey", F.expr(target).alias("target")).select("o_orderkey", year.alias("year"), number.alias("number"))
+
+
+@register
+def query_rewrite(spark: SparkSession, sf: str) -> DataFrame:
+    asked = list(search.QUERY_REWRITES)
+    pick = F.element_at(F.array(*map(F.lit, [*asked, "data act"])), (col("event_id") % (len(asked) + 1) + 1).cast("int"))
+    return table(spark, sf, "events").select("event_id", pick.alias("q")).select("event_id", search.rewritten(col("q")).alias("query"))
+
+
+@register
+def oj_ambiguity(spark: SparkSession, sf: str) -> DataFrame:
+    records = adapters.registry(spark, sf).select(F.substring("celex", 2, 4).alias("year"), F.expr("cast(ord % 50 as string)").alias("number"), "type")
+    numbers = table(spark, sf, "orders").select("o_orderkey", F.expr("cast(1980 + o_orderkey % 50 as string)").alias("year"), F.expr("cast(o_custkey % 60 as string)").alias("number"))
+    return search.act_types_of(numbers, records)
+
+
+@register
+def xref_extract(spark: SparkSession, sf: str) -> DataFrame:
+    said = "concat('See Articles ', o_orderkey % 40, ' to ', o_orderkey % 40 + o_custkey % 9, ', article ', o_custkey % 30, ' and Articles ', o_custkey % 7, ' and ', o_custkey % 7 + 3)"
+    found = table(spark, sf, "orders").select("o_orderkey", F.posexplode(refs.article_mentions(F.expr(said))).alias("ord", "m"))
+    return found.select("o_orderkey", col("ord").cast("long").alias("ord"), "m.first", "m.last")
+
+
+@register
+def parse_formex(spark: SparkSession, sf: str) -> DataFrame:
+    return formex.parsed(adapters.formex_acts(spark, sf)).select("doc_id", "kind", "ordinal", "number", "text")
+
+
+@register
+def stream_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """Closed days of the request stream, read to its present end."""
+    return streams.drained(streams.daily_counts(streams.requests(spark, sf)), "daily")
+
+
+@register
+def stream_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
+    return streams.drained(streams.rate_limited(streams.requests(spark, sf)), "rate-limit")
+
+
 ORACLE_SQL: dict[str, str] = {k: v for k, v in SQL.items() if k in QUERIES}
 #: Queries without SQL; their tests compare them with brute force.
 WITHOUT_SQL = sorted(set(QUERIES) - set(ORACLE_SQL))

@@ -108,3 +108,20 @@ def url_class(url: Column) -> Column:
 
 def truncated_ip(ip: Column) -> Column:
     return F.regexp_replace(ip, r"^(\d+\.\d+\.\d+)\.\d+$", "$1.0")
+
+
+def external_year_number(target: Column) -> tuple[Column, Column]:
+    """Year and number of a reference in a document: a part of four digits is the year (the first one before the second),
+    else the first part is a two-digit year; parts of three digits have no year."""
+    whole = r"(?i)^(\d{2,4})/(\d+)(?:/[A-Z]+)?$"
+    a, b = first_match(target, whole, 1), first_match(target, whole, 2)
+    year = F.when(F.length(a) == 4, a).when(F.length(b) == 4, b).when(F.length(a) == 2, full_year(a))
+    number = F.when(F.length(a) == 4, b).when(F.length(b) == 4, a).when(F.length(a) == 2, b)
+    return year, number
+
+
+def article_mentions(text: Column) -> Column:
+    """(first, last) of every mention of an article or of a range of articles; ``and`` makes a range too."""
+    pattern = F.lit(r"(?i)\barticles?\s+(\d+)(?:\s+(?:to|and)\s+(\d+))?")
+    firsts, lasts = F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2))
+    return F.zip_with(firsts, lasts, lambda a, b: F.struct(a.try_cast("long").alias("first"), F.coalesce(b.try_cast("long"), a.try_cast("long")).alias("last")))

@@ -140,3 +140,16 @@ def resolved(references: DataFrame, records: DataFrame) -> DataFrame:
 
 def last_per_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__r = 1").drop("__r")
+
+
+def rewritten(query: Column) -> Column:
+    """The query that stands for a shorthand, else the query itself."""
+    known = F.create_map(*(F.lit(x) for pair in QUERY_REWRITES.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, text.normalized(query)), query)
+
+
+def act_types_of(numbers: DataFrame, records: DataFrame) -> DataFrame:
+    """Journal numbers (year, number) probed as every act type: accepted if exactly one has a record."""
+    hits = records.groupBy("year", "number").agg(F.countDistinct("type").alias("n"), F.min("type").alias("type"))
+    state = F.when(F.col("n") == 1, "accepted").when(F.col("n") > 1, "ambiguous").otherwise("none")
+    return numbers.join(hits, ["year", "number"], "left").select(*numbers.columns, state.alias("state"), F.when(F.col("n") == 1, F.col("type")).alias("type"))

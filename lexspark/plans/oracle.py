@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lexspark.functions.refs import ACT_CELEX
 from lexspark.functions.text import ACRONYM_STOPWORDS, STOPWORDS_EN
+from lexspark.operators.search import QUERY_REWRITES
 
 
 def words(values) -> str:
@@ -110,4 +111,13 @@ SQL: dict[str, str] = {
     "top_searches": f"with {REQUESTS} select q, n from (select q, count(*) as n, min(id) as f from requests where status < 500 group by 1) order by n desc, f limit 20",
     "recency_islands": f"with {REQUESTS}, d as (select *, strftime(ts, '%Y-%m-%d') as day from requests), c as (select *, case when lag(day) over (partition by user_id order by ts, id) = day then 0 else 1 end as ch from d), i as (select *, sum(ch) over (partition by user_id order by ts, id rows unbounded preceding) as island from c) select user_id, island, day, count(*) as n from i group by 1, 2, 3",
     "upsert_merge": "select c_custkey, c_name as name, case when c_custkey % 3 = 0 then 'new' else 'old' end as state from customer",
+    "ref_parse_external": """with c as (select o_orderkey, case o_orderkey % 4 when 0 then lpad((o_orderkey % 100)::varchar, 2, '0') || '/' || (o_custkey % 1000) when 1 then (1000 + o_custkey % 1100) || '/' || (o_orderkey % 100) || '/EEC'
+ when 2 then (1950 + o_orderkey % 70) || '/' || o_custkey else (100 + o_custkey % 900) || '/' || (1990 + o_orderkey % 30) end as t from orders), p as (select o_orderkey, string_split(t, '/')[1] as a, string_split(t, '/')[2] as b from c)
+ select o_orderkey, case when length(a) = 4 then a when length(b) = 4 then b when length(a) = 2 then (case when a::int >= 50 then 1900 else 2000 end + a::int)::varchar end as year, case when length(a) = 4 then b when length(b) = 4 then a when length(a) = 2 then b end as number from p""",
+    "query_rewrite": f"select event_id, [{words([*QUERY_REWRITES.values(), 'data act'])}][event_id % {len(QUERY_REWRITES) + 1} + 1] as query from events",
+    "oj_ambiguity": f"""with {REGISTRY}, h as (select substr(celex, 2, 4) as year, (ord % 50)::varchar as number, count(distinct type) as n, min(type) as t from registry group by 1, 2), o as (select o_orderkey, (1980 + o_orderkey % 50)::varchar as year, (o_custkey % 60)::varchar as number from orders)
+ select o_orderkey, year, number, case when n = 1 then 'accepted' when n > 1 then 'ambiguous' else 'none' end as state, case when n = 1 then t end as type from o left join h using (year, number)""",
+    "xref_extract": """with o as (select o_orderkey, o_orderkey % 40 as a, o_custkey % 9 as d, o_custkey % 30 as b, o_custkey % 7 as c from orders)
+ select o_orderkey, 0 as ord, a as "first", a + d as "last" from o union all select o_orderkey, 1, b, b from o union all select o_orderkey, 2, c, c + 3 from o""",
+    "parse_formex": f"with {UNITS} select doc_id, kind, ord as ordinal, ord::varchar as number, trim(regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '[ \\t\\r\\n]+', ' ', 'g'), ' ') as text from units",
 }

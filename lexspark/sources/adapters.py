@@ -52,3 +52,16 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graph edges: law, act, kind, date."""
     kind = F.expr("case l_returnflag when 'A' then 'amends' when 'N' then 'implements' else 'interprets' end")
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("law"), F.col("l_partkey").alias("act"), kind.alias("kind"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), F.col("l_linenumber").alias("ord"))
+
+
+def formex_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a Formex act: the first half of its lines are recitals, the second articles."""
+    clean = F.regexp_replace("text", r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]", "")
+    for mark, written in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        clean = F.replace(clean, F.lit(mark), F.lit(written))
+    recital = "'<CONSID><NP><NO.P>(' || (i + 1) || ')</NO.P><TXT>' || x || '</TXT></NP></CONSID>'"
+    article = "'<ARTICLE><TI.ART>Article ' || (i + 1) || '</TI.ART><PARAG><ALINEA>' || x || '</ALINEA></PARAG></ARTICLE>'"
+    parts = lambda of, plan: f"array_join(transform({of}, (x, i) -> {plan}), '')"
+    xml = f"""'<ACT><PREAMBLE><GR.CONSID>' || {parts("slice(lines, 1, size(lines) div 2)", recital)} || '</GR.CONSID></PREAMBLE><ENACTING.TERMS>'
+     || {parts("slice(lines, size(lines) div 2 + 1, size(lines))", article)} || '</ENACTING.TERMS></ACT>'"""
+    return table(spark, sf_dir, "documents").select("doc_id", F.split(clean, "\n").alias("lines")).select("doc_id", F.expr(xml).alias("xml"))

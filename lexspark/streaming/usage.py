@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import tempfile
+import uuid
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,3 +34,23 @@ def rate_limited(stream: DataFrame, window_seconds: int = 900, most: int = 100)
         state.update((start, n))
 
     return stream.select("ip", "id", "ts").groupBy("ip").applyInPandasWithState(step, "ip string, id long, place long, allowed boolean", "start double, n long", "append", "NoTimeout")
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request log as a stream: id, ts, user_id, ip."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    log = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque*")
+    return log.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "user_id", F.expr("concat('10.', user_id % 256, '.', event_id % 256, '.0')").alias("ip"))
+
+
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """Run ``stream`` over all that is there now and return what it wrote.
+
+    Output and checkpoint lie in the shared folder of the cluster, so that a lost executor or driver resumes from there.
+    """
+    spark = stream.sparkSession
+    home = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lexspark-streams-")
+    path = f"{home.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
