@@ -30,7 +30,7 @@ class ChunkCache:
 
     LONG = 64
 
-    def __init__(self, compute, limit: int = 600_000):
+    def __init__(self, compute, limit: int = 250_000):
         self.compute, self.limit = compute, limit
         self.head: dict = {}
         self.body: dict = {}

@@ -16,7 +16,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, kept while they fit."""
 
-    def __init__(self, limit: int = 700_000):
+    def __init__(self, limit: int = 250_000):
         self.known: dict[bytes, int] = {}
         self.limit = limit
 
