@@ -1,18 +1,18 @@
 """Operator 3: line dedup by winnowing over line hashes.
 
-The lines with a word are hashed. Every two neighbouring lines make a line-gram; of each window of ``window`` line-grams
-the least hash is selected as a fingerprint, so that any run of ``window + 1`` lines that occurs twice shares one, and a
-line of ``min_words`` words or more is a fingerprint by itself. Each fingerprint is joined with its first occurrence, in
-the order of (doc_id, text hash, line); from there the match is extended line by line both ways. Lines that such matches
-reach are repeated; stretches of repeated lines with ``min_words`` words or more are deleted. First occurrences stay.
+The lines with a word are hashed. From each line the shortest stretch of lines that has ``min_words`` words is taken, ahead
+and back; each stretch is a fingerprint (winnowing with a window of one, so none is passed over). A stretch is the
+shortest one wherever its lines occur, so equal stretches always meet. Each is joined with its first occurrence, in the
+order of (doc_id, text hash, line); the lines of all others are repeated and deleted. Any line of a repeated run of
+``min_words`` words or more lies in such a stretch within the run: in the one that ends with the line or, where the run
+has too few words up to there, in the one that begins the run. So exactly the lines of runs that begin earlier too go.
 
-Every occurrence is joined with the first one only, so a passage in a third of all documents gives one match each. With
-the default window of two, what can stay behind are repeats of exactly two lines that are both shorter than
-``min_words``, and the outermost line of a run whose fingerprints occurred first elsewhere without it.
+Every occurrence is joined with the first one only, so a passage in a third of all documents gives one match each.
 
 Defined cases: null and empty texts have no lines and stay as they are; rows with the same doc_id and the same text count
 as one document and are treated alike, rows with the same doc_id and another text as two; a repeat within one document
-loses its later part; an empty table gives an empty table; all other columns are passed on, whatever
+loses its later part, also where the two overlap; each deleted line stays at an earlier place; stretches are compared by
+64-bit hashes; an empty table gives an empty table; all other columns are passed on, whatever
 their names, but for the three that are added, which replace columns of these names.
 """
 
@@ -28,8 +28,9 @@ from pyspark.sql import types as T
 from lexspark.llm.shared import record_batch, slices, stored, texts_of
 from lexspark.llm.shingles import mix
 
-_LINES = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("hashes", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("prints", pa.list_(pa.int64()))])
-_RUNS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("runs", pa.list_(pa.int32()))])
+_STRETCHES = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.list_(pa.int32())), ("end", pa.list_(pa.int32())), ("prints", pa.list_(pa.int64()))])
+#: Odd, so that it has an inverse.
+_BASE = 0x9E3779B97F4A7C15
 
 
 def word_lines(text: str) -> list[tuple[int, str]]:
@@ -45,31 +46,22 @@ def n_words(line: str) -> int:
     return len(line.encode().split())
 
 
-def fingerprints(hashes: np.ndarray, words: list[int], window: int, min_words: int) -> tuple[list[int], list[int]]:
-    """Places and hashes of the selected line-grams and long lines."""
+def powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64))])
+
+
+def fingerprints(hashes: np.ndarray, words: list[int], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First line, end and hash of the shortest stretches of ``min_words`` words that begin or end with each line."""
+    n, least = len(hashes), max(1, min_words)
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)]).astype(np.int64)
+    ends, firsts = np.searchsorted(total, total[:-1] + least), np.searchsorted(total, total[1:] - least, "right") - 1
+    ahead, back = np.flatnonzero(ends <= n), np.flatnonzero(firsts >= 0)
+    both = np.concatenate([ahead * (n + 1) + ends[ahead], firsts[back] * (n + 1) + back + 1])
+    first, end = np.divmod(np.unique(both), n + 1)
     with np.errstate(over="ignore"):
-        grams = mix(mix(hashes[:-1]) * np.uint64(31) + hashes[1:])
-        single = mix(hashes ^ np.uint64(0x2545F4914F6CDD1D))
-    chosen = {}
-    for i in range(max(1, len(grams) - window + 1) if len(grams) else 0):
-        j = i + int(np.argmin(grams[i : i + window]))
-        chosen[j, 0] = grams[j]
-    for i, n in enumerate(words):
-        if n >= min_words:
-            chosen[i, 1] = single[i]
-    return [i for i, _ in chosen], [int(np.int64(np.uint64(h).astype(np.int64))) for h in chosen.values()]
-
-
-def extended(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
-    """The largest run of ``a`` around i that equals the run of ``b`` around j, as (first, end)."""
-    back = min(i, j)
-    low = i
-    if back:
-        differs = np.flatnonzero(a[i - back : i][::-1] != b[j - back : j][::-1])
-        low = i - (int(differs[0]) if len(differs) else back)
-    ahead = min(len(a) - i, len(b) - j)
-    differs = np.flatnonzero(a[i : i + ahead] != b[j : j + ahead])
-    return low, i + (int(differs[0]) if len(differs) else ahead)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * powers(_BASE, n)[:n], dtype=np.uint64)])
+        prints = mix((sums[end] - sums[first]) * powers(pow(_BASE, -1, 1 << 64), n)[first] + (end - first).astype(np.uint64))
+    return first, end, prints.view(np.int64)
 
 
 def without_repeats(text: str, runs: list[int], min_words: int) -> tuple[str, int, int, int]:
@@ -93,54 +85,31 @@ def without_repeats(text: str, runs: list[int], min_words: int) -> tuple[str, in
     return "\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else text, len(lines), lost_lines, lost_words
 
 
-def repeated_runs(docs: DataFrame, window: int, min_words: int) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, th, runs): line ranges that occur earlier, numbers first, end, first, end, ..."""
 
-    def hash_lines(batches):
+    def stretches_of(batches):
         for b in slices(batches):
-            out: dict[str, list] = {"hashes": [], "at": [], "prints": []}
+            out: dict[str, list] = {"at": [], "end": [], "prints": []}
             for t in texts_of(b):
                 lines = [x for _, x in word_lines(t)]
-                hashes = line_hashes(lines)
-                at, prints = fingerprints(hashes, list(map(n_words, lines)), window, min_words)
-                for k, v in zip(out, (hashes.view(np.int64), at, prints)):
+                for k, v in zip(out, fingerprints(line_hashes(lines), list(map(n_words, lines)), min_words)):
                     out[k].append(v)
-            yield record_batch(out | {"doc_id": b.column("doc_id"), "th": b.column("th")}, _LINES)
+            yield record_batch(out | {"doc_id": b.column("doc_id"), "th": b.column("th")}, _STRETCHES)
 
-    lines = stored(docs.mapInArrow(hash_lines, "doc_id long, th long, hashes array<long>, at array<int>, prints array<long>").where("size(hashes) > 0").dropDuplicates(["doc_id", "th"]), "line-hashes")
-    prints = lines.select("doc_id", "th", F.explode(F.arrays_zip("at", "prints")).alias("p")).select("doc_id", "th", F.col("p.at").alias("at"), F.col("p.prints").alias("print"))
+    stretches = stored(docs.mapInArrow(stretches_of, "doc_id long, th long, at array<int>, end array<int>, prints array<long>").where("size(prints) > 0").dropDuplicates(["doc_id", "th"]), "line-hashes")
+    prints = stretches.select("doc_id", "th", F.explode(F.arrays_zip("at", "end", "prints")).alias("p")).select("doc_id", "th", F.col("p.at").alias("at"), F.col("p.end").alias("end"), F.col("p.prints").alias("print"))
     place = F.struct("doc_id", "th", "at")
     firsts = prints.groupBy("print").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    matches = (prints.join(firsts, "print").where(~place.eqNullSafe(F.col("first")))
-               .groupBy("doc_id", "th", F.col("first.doc_id").alias("doc_0"), F.col("first.th").alias("th_0"))
-               .agg(F.collect_list(F.struct(F.col("at").alias("i"), F.col("first.at").alias("j"))).alias("pairs")))
-    own, other = lines.select("doc_id", "th", F.col("hashes").alias("a")), lines.select(F.col("doc_id").alias("o_id"), F.col("th").alias("o_th"), F.col("hashes").alias("b"))
-    both = matches.join(own.withColumnsRenamed({"doc_id": "a_id", "th": "a_th"}), (F.col("doc_id").eqNullSafe(F.col("a_id"))) & (F.col("th") == F.col("a_th"))).join(other, F.col("doc_0").eqNullSafe(F.col("o_id")) & (F.col("th_0") == F.col("o_th")))
-
-    def extend(batches):
-        for b in batches:
-            runs = []
-            for a, o, pairs in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("pairs").to_pylist()):
-                a, o, found, reached = np.array(a), np.array(o), [], {}
-                for p in sorted(pairs, key=lambda p: p["i"]):
-                    i, j = p["i"], p["j"]
-                    if reached.get(i - j, -1) > i:  # an earlier match on this diagonal covers it
-                        continue
-                    s, e = extended(a, o, i, j)
-                    reached[i - j] = e
-                    found += [s, e]
-                runs.append(found)
-            yield record_batch({"doc_id": b.column("doc_id"), "th": b.column("th"), "runs": runs}, _RUNS)
-
-    found = both.select("doc_id", "th", "a", "b", "pairs").mapInArrow(extend, "doc_id long, th long, runs array<int>")
-    return found.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-
-
-def dedup_lines(docs: DataFrame, window: int = 2, min_words: int = 50) -> DataFrame:
+    found = prints.join(firsts, "print").where(~place.eqNullSafe(F.col("first")))
+    return found.groupBy("doc_id", "th").agg(F.flatten(F.collect_list(F.array("at", "end"))).alias("runs"))
+
+
+def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """``docs`` (with doc_id and text) with repeated passages deleted from text, and the columns n_lines,
     n_deleted_lines and n_deleted_words added (in place of any so named)."""
     slim = docs.select(docs.doc_id.cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    runs = repeated_runs(slim, window, min_words)
+    runs = repeated_runs(slim, min_words)
     runs = runs.select(F.col("doc_id").alias("__run_id"), F.col("th").alias("__run_th"), F.col("runs").alias("__runs"))
     joined = docs.join(runs, docs.doc_id.cast("long").eqNullSafe(F.col("__run_id")) & (F.xxhash64(docs.text) == F.col("__run_th")), "left").drop("__run_id", "__run_th")
     names = [n for n in docs.columns if n not in ("n_lines", "n_deleted_lines", "n_deleted_words")]

@@ -137,6 +137,33 @@ def test_line_dedup_leaves_no_long_repeat(documents, texts):
     assert all(x.strip() in kept for t in texts.values() for x in t.split("\n"))
 
 
+def line_dedup_brute(docs, min_words=50):
+    """doc_id -> text without the lines of runs of min_words words or more that begin earlier too."""
+    seen, out = set(), {}
+    for i, text in sorted(docs):
+        lines, gone = text.split("\n"), set()
+        for s, e in itertools.combinations(range(len(lines) + 1), 2):
+            if sum(len(x.split()) for x in lines[s:e]) >= min_words:
+                run = tuple(lines[s:e])
+                gone |= set(range(s, e)) if run in seen else set()
+                seen.add(run)
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_line_dedup_finds_all_runs(spark):
+    line = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    a, b, c, d = line("a", 29), line("b", 28), line("c", 20), line("d", 9)
+    docs = [(1, f"{line('o', 9)}\n{a}\n{b}\n{line('p', 9)}"), (2, f"{line('q', 9)}\n{a}\n{b}\n{line('r', 9)}"),  # two short lines
+            (3, f"{c}\n{d}\n{line('s', 9)}"), (4, f"{c}\n{d}\n{line('t', 30)}\n{line('u', 9)}"), (5, f"{line('v', 9)}\n{c}\n{d}\n{line('t', 30)}\n{line('x', 9)}")]
+    random = np.random.default_rng(1)
+    stock = [line(f"k{k}_", n) for k, n in enumerate([5, 11, 18, 25, 35, 49, 50, 60])]
+    docs += [(10 + i, "\n".join(stock[k] for k in random.integers(0, len(stock), random.integers(1, 9)))) for i in range(60)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, docs)).collect()}
+    assert got == line_dedup_brute(docs)
+    assert got[2] == f"{line('q', 9)}\n{line('r', 9)}" and got[5] == f"{line('v', 9)}\n{line('x', 9)}"
+
+
 def test_token_counts(edge, documents):
     from tokenizers import Tokenizer
 
