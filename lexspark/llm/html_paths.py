@@ -3,9 +3,12 @@
 A page is walked once. Each text node belongs to a block and has a root-to-leaf tag path. Per path the text length, the
 link text and the punctuation are summed; the text-to-tag ratio and the punctuation-to-tag ratio of the paths are smoothed
 over the neighbouring blocks, fused by multiplication, and compared with a threshold drawn from the page's own scores.
-Blocks of paths above it are content. The content region is the element that holds most of the content's text (an
-``article`` or ``main`` if there is one); all its blocks are returned, whatever their own length, but for subtrees that
-by tag, role, class or id are menus, headers, footers, sidebars, notices, adverts, forms, scripts or reader comments.
+Blocks of paths above it are content. Names are added evidence only: subtrees that by role, class or id are menus,
+headers, footers, sidebars, notices, adverts or reader comments go, unless less than a fifth of the content's text would
+be left; then the names of the subtree that holds most of it don't count. Of ``main`` and ``article`` elements the ones
+that hold more of the content's text are the region, if they hold a third of it; else the region is the deepest element
+that holds nearly all of it, and content beside it is returned too. All blocks of the region are returned, whatever their
+own length, but for elements that never hold content (forms, scripts, navigation and the like).
 
 Defined cases: null, empty and tag-less html give what text they have ('' if none) with n_chars 0 where there is none;
 repeated rows and ties are extracted each by itself; an empty table gives an empty table; only page_id, url and html are
@@ -45,10 +48,11 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "excluded", "header")
+    __slots__ = ("tag", "parent", "excluded", "named")
 
-    def __init__(self, tag, parent, excluded, header=False):
-        self.tag, self.parent, self.excluded, self.header = tag, parent, excluded, header
+    def __init__(self, tag, parent, excluded, named=False):
+        """``excluded``: never content; ``named``: its own class, id or role says that it isn't."""
+        self.tag, self.parent, self.excluded, self.named = tag, parent, excluded, named
 
 
 class Block:
@@ -103,7 +107,7 @@ def blocks_of(page: str) -> list[Block]:
                 e = here
                 while e.tag and e.tag not in BLOCKS:
                     e = e.parent
-                current = Block(e if not here.excluded else here)
+                current = Block(e if not here.excluded and not here.named else here)
                 out.append(current)
             decoded = html.unescape(text)
             current.parts.append(decoded)
@@ -121,7 +125,7 @@ def blocks_of(page: str) -> list[Block]:
                 if tag == "p":
                     current = None
                 continue
-            if tag in BLOCKS or e.excluded != e.parent.excluded:
+            if tag in BLOCKS or e.excluded != e.parent.excluded or e.named:
                 close_to(e.parent)
             else:
                 here = e.parent
@@ -137,12 +141,14 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in BLOCKS:
             open_block(tag)
-        excluded = here.excluded or tag in NEVER or bool(attributes) and tag not in ("html", "body", "article", "main") and (names_boilerplate(attributes) or bool(_HIDDEN.search(attributes)))
+        judged = bool(attributes) and tag not in ("html", "body", "article", "main")
+        excluded = here.excluded or tag in NEVER or judged and bool(_HIDDEN.search(attributes))
+        named = judged and not excluded and names_boilerplate(attributes)
         if tag == "header" and not inside(here, ("article", "main")):
             excluded = True
-        if excluded and not here.excluded:
+        if named or excluded and not here.excluded:
             current = None
-        here = Element(tag, here, excluded)
+        here = Element(tag, here, excluded, named and not excluded)
         link_depth += tag == "a"
         if tag in RAW or tag in ("noscript", "template", "iframe"):
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -187,17 +193,45 @@ def path_scores(blocks: list[Block], texts: list[str]) -> np.ndarray:
     return np.minimum(smooth(ratio), ratio) * smooth(points)
 
 
+def content_blocks(blocks: list[Block], texts: list[str]) -> np.ndarray:
+    """Which blocks are content by their paths' scores: the threshold is a share of the scores' deviation."""
+    scores = path_scores(blocks, texts)
+    content = scores >= max(0.8 * scores.std(), 1e-9)
+    return content if content.any() else np.ones(len(blocks), bool)
+
+
+def named_elements(blocks: list[Block], texts: list[str], content: np.ndarray) -> set[int]:
+    """Elements whose names count as evidence against them."""
+    chains = [[id(e) for e in ancestors(b.element) if e.named] for b in blocks]
+    against = {i for chain in chains for i in chain}
+    total = sum(len(t) for t, ok in zip(texts, content) if ok)
+    while against:
+        held: dict[int, int] = {}
+        left = 0
+        for chain, t, ok in zip(chains, texts, content):
+            own = [i for i in chain if i in against]
+            if ok and own:
+                held[own[-1]] = held.get(own[-1], 0) + len(t)
+            elif ok:
+                left += len(t)
+        if left >= 0.2 * total or not held:
+            break
+        against.discard(max(held, key=held.get))
+    return against
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page; blocks are joined by newlines."""
     found = [(b, t) for b in blocks_of(page or "") if not b.element.excluded and (t := b.text())]
     if not found:
         return ""
     blocks, texts = [b for b, _ in found], [t for _, t in found]
-    scores = path_scores(blocks, texts)
-    content = scores >= max(scores.mean() - scores.std(), 1e-9) if len(scores) > 1 else np.ones(1, bool)
-    if not content.any():
-        content[:] = True
-    # The region: the deepest element that still holds nearly all of the content; article or main before others.
+    against = named_elements(blocks, texts, content_blocks(blocks, texts))
+    found = [(b, t) for b, t in found if against.isdisjoint(map(id, ancestors(b.element)))]
+    if not found:
+        return ""
+    blocks, texts = [b for b, _ in found], [t for _, t in found]
+    content = content_blocks(blocks, texts)
     held: dict[int, float] = {}
     known: dict[int, Element] = {}
     total = 0.0
@@ -207,12 +241,19 @@ def main_text(page: str | None) -> str:
             for e in ancestors(b.element):
                 held[id(e)] = held.get(id(e), 0) + len(t)
                 known[id(e)] = e
-    named = [i for i, e in known.items() if e.tag == "article" and not inside(e.parent, ("article",))] or [i for i, e in known.items() if e.tag == "main"]
-    if named:
-        region = {i for i in named if held[i] >= 0.2 * max(held[k] for k in named)}
+    hold = lambda region: sum(held[i] for i in region)
+    articles = {i for i, e in known.items() if e.tag == "article" and not inside(e.parent, ("article",))}
+    mains = {i for i, e in known.items() if e.tag == "main" and not inside(e.parent, ("article", "main"))}
+    within = {i for i in articles if inside(known[i].parent, ("main",))}
+    if mains and hold(mains) >= hold(articles - within):
+        region = within if hold(within) >= 0.9 * hold(mains) else mains
+    else:
+        region = articles - within
+    if hold(region) >= total / 3:
+        content[:] = False
     else:
         region = {max((i for i in held if held[i] >= 0.9 * total and known[i].tag not in ("p", "li", "h1", "h2", "h3")), key=lambda i: len(ancestors(known[i])))}
-    return "\n".join(t for b, t in found if any(id(e) in region for e in ancestors(b.element)))
+    return "\n".join(t for (b, t), ok in zip(found, content) if ok or any(id(e) in region for e in ancestors(b.element)))
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

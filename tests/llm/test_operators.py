@@ -330,6 +330,20 @@ def test_main_text_layouts(spark):
     assert html_paths.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).count() == 4
 
 
+def test_main_text_of_other_layouts():
+    body = [f"Paragraph {k} of the body, with a sentence, and another one; it goes on for a while." for k in range(6)]
+    paragraphs = "".join(f"<p>{x}</p>" for x in body)
+    teaser = "<article><p>A teaser, with some text of its own.</p></article>"
+    whole = "\n".join(body)
+    assert html_paths.main_text(f"<body><main>{paragraphs}</main>{teaser}</body>") == whole
+    assert html_paths.main_text(f"<body><div class='page has-sidebar'><div>{paragraphs}</div><div class='sidebar'><p>Side, text.</p></div></div></body>") == whole
+    assert html_paths.main_text(f"<body><article>{paragraphs}</article><article><p>A short one, but whole.</p></article></body>") == f"{whole}\nA short one, but whole."
+    assert html_paths.main_text(f"<body><div>{paragraphs}</div>{teaser}</body>").startswith(whole)
+    assert html_paths.main_text(f"<body><div>{paragraphs * 2}</div><section><p>{body[0]}</p></section></body>") == f"{whole}\n{whole}\n{body[0]}"
+    assert html_paths.main_text(f"<body><div><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></div><div>{paragraphs}</div><div><span>Imprint</span></div></body>") == whole
+    assert html_paths.main_text(f"<body><article>{paragraphs}</article><div class=comments>{paragraphs * 2}</div></body>") == whole
+
+
 def jaccard_brute(docs, k, percent):
     rows = [(i, (t or "").translate(LOWER)) for i, t in docs]
     sets = []
