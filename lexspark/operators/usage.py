@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,17 +47,20 @@ def pruned(entries: DataFrame, keep: int, by: str) -> DataFrame:
 def rate_limited(requests: DataFrame, window_seconds: int = 900, most: int = 100, by: str = "ip") -> DataFrame:
     """Fixed windows that start with the first request of a client: per request its place in the window and whether it is allowed.
 
-    The window's start depends on all earlier windows, so a client's requests are folded in order, as pandas arrays.
+    The window's start depends on all earlier windows, so a client's requests are folded in order; only the open window is
+    carried from one Arrow batch to the next, however many requests a client has.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "id"])
-        start, n, places = None, 0, []
-        for t in rows["ts"]:
-            if start is None or (t - start).total_seconds() > window_seconds:
-                start, n = t, 0
-            n += 1
-            places.append(n)
-        return pd.DataFrame({by: rows[by], "id": rows["id"], "place": places, "allowed": [p <= most for p in places]})
-
-    return requests.select(by, "id", "ts").groupBy(by).applyInPandas(fold, f"{by} string, id long, place long, allowed boolean")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client, start, n = None, None, 0
+        for rows in batches:
+            places = []
+            for c, t in zip(rows[by], rows["ts"]):
+                if start is None or c != client and not (pd.isna(c) and pd.isna(client)) or (t - start).total_seconds() > window_seconds:
+                    client, start, n = c, t, 0
+                n += 1
+                places.append(n)
+            yield pd.DataFrame({by: rows[by], "id": rows["id"], "place": places, "allowed": [p <= most for p in places]})
+
+    in_order = requests.select(by, "id", "ts").repartition(by).sortWithinPartitions(by, F.asc_nulls_last("ts"), F.asc_nulls_last("id"))
+    return in_order.mapInPandas(fold, f"{by} string, id long, place long, allowed boolean")

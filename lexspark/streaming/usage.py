@@ -18,19 +18,22 @@ def daily_counts(stream: DataFrame, lateness: str = "1 day") -> DataFrame:
 
 
 def rate_limited(stream: DataFrame, window_seconds: int = 900, most: int = 100) -> DataFrame:
-    """The rate limiter with state per client: start of the window and requests in it."""
+    """The rate limiter with state per client: start of the window and requests in it.
+
+    A client's requests of one micro-batch are held together (time and id only) and folded in the order of time; a request
+    that comes with a later micro-batch counts from where the earlier ones ended.
+    """
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         start, n = state.get if state.exists else (None, 0)
-        for rows in batches:
-            rows = rows.sort_values(["ts", "id"])
-            places = []
-            for t in rows["ts"].map(lambda x: x.timestamp()):
-                if start is None or t - start > window_seconds:
-                    start, n = t, 0
-                n += 1
-                places.append(n)
-            yield pd.DataFrame({"ip": key[0], "id": rows["id"], "place": places, "allowed": [p <= most for p in places]})
+        rows = pd.concat([b[["ts", "id"]] for b in batches]).sort_values(["ts", "id"])
+        places = []
+        for t in rows["ts"].map(lambda x: x.timestamp()):
+            if start is None or t - start > window_seconds:
+                start, n = t, 0
+            n += 1
+            places.append(n)
+        yield pd.DataFrame({"ip": key[0], "id": rows["id"], "place": places, "allowed": [p <= most for p in places]})
         state.update((start, n))
 
     return stream.select("ip", "id", "ts").groupBy("ip").applyInPandasWithState(step, "ip string, id long, place long, allowed boolean", "start double, n long", "append", "NoTimeout")

@@ -7,8 +7,9 @@ from datetime import timedelta
 import pytest
 
 from lexspark import catalogue
-from lexspark.operators import search
+from lexspark.operators import search, usage
 from lexspark.sources import adapters, formex
+from lexspark.streaming import usage as streams
 
 ACT = """<ACT><PREAMBLE><GR.CONSID><CONSID><NP><NO.P>(1)</NO.P><TXT>Whereas <HT TYPE="ITALIC">this</HT> holds.</TXT></NP></CONSID>
 <CONSID><NP><TXT>No number.</TXT></NP></CONSID></GR.CONSID></PREAMBLE><ENACTING.TERMS>
@@ -71,6 +72,16 @@ def test_rate_limits(spark, sf_dir):
         assert got == {k: (p, p <= 100) for k, p in expected.items()}
 
 
+def test_rate_limits_of_a_large_client(spark, tmp_path):
+    """25,000 requests, nearly all of one client, out of order."""
+    log = spark.range(25_000).selectExpr("id", "timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id * 7919 % 25000) as ts", "if(id % 5000 = 0, '10.0.1.0', '10.0.0.0') as ip")
+    log.repartition(3).write.parquet(str(tmp_path / "log"))
+    expected = {k: (p, p <= 100) for k, p in places(log.collect()).items()}
+    stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "log"))
+    for got in (usage.rate_limited(log), streams.drained(streams.rate_limited(stream), "large-client")):
+        assert {r.id: (r.place, r.allowed) for r in got.collect()} == expected
+
+
 def test_closed_days(spark, sf_dir):
     batch = {r.day: r.n_requests for r in catalogue.QUERIES["daily_usage"](spark, sf_dir).collect()}
     closed = {r.day: r.n_requests for r in catalogue.QUERIES["stream_daily"](spark, sf_dir).collect()}
