@@ -13,8 +13,13 @@ from pyspark.sql import functions as F
 
 
 def daily_counts(stream: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Requests per closed day; late rows beyond the watermark don't count."""
-    return stream.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day")).agg(F.count(F.lit(1)).alias("n_requests"), F.approx_count_distinct("user_id").alias("n_users")).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n_requests", "n_users")
+    """Requests and addresses per closed day, both exact; late rows beyond the watermark don't count.
+
+    The state has a row per day and address, until the day is closed.
+    """
+    per_ip = stream.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day"), "ip").agg(F.count(F.lit(1)).alias("n"))
+    per_day = per_ip.groupBy(F.window(F.window_time("window"), "1 day").alias("day")).agg(F.sum("n").alias("n_requests"), F.count("ip").alias("n_ips"))
+    return per_day.select(F.date_format("day.start", "yyyy-MM-dd").alias("day"), "n_requests", "n_ips")
 
 
 def rate_limited(stream: DataFrame, window_seconds: int = 900, most: int = 100) -> DataFrame:

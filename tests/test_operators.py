@@ -88,6 +88,17 @@ def test_closed_days(spark, sf_dir):
     assert closed and closed.items() <= batch.items() and len(batch) - len(closed) <= 2
 
 
+def test_closed_days_count_addresses(spark, tmp_path):
+    """Closed days equal the batch report, where addresses are many and users few; no day is closed before its watermark."""
+    days = spark.range(20_000).selectExpr("id", "timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, id % 4, 0, 0, id % 86400) as ts", "id % 7 as user_id", "if(id % 100 = 0, null, concat('10.', id % 4000, '.0')) as ip")
+    days.repartition(3).write.parquet(str(tmp_path / "log"))
+    expected = {tuple(r) for r in usage.daily(days).collect()}
+    stream = spark.readStream.schema(days.schema).parquet(str(tmp_path / "log"))
+    assert streams.drained(streams.daily_counts(stream, "10 days"), "open-days").count() == 0
+    got = [tuple(r) for r in streams.drained(streams.daily_counts(stream), "days").collect()]
+    assert len(got) == len(set(got)) >= 2 and set(got) <= expected
+
+
 @pytest.mark.parametrize("name", catalogue.WITHOUT_SQL)
 def test_runs(spark, sf_dir, name):
     assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
