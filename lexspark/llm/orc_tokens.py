@@ -29,24 +29,27 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("range_no", pa.int32()), ("range_st
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("range_no", pa.int32()), ("range_start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, stripe_mb: int = 64, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the ids of ``docs`` to ``path`` in ascending doc_id order."""
-    end = end_id.to_bytes(4, "little")
+def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, stripe_mb: int = 64, range_bytes: int = 128 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write the ids of ``docs`` to ``path`` in ascending doc_id order; a file gets about ``range_bytes`` of text at most."""
 
     def encode(batches):
         number, start = TaskContext.get().partitionId(), 0
-        for b in slices(batches, 2_000_000):
-            blobs = [x + end for x in encode_ids(texts_of(b), tokenizer_path)]
-            n = np.fromiter((len(x) // 4 for x in blobs), np.int64, len(blobs))
-            ends = np.concatenate([[0], np.cumsum(n)])
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(blobs), "<i4")))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(blobs), number, np.int32)), pa.array(start + ends[:-1]), pa.array(n), ids], schema=_ARROW)
+        for b in slices(batches, 8_000_000):
+            flat, stops = encode_ids(texts_of(b), tokenizer_path)
+            flat = np.insert(flat.view("<i4"), stops, end_id)
+            ends = np.concatenate([[0], stops + np.arange(1, len(stops) + 1)])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(stops), number, np.int32)), pa.array(start + ends[:-1]), pa.array(np.diff(ends)), ids], schema=_ARROW)
             start += int(ends[-1])
 
     spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-     .repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), F.length("text"))
+    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
+    # Ranges go by text hash and a fixed random number too, so that many rows of one doc_id, or of none, aren't one range.
+    order = ["doc_id", "hash", "salt"]
+    (docs.withColumns({"hash": F.xxhash64("text"), "salt": F.rand(11)})
+     .repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "text")
      .mapInArrow(encode, SCHEMA)
      .write.option("orc.stripe.size", stripe_mb << 20).option("orc.bloom.filter.columns", "doc_id").option("orc.create.index", "true").option("orc.compress", "ZSTD").orc(path))
 

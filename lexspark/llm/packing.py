@@ -113,9 +113,10 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
             for at in range(0, len(done), 512):
                 yield emit(done[at : at + 512])
 
-        for b in slices(batches):
-            for doc, ids in zip(b.column("doc_id").to_pylist(), encode_ids(texts_of(b), tokenizer_path)):
-                ids += end
+        for b in slices(batches, 8_000_000):
+            flat, ends = encode_ids(texts_of(b), tokenizer_path)
+            for doc, first, stop in zip(b.column("doc_id").to_pylist(), [0, *ends.tolist()], ends.tolist()):
+                ids = flat[first:stop].tobytes() + end
                 total = len(ids) // 4
                 cut = total - total % size
                 full += [[(doc, at, ids[4 * at : 4 * (at + size)], total)] for at in range(0, cut, size)]

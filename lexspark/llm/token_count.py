@@ -14,27 +14,17 @@ from __future__ import annotations
 import heapq
 import json
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexspark.llm.chunks import ChunkCache
+from lexspark.llm.chunks import ChunkCache, byte_alphabet, text_chunks
 from lexspark.llm.shared import record_batch, slices, texts_of
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
 
-def byte_alphabet() -> dict[str, str]:
-    """Byte-level BPE writes bytes as printable characters; this maps each back to the character of its byte."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    table, extra = {chr(b): chr(b) for b in shown}, 0
-    for b in range(256):
-        if b not in shown:
-            table[chr(256 + extra)] = chr(b)
-            extra += 1
-    return table
-
-
 def count_merged(symbols, ranks: dict) -> int:
     """Number of symbols that are left when no adjacent pair has a rank."""
     n = len(symbols)
@@ -123,7 +113,11 @@ _COUNTERS: dict[str, ChunkCache] = {}
 def token_counts(texts: list[str], path: str) -> list[int]:
     if path not in _COUNTERS:
         _COUNTERS[path] = ChunkCache(HeapCounter(path).count_all)
-    return [sum(v) for v in _COUNTERS[path].values(texts)]
+    chunks = text_chunks(texts)
+    if not len(chunks.ends):
+        return []
+    counts = np.array(_COUNTERS[path].values(chunks.words), np.int64)[chunks.numbers]
+    return np.add.reduceat(counts, np.concatenate([[0], chunks.ends[:-1]])).tolist()
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
