@@ -12,9 +12,14 @@ A bigram model with unigram backoff over words and one end token per text; the f
   After a context without training counts the unigram probability holds.
 
 The corpus becomes a table of chunks: token numbers that are local to a chunk, and the 64-bit hashes and training counts of
-its words. Word counts are summed by hash and brought back to the chunks. Bigrams go into a table that is bucketed by
-context; frequent contexts are spread over several buckets by their next word. One pass over the buckets gives the counts
-of counts and the sums of spread contexts, a second one scores each token; sums go back to the chunks.
+its words. Word counts are summed by hash and brought back to the chunks. Each chunk sends its different bigrams, each once
+with its number in training, to buckets by context; frequent contexts are spread over several buckets by their next word. So a
+frequent bigram, or a text with many copies, is one row per chunk however often it occurs. A bucket sums the counts and
+returns to each chunk the counts of its bigrams and, per context, how many bigrams have each low count and the backed-off
+probability of the words seen: the tables of counts and of what the backoff weights are made from, partitioned by bucket.
+Once the counts of counts are known, every token is scored in its chunk, by its bigram's count or else by the weight of its
+context and the count of its word.
+
 Only the counts of counts and one row per spread context (those with over a quarter of a bucket's tokens, so that their
 number is at most four per bucket) come to the driver. Words and bigrams are told apart by 64-bit hashes.
 
@@ -42,10 +47,12 @@ from lexspark.llm.shingles import mix
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 GOOD_TURING = 5
-FIXED = 2.0**32  # sums of parts of a text travel as whole multiples of 2 ** -32
+KINDS = GOOD_TURING + 1  # bigrams of a context that are counted once, twice, ..., more often than is discounted
+MOST_BUCKETS = 100_000  # Spark's own limit for a table
 END, START = 0, np.uint64(0x517CC1B727220A95)  # the end token is number 0 of every chunk
 _END_HASH = np.uint64(0x2127599BF4325C37)
 _CHUNK = pa.schema([("chunk", pa.int64()), ("entries", pa.int64()), ("tokens", pa.int64()), ("trained", pa.int64()), ("docs", pa.binary()), ("words", pa.binary()), ("stream", pa.binary())])
+_PAYLOAD = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("payload", pa.binary())])
 
 
 def squeezed(*arrays: np.ndarray) -> bytes:
@@ -122,6 +129,12 @@ def counts_of_counts(counts: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(counts, GOOD_TURING + 2).astype(np.int64), minlength=GOOD_TURING + 3)[: GOOD_TURING + 2]
 
 
+def groups(keys: np.ndarray) -> list[tuple[int, int, int]]:
+    """(key, first, end) of the runs of equal keys."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return list(zip(keys[first].tolist(), first.tolist(), [*first[1:].tolist(), len(keys)]))
+
+
 def word_totals(chunks: DataFrame, parts: int) -> DataFrame:
     """For each chunk the training counts over the whole corpus: chunk, places, totals. Rows with chunk -1 hold the counts of
     counts, the tokens and the distinct words of one part of the vocabulary."""
@@ -132,8 +145,7 @@ def word_totals(chunks: DataFrame, parts: int) -> DataFrame:
                 hashes, trained = unsqueezed(words)
                 part = (mix(hashes) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable").astype(np.uint32)
-                ends = np.cumsum(np.bincount(part, minlength=parts))
-                rows = [(p, chunk, squeezed(at := order[s:e], hashes[at], trained[at])) for p, (s, e) in enumerate(zip([0, *ends[:-1]], ends)) if e > s]
+                rows = [(p, chunk, squeezed(at := order[s:e], hashes[at], trained[at])) for p, s, e in groups(part[order])]
                 yield pa.RecordBatch.from_pydict(dict(zip(("part", "chunk", "words"), zip(*rows))), schema=pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary())]))
 
     def total(rows):
@@ -189,88 +201,111 @@ def backoff_weight(seen: np.ndarray, freed_from: np.ndarray) -> np.ndarray:
     return (1.0 - seen) / np.maximum(1.0 - freed_from, 1e-300)
 
 
-def bigram_rows(joined: DataFrame, unigrams: Unigrams, buckets: int, spread_over: int, starts: int) -> DataFrame:
-    """(bucket, chunk, payload): the bigrams of a chunk by bucket of their context, and in bucket -1 what each text has by itself."""
-
-    def deal(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                _, null, size, train = docs = unsqueezed(row["docs"])
-                hashes, _ = unsqueezed(row["words"])
-                (stream,) = unsqueezed(row["stream"])
-                totals = np.zeros(len(hashes), np.int64)
-                for part in row["totals"]:
-                    at, sums = unsqueezed(part)
-                    totals[at] = sums
-                count = totals[stream]
-                ends = np.cumsum(size.astype(np.int64))
-                first = ends - size
-                add = np.log10((count + 1) / (unigrams.tokens + unigrams.words + 1))
-                own = squeezed(*docs, np.add.reduceat((count > 0).astype(np.int64), first), np.add.reduceat(add, first))
-                # Contexts: the token before, and for first tokens the start, which gets the number after the words.
-                hashes, totals = np.append(hashes, START), np.append(totals, starts)
-                context = np.empty(len(stream), np.uint32)
-                context[1:] = stream[:-1]
-                context[first] = len(hashes) - 1
-                doc = np.repeat(np.arange(len(size), dtype=np.uint32), size)
-                with np.errstate(over="ignore"):
-                    home = mix(hashes)[context]
-                    ways = (totals[context] // spread_over + 1).astype(np.uint64)
-                    where = ((home + mix(home * np.uint64(31) + hashes[stream]) % ways) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((context, where))
-                ends = np.cumsum(np.bincount(where, minlength=buckets))
-                out = [(-1, row["chunk"], own)]
-                for k, (s, e) in enumerate(zip([0, *ends[:-1]], ends)):
-                    if e > s:
-                        at = order[s:e]
-                        used, number = np.unique(np.concatenate([context[at], stream[at]]), return_inverse=True)
-                        number = number.astype(np.uint32)
-                        out.append((k, row["chunk"], squeezed(hashes[used], totals[used], number[: e - s], number[e - s :], doc[at], train[doc[at]])))
-                yield pa.RecordBatch.from_pydict(dict(zip(("bucket", "chunk", "payload"), zip(*out))), schema=pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("payload", pa.binary())]))
-
-    return joined.mapInArrow(deal, "bucket int, chunk long, payload binary")
-
-
-class Bucket:
-    """The bigrams of one bucket: per token context, next word's count, text; per different training bigram its count."""
-
-    def __init__(self, payloads):
-        parts = [unsqueezed(x) for x in payloads]
-        take = lambda k, of: np.concatenate([p[of][p[k]] for p in parts])
-        context = take(2, 0)
-        self.word_count = take(3, 1)
-        self.sizes = [len(p[2]) for p in parts]
-        self.docs = [p[4] for p in parts]
-        train = np.concatenate([p[5] for p in parts])
+class ChunkBigrams:
+    """A chunk with the counts of its words over the whole corpus, and its different bigrams in the order of their buckets."""
+
+    def __init__(self, row: dict, buckets: int, spread_over: int, starts: int):
+        self.doc_id, self.null, self.size, self.train = unsqueezed(row["docs"])
+        hashes, _ = unsqueezed(row["words"])
+        (self.stream,) = unsqueezed(row["stream"])
+        totals = np.zeros(len(hashes) + 1, np.int64)
+        for part in row["totals"]:
+            at, sums = unsqueezed(part)
+            totals[at] = sums
+        # Contexts: the token before, and for first tokens the start, which gets the number after the words.
+        totals[-1] = starts
+        self.hashes, self.totals = np.append(hashes, START), totals
+        self.first = np.cumsum(self.size.astype(np.int64)) - self.size
+        context = np.empty(len(self.stream), np.int64)
+        context[1:] = self.stream[:-1]
+        context[self.first] = len(hashes)
+        n = len(self.hashes)
+        bigrams, place = np.unique(context * n + self.stream, return_inverse=True)
+        context, word = bigrams // n, bigrams % n
         with np.errstate(over="ignore"):
-            pair = mix(mix(context) * np.uint64(31) + take(3, 0))
-        pairs, first, place = np.unique(pair, return_index=True, return_inverse=True)
-        del pair
-        counts = np.bincount(place, train, len(pairs)).astype(np.int64)
-        self.count = counts[place]  # of each token's bigram
-        contexts, self.context = np.unique(context, return_inverse=True)
-        self.contexts = contexts
-        self.context_total = np.zeros(len(contexts), np.int64)
-        self.context_total[self.context] = take(2, 1)
-        seen = counts > 0
-        self.seen_count = counts[seen]
-        self.seen_context = self.context[first[seen]]
-        self.seen_word_count = self.word_count[first[seen]]
-
-    def sums(self, discounts: Discounts, unigrams: Unigrams) -> tuple[np.ndarray, np.ndarray]:
-        """Per context: sum of d c(v,w) / c(v), and of P(w), over its seen words."""
-        share = discounts.of(self.seen_count) * self.seen_count / self.context_total[self.seen_context]
-        n = len(self.contexts)
-        return np.bincount(self.seen_context, share, n), np.bincount(self.seen_context, unigrams.of(self.seen_word_count), n)
+            home = mix(self.hashes)[context]
+            ways = (totals[context] // spread_over + 1).astype(np.uint64)
+            bucket = ((home + mix(home * np.uint64(31) + self.hashes[word]) % ways) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((context, bucket))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.context, self.word, self.bucket = context[order], word[order], bucket[order]
+        self.place = rank[place]  # of each token's bigram
+
+    def rows(self, chunk: int) -> list[tuple[int, int, bytes]]:
+        """(bucket, chunk, payload): hashes and counts of the words, and the bigrams with their number in training."""
+        times = np.bincount(self.place, np.repeat(self.train, self.size), len(self.context)).astype(np.uint32)
+        out = []
+        for k, s, e in groups(self.bucket):
+            used, number = np.unique(np.concatenate([self.context[s:e], self.word[s:e]]), return_inverse=True)
+            number = number.astype(np.uint32)
+            out.append((k, chunk, squeezed(self.hashes[used], self.totals[used], number[: e - s], number[e - s :], times[s:e])))
+        return out
+
+
+def count_bucket(rows: pd.DataFrame, unigrams: Unigrams, spread_over: int) -> pd.DataFrame:
+    """Replies of a bucket to its chunks; rows with chunk -1 hold its counts of counts and its part of spread contexts."""
+    parts = [unsqueezed(x) for x in rows["payload"]]
+    take = lambda k, of: np.concatenate([p[of][p[k]] for p in parts])
+    context, word_count = take(2, 0), take(3, 1)
+    with np.errstate(over="ignore"):
+        bigram = mix(mix(context) * np.uint64(31) + take(3, 0))
+    _, first, place = np.unique(bigram, return_index=True, return_inverse=True)
+    counts = np.bincount(place, np.concatenate([p[4] for p in parts])).astype(np.int64)
+    contexts, own_context = np.unique(context, return_inverse=True)
+    n = len(contexts)
+    total = np.zeros(n, np.int64)
+    total[own_context] = take(2, 1)
+    seen = counts > 0
+    seen_context = own_context[first[seen]]
+    kinds = np.bincount(seen_context * KINDS + np.minimum(counts[seen], KINDS) - 1, minlength=n * KINDS).reshape(n, KINDS)
+    freed_from = np.bincount(seen_context, unigrams.of(word_count[first[seen]]), n)
+    spread = total >= spread_over
+    out = [(-1, None, None, counts_of_counts(counts[seen]).tolist(), 0.0)]
+    out += [(-1, None, int(contexts[k : k + 1].view(np.int64)[0]), kinds[k].tolist(), float(freed_from[k])) for k in np.flatnonzero(spread)]
+    at = 0
+    for chunk, p in zip(rows["chunk"], parts):
+        part = slice(at, at + len(p[2]))
+        at = part.stop
+        own, c = own_context[part], counts[place[part]]
+        unseen = c == 0
+        begins = np.concatenate([[True], p[2][1:] != p[2][:-1]])
+        used = own[begins]
+        wanted = np.add.reduceat(unseen, np.flatnonzero(begins)) > 0
+        reply = squeezed(c.astype(np.uint64), begins.astype(np.uint8), np.where(unseen, word_count[part], 0), total[used], kinds[used].astype(np.uint32).ravel(), np.where(wanted, freed_from[used], 0.0), contexts[used][spread[used]])
+        out.append((int(chunk), reply, None, None, None))
+    chunk, reply, context, kinds, freed = zip(*out)
+    return pd.DataFrame({"bucket": rows["bucket"].iloc[0], "chunk": chunk, "reply": reply, "context": pd.array(context, dtype="Int64"), "kinds": kinds, "freed_from": pd.array(freed, dtype="Float64")})
+
+
+def bigram_values(reply: bytes, discounts: Discounts, unigrams: Unigrams, spread_over: int, spread: dict) -> np.ndarray:
+    """log10 of the probability of each bigram of a reply."""
+    count, begins, word_count, total, kinds, freed_from, names = unsqueezed(reply)
+    count, kinds, freed_from = count.astype(np.int64), kinds.reshape(-1, KINDS).astype(float), freed_from.copy()
+    for k, name in zip(np.flatnonzero(total >= spread_over), names.view(np.int64).tolist()):
+        kinds[k], freed_from[k] = spread[name]
+    mass = np.maximum(total, 1)
+    low = kinds[:, :GOOD_TURING] * np.arange(1, GOOD_TURING + 1)
+    if discounts.usable:
+        seen = (low @ discounts.turing[1:] + total - low.sum(axis=1)) / mass
+    else:
+        seen = (total - 0.5 * kinds.sum(axis=1)) / mass
+    scale = np.where(seen > 1 - 1e-12, total / (total + 1.0), 1.0)  # nothing is discounted in this context
+    alpha = np.where(total > 0, backoff_weight(seen * scale, freed_from), 1.0)
+    own = np.cumsum(begins) - 1
+    known = np.log10(np.maximum(discounts.of(count) * count * scale[own], 1e-300) / mass[own])
+    other = np.log10(alpha[own]) + np.log10(unigrams.of(word_count))
+    return np.where(count > 0, known, other)
 
 
 def score_texts(docs: DataFrame, bucket_tokens: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    # Both tables are bucketed by what they are read by, so that the corpus itself isn't shuffled.
+    # The chunks are bucketed by what they are joined by, in as many buckets as the input has splits, and aren't shuffled.
+    splits = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     corpus = f"token_chunks_{uuid.uuid4().hex}"
-    token_chunks(docs).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").format("parquet").saveAsTable(corpus)
+    token_chunks(docs).write.bucketBy(min(splits, MOST_BUCKETS), "chunk").format("parquet").saveAsTable(corpus)
     chunks = spark.table(corpus)
     size = chunks.agg(F.sum("entries"), F.sum("tokens"), F.sum("trained")).first()
     if size[1] is None:
@@ -285,74 +320,36 @@ def score_texts(docs: DataFrame, bucket_tokens: int = 2_000_000, id_col: str = "
 
     buckets, spread_over, starts = max(8, size[1] // bucket_tokens), bucket_tokens // 4, size[2]
     by_chunk = totals.where("chunk >= 0").groupBy("chunk").agg(F.collect_list("totals").alias("totals"))
-    name = f"bigrams_{uuid.uuid4().hex}"
-    bigram_rows(chunks.join(by_chunk, "chunk"), unigrams, buckets, spread_over, starts).write.bucketBy(buckets, "bucket").format("parquet").saveAsTable(name)
-    spark.sql(f"DROP TABLE {corpus}")  # from here on only the bigrams are read
-    table = spark.table(name)
-    by_bucket = table.where("bucket >= 0").select("bucket", "chunk", "payload").groupBy("bucket")
-
-    def count(rows):
-        b = Bucket(rows["payload"])
-        out = [(None, counts_of_counts(b.seen_count).tolist(), 0.0, 0.0)]
-        spread = np.flatnonzero(b.context_total >= spread_over)
-        if len(spread):
-            r = np.minimum(b.seen_count, GOOD_TURING + 1)
-            p = np.bincount(b.seen_context, unigrams.of(b.seen_word_count), len(b.contexts))
-            mass = np.bincount(b.seen_context, b.seen_count, len(b.contexts))
-            kinds = np.zeros((len(b.contexts), GOOD_TURING + 2), np.int64)
-            np.add.at(kinds, (b.seen_context, r), 1)
-            out += [(int(b.contexts[k : k + 1].view(np.int64)[0]), kinds[k].tolist(), float(mass[k]), float(p[k])) for k in spread]
-        context, kinds, mass, freed_from = zip(*out)
-        return pd.DataFrame({"context": pd.array(context, dtype="Int64"), "kinds": kinds, "mass": mass, "freed_from": freed_from})
-
-    found = by_bucket.applyInPandas(count, "context long, kinds array<long>, mass double, freed_from double")
-    kinds = [F.sum(F.col("kinds")[k]).alias(f"k{k}") for k in range(GOOD_TURING + 2)]
-    sums = found.groupBy("context").agg(*kinds, F.sum("mass").alias("mass"), F.sum("freed_from").alias("freed_from")).collect()
+    counted = chunks.join(by_chunk, "chunk")
+
+    def deal(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                row = b.slice(k, 1).to_pylist()[0]
+                rows = ChunkBigrams(row, buckets, spread_over, starts).rows(row["chunk"])
+                yield pa.RecordBatch.from_pydict(dict(zip(("bucket", "chunk", "payload"), zip(*rows))), schema=_PAYLOAD)
+
+    count = lambda rows: count_bucket(rows, unigrams, spread_over)
+    dealt = counted.mapInArrow(deal, "bucket int, chunk long, payload binary")
+    replies = stored(dealt.groupBy("bucket").applyInPandas(count, "bucket int, chunk long, reply binary, context long, kinds array<long>, freed_from double"), "bigram-counts")
+    most = max(GOOD_TURING + 2, KINDS)
+    sums = replies.where("chunk = -1").groupBy("context").agg(*(F.sum(F.get("kinds", F.lit(k))).alias(f"k{k}") for k in range(most)), F.sum("freed_from").alias("freed_from")).collect()
     discounts = Discounts(next(np.array(s[1 : GOOD_TURING + 3], float) for s in sums if s["context"] is None))
-    spread_sums = {}
-    for s in sums:
-        if s["context"] is not None:
-            kinds_of, r = np.array(s[1 : GOOD_TURING + 3], float), np.arange(GOOD_TURING + 2)
-            high = s["mass"] - (kinds_of * r)[1 : GOOD_TURING + 1].sum()
-            if discounts.usable:
-                seen = (kinds_of * r)[1 : GOOD_TURING + 1] @ discounts.turing[1:] + high
-            else:
-                seen = s["mass"] - 0.5 * kinds_of[1:].sum()
-            spread_sums[s["context"]] = (seen / s["mass"] if s["mass"] else 0.0, s["freed_from"])
-
-    def score(rows):
-        b = Bucket(rows["payload"])
-        seen, freed_from = b.sums(discounts, unigrams)
-        for k in np.flatnonzero(b.context_total >= spread_over):
-            seen[k], freed_from[k] = spread_sums[int(b.contexts[k : k + 1].view(np.int64)[0])]
-        total = b.context_total
-        scale = np.where(seen > 1 - 1e-12, total / (total + 1.0), 1.0)  # nothing is discounted in this context
-        alpha = np.where(total > 0, backoff_weight(seen * scale, freed_from), 1.0)
-        known = np.log10(np.maximum(discounts.of(b.count) * b.count * scale[b.context], 1e-300) / np.maximum(total[b.context], 1))
-        other = np.log10(alpha[b.context]) + np.log10(unigrams.of(b.word_count))
-        value = np.where(b.count > 0, known, other)
-        out, at = [], 0
-        for chunk, doc, k in zip(rows["chunk"], b.docs, b.sizes):
-            doc_ = np.unique(doc)
-            fixed = np.round(np.bincount(doc, value[at : at + k])[doc_] * FIXED).astype(np.int64)
-            out.append((chunk, squeezed(np.diff(doc_, prepend=np.uint32(0)), fixed)))
-            at += k
-        return pd.DataFrame(out, columns=["chunk", "sums"])
-
-    scored = by_bucket.applyInPandas(score, "chunk long, sums binary").groupBy("chunk").agg(F.collect_list("sums").alias("sums"))
-    own = table.where("bucket = -1").select("chunk", "payload")
+    spread = {s["context"]: (np.array(s[1 : KINDS + 1], float), s["freed_from"]) for s in sums if s["context"] is not None}
 
     def texts(batches):
         for b in batches:
-            for row in b.to_pylist():
-                doc_id, null, length, train, known, base = unsqueezed(row["payload"])
-                value = np.zeros(len(doc_id))
-                for x in row["sums"]:
-                    steps, part = unsqueezed(x)
-                    value[np.cumsum(steps)] += part / FIXED
-                columns = [pa.array(doc_id, mask=null), pa.array(~train), pa.array(length.astype(np.int64)), pa.array(known), pa.array(np.full(len(doc_id), tokens)), pa.array(base), pa.array(value)]
+            for k in range(b.num_rows):
+                row = b.slice(k, 1).to_pylist()[0]
+                c = ChunkBigrams(row, buckets, spread_over, starts)
+                value = np.concatenate([bigram_values(r["reply"], discounts, unigrams, spread_over, spread) for r in sorted(row["replies"], key=lambda r: r["bucket"])])
+                times = c.totals[c.stream]
+                base = np.log10((times + 1) / (unigrams.tokens + unigrams.words + 1))
+                per_text = lambda x: np.add.reduceat(x, c.first)
+                columns = [pa.array(c.doc_id, mask=c.null), pa.array(~c.train), pa.array(c.size.astype(np.int64)), pa.array(per_text((times > 0).astype(np.int64))), pa.array(np.full(len(c.size), tokens)), pa.array(per_text(base)), pa.array(per_text(value[c.place]))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    result = stored(own.join(scored, "chunk").select("payload", "sums").mapInArrow(texts, RESULT), "scores")
-    spark.sql(f"DROP TABLE {name}")
+    by_chunk_too = replies.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "reply")).alias("replies"))
+    result = stored(counted.join(by_chunk_too, "chunk").mapInArrow(texts, RESULT), "scores")
+    spark.sql(f"DROP TABLE {corpus}")
     return result
