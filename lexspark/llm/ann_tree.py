@@ -1,15 +1,16 @@
 """Operator 6: approximate nearest neighbours by a hierarchical k-means tree with best-bin-first search.
 
-The tree is fitted on at most ``fit_rows`` vectors (20,000, taken in the order of a hash of vec_id): every node is split
-by spherical k-means until a leaf would hold at most ``leaf_rows`` of the fitted vectors. Every vector of the table is
-then assigned to a leaf. A query walks the tree with a priority queue of branches, nearest first, and so orders the leaves;
+The tree is fitted on ``fit_rows`` vectors (20,000, or an eighth of all up to ``most_fit_rows``, 200,000; taken in the order
+of a hash of vec_id): every node is split by spherical k-means until a leaf would hold at most ``leaf_rows`` of the fitted
+vectors. Every vector of the table is then assigned to a leaf. A query walks the tree with a priority queue of branches, nearest first, and so orders the leaves;
 it is compared with all vectors of the leaves it visits. How many leaves are visited is widened until the calibrated recall
 is reached: for at most ``calibration`` (200) queries the exact neighbours are found by brute force over all vectors, and the
 least number of leaves that reaches ``target_recall`` of them is taken.
 
 Equal vectors are stored once with their smallest ids (one more than the neighbours wanted, so that a query can't push
-itself out): further copies could never be among the nearest, as ties go to the smaller id. Leaves are dealt into blocks, so
-that a leaf with a large share of all vectors isn't one task's work.
+itself out): further copies could never be among the nearest, as ties go to the smaller id. A leaf's vectors and the queries
+that visit it are dealt into blocks, and a task gets one block of each, so that a leaf with a large share of all vectors or
+queries isn't one task's work.
 
 Defined cases: vectors that are null, zero, of another dimension than most, or that hold null or non-finite components take
 no part, neither as query nor as candidate; ties go to the smaller vec_id; with fewer candidates all are returned; rows with
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.llm.shared import stored
+from lexspark.llm.shared import least_hashes, stored
 
 RESULT = "query_id long, rank int, vec_id long, score double"
 _HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -141,7 +142,7 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, target_recall: float = 0.95, fit_rows: int = 20_000, leaf_rows: int = 64,
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, target_recall: float = 0.95, fit_rows: int = 20_000, most_fit_rows: int = 200_000, leaf_rows: int = 64,
             calibration: int = 200, block_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for every row of ``queries`` among ``vectors``."""
     spark = vectors.sparkSession
@@ -152,8 +153,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, target_recall: f
     dim = size[0]["d"]
     kept = stored(distinct_vectors(every.where(F.size("v") == dim), k + 1), "vectors")
     asked = usable(queries, id_col, vector_col).where(F.size("v") == dim).dropDuplicates(["vec_id"])
-    order = F.xxhash64(F.col("ids")[0])
-    sample = kept.orderBy(order, F.col("ids")[0]).limit(fit_rows).select("v").toPandas()
+    n = kept.count()
+    fit_rows = max(fit_rows, min(most_fit_rows, n // 8))
+    sample = least_hashes(kept, F.col("ids")[0], fit_rows, n).select("v").toPandas()
     tree = spark.sparkContext.broadcast(KMeansTree(unit(np.array(sample["v"].tolist(), float)), leaf_rows=leaf_rows))
 
     def leaves(parts):
@@ -181,22 +183,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, target_recall: f
     needed = np.sort([places[q][leaf] + 1 for q, leaf in zip(true["query_id"], true["leaf"])])
     width = int(needed[min(len(needed) - 1, int(np.ceil(target_recall * len(needed))) - 1)]) if len(needed) else 1
 
-    # Each query goes to the blocks of the leaves it visits.
-    blocks = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
-    dealt = placed.join(F.broadcast(blocks), "leaf").withColumn("block", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("blocks")))
-
     def walk(parts):
         for p in parts:
             if len(p):
                 yield p.assign(leaf=[tree.value.visits(q, width) for q in unit(np.array(p["v"].tolist(), float))])
 
-    visiting = (asked.mapInPandas(walk, "vec_id long, v array<double>, leaf array<long>").select("vec_id", "v", F.explode("leaf").alias("leaf"))
-                .join(F.broadcast(blocks), "leaf").select("leaf", "vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")))
+    visiting = stored(asked.mapInPandas(walk, "vec_id long, v array<double>, leaf array<long>").select("vec_id", "v", F.explode("leaf").alias("leaf")), "visits")
+    # Every block of a leaf's vectors meets every block of its queries. There is one row per leaf, most_fit_rows at most.
+    count = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias(name))
+    blocks = F.broadcast(count(placed, "blocks").join(count(visiting, "q_blocks"), "leaf"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = placed.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("blocks"))).select("leaf", "block", "ids", "v", every("q_blocks").alias("q_block"))
+    visiting = visiting.join(blocks, "leaf").withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.col("q_blocks"))).select("leaf", "q_block", "vec_id", "v", every("blocks").alias("block"))
 
     def search(left, right):
         if not len(left) or not len(right):
             return _hits([])
         return _hits(_top(left["vec_id"].tolist(), np.array(left["v"].tolist(), float), right["ids"].tolist(), np.array(right["v"].tolist(), float), k))
 
-    hits = visiting.groupBy("leaf", "block").cogroup(dealt.groupBy("leaf", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
+    both = ["leaf", "block", "q_block"]
+    hits = visiting.groupBy(*both).cogroup(dealt.groupBy(*both)).applyInPandas(search, "query_id long, vec_id long, score double")
     return _ranked(hits, k).select("query_id", "rank", "vec_id", "score")

@@ -110,18 +110,24 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     n_deleted_lines and n_deleted_words added (in place of any so named)."""
     slim = docs.select(docs.doc_id.cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     runs = repeated_runs(slim, min_words)
-    runs = runs.select(F.col("doc_id").alias("__run_id"), F.col("th").alias("__run_th"), F.col("runs").alias("__runs"))
-    joined = docs.join(runs, docs.doc_id.cast("long").eqNullSafe(F.col("__run_id")) & (F.xxhash64(docs.text) == F.col("__run_th")), "left").drop("__run_id", "__run_th")
+    # The row as a whole lies in a struct, so that no added name can clash with its columns.
+    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th")).alias("key"), F.struct("*").alias("row"))
+    runs = runs.select(F.struct("doc_id", "th").alias("of"), "runs")
+    on = rows.key.doc_id.eqNullSafe(runs.of.doc_id) & (rows.key.th == runs.of.th)
+    joined = rows.join(runs, on, "left").select("row", "runs")
     names = [n for n in docs.columns if n not in ("n_lines", "n_deleted_lines", "n_deleted_words")]
     added = [("n_lines", pa.int64()), ("n_deleted_lines", pa.int64()), ("n_deleted_words", pa.int64())]
 
     def apply(batches):
-        for b in slices(batches):
-            rows = [(None, 0, 0, 0) if t is None else without_repeats(t, r or [], min_words) for t, r in zip(b.column("text").to_pylist(), b.column("__runs").to_pylist())]
-            made = list(zip(*rows))
-            columns = [pa.array(made[0], pa.string()) if name == "text" else b.column(name) for name in names]
-            columns += [pa.array(made[k + 1], kind) for k, (_, kind) in enumerate(added)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, *(n for n, _ in added)])
+        for whole in batches:
+            row = whole.column("row")
+            for b in slices([pa.RecordBatch.from_arrays([*row.flatten(), whole.column("runs")], names=[*(f.name for f in row.type), ""])]):
+                own = dict(zip(b.schema.names, b.columns))
+                rows = [(None, 0, 0, 0) if t is None else without_repeats(t, r or [], min_words) for t, r in zip(own["text"].to_pylist(), own[""].to_pylist())]
+                made = list(zip(*rows))
+                columns = [pa.array(made[0], pa.string()) if name == "text" else own[name] for name in names]
+                columns += [pa.array(made[k + 1], kind) for k, (_, kind) in enumerate(added)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, *(n for n, _ in added)])
 
     schema = T.StructType([*docs.select(*names).schema.fields, *(T.StructField(n, T.LongType()) for n, _ in added)])
     return joined.mapInArrow(apply, schema)

@@ -242,8 +242,9 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     doc_id stays (of equal ones that with the smallest text hash; of fully repeated texts one row). Rows without words stay."""
     found = near_duplicates(docs, words, percent)
     first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("k"))
-    keys = first.select(F.col("k.doc_id").alias("k_id"), F.col("k.th").alias("k_th"))
-    hashed = docs.withColumn("__th", F.xxhash64("text"))
-    empty = F.coalesce(F.regexp_replace("text", "[\\x20\\x09-\\x0D]", ""), F.lit("")) == ""
-    kept = hashed.where(~empty).join(keys, [hashed.doc_id.eqNullSafe(keys.k_id), hashed["__th"] == keys.k_th], "left_semi").dropDuplicates(["doc_id", "__th"])
-    return kept.unionByName(hashed.where(empty)).select(*docs.columns)
+    keys = first.select(F.col("k.doc_id").alias("doc_id"), F.col("k.th").alias("th"))
+    # The row as a whole lies in a struct, so that no added name can clash with its columns.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.struct("*").alias("row"))
+    empty = F.coalesce(F.regexp_replace("row.text", "[\\x20\\x09-\\x0D]", ""), F.lit("")) == ""
+    kept = rows.where(~empty).join(keys, [rows.doc_id.eqNullSafe(keys.doc_id), rows.th == keys.th], "left_semi").dropDuplicates(["doc_id", "th"])
+    return kept.select("row.*").unionByName(rows.where(empty).select("row.*"))

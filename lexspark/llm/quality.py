@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.shared import record_batch, slices, stored
+from lexspark.llm.shared import least_hashes, record_batch, slices, stored
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks"]
 _SPACE, _SYMBOLS, _MARKS = b" \t\n\r\x0b\x0c", b"#*$%&|<>", b"!?.,;:"
@@ -165,8 +165,9 @@ def fit_quality(stats: DataFrame, labels: DataFrame, trees: int = 100, sample: i
     """Fit the forest on good labelled rows and calibrate its threshold on all labelled rows."""
     agreed = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
     known = stats.join(agreed, "doc_id").where("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words")
-    bound = trees * sample
-    rows = known.where("quality = 1").orderBy(F.xxhash64("doc_id"), *STATS).limit(bound).toPandas()
+    known = stored(known, "labelled-stats")
+    good = known.where("quality = 1")
+    rows = least_hashes(good, "doc_id", trees * sample, good.count()).toPandas()
     if len(rows) < 2:
         return QualityModel(None, 1.0)
     # The box spans all labelled rows' counts per word or character; a ratio's range is one row of figures.

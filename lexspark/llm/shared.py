@@ -8,15 +8,19 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests on one machine) a temporary folder takes its place.
+    Only where the session names none and runs in one process (tests) a temporary folder takes its place.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lexspark-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -38,6 +42,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def least_hashes(df: DataFrame, key, bound: int, n: int) -> DataFrame:
+    """At most ``bound`` of the ``n`` rows of ``df``: those with the least hashes of ``key``.
+
+    Rows are first cut at a hash that lets slightly more than ``bound`` through, so only about that many are ordered.
+    """
+    share = (bound + 8 * bound**0.5 + 8) / max(n, 1)
+    few = df if share >= 1 else df.where(F.xxhash64(key) < int(-(2**63) + share * 2**64))
+    return few.orderBy(F.xxhash64(key), *(c for c, kind in df.dtypes if not kind.startswith("map"))).limit(bound)
+
+
 def slices(batches, most_bytes: int = 4_000_000, column: str = "text"):
     """Cut Arrow batches so that the text column of each slice holds about ``most_bytes`` bytes."""
     for batch in batches:
