@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import refs, text
 from lexspark.operators import citations, graph, search, structure, tfidf, usage
+from lexspark.plans import library
 from lexspark.plans.oracle import SQL
 from lexspark.sources import adapters, formex
 from lexspark.sources.adapters import table
@@ -46,7 +47,6 @@ on("eli_kind", adapters.registry, lambda d: d.select("ord", refs.eli_kind(col("e
 on("official_ref_key", adapters.registry, lambda d: d.select("ord", refs.official_ref_key(refs.celex_type(col("celex")), F.substring("celex", 2, 4), F.substring("celex", 7, 4)).alias("key")))
 on("case_number_celex", part, lambda d: d.select("p_partkey", F.expr("concat('C-', p_partkey % 10000, '/', lpad(cast(p_size % 100 as string), 2, '0'))").alias("c")).select("p_partkey", refs.case_to_celex(col("c")).alias("celex"), refs.celex_to_case(refs.case_to_celex(col("c"))).alias("again")))
 on("ref_parse_backend", adapters.cites, lambda d: d.select("src", "ord", refs.act_type(col("citation")).alias("act_type"), refs.reference_year(col("citation")).alias("year"), refs.reference_number(col("citation")).alias("number")))
-on("url_classify", pages, lambda d: d.select("page_id", refs.url_class(col("url")).alias("kind")))
 on("ip_truncate", adapters.requests, lambda d: d.select("id", refs.truncated_ip(col("ip")).alias("ip")))
 on("citation_pills", adapters.cites, lambda d: d.select("src", "ord", citations.pill(col("citation")).alias("pill")))
 on("back_references", adapters.edges, citations.back_references)
@@ -57,7 +57,7 @@ on("graph_implementing", adapters.edges, lambda d: graph.related(d, 7, "implemen
 on("tf", docs, lambda d: tfidf.tf(d, ["doc_id"]))
 on("idf", docs, lambda d: tfidf.idf(tfidf.tf(d, ["doc_id"]), d.agg(F.count(F.lit(1)).alias("n"))).select("term", "df", F.round("idf", 6).alias("idf")))
 on("doc_magnitude", docs, lambda d: tfidf.magnitudes(tfidf.weighted(d, ["doc_id"]), ["doc_id"]).select("doc_id", F.round("magnitude", 6).alias("magnitude")))
-on("content_search", docs, lambda d: tfidf.content_search(d, "there thention anonst"))
+on("content_search", docs, lambda d: tfidf.content_search(d.select("doc_id", "text", F.substring_index("text", "\n", 1).alias("title")), "there thention anonst"))
 on("substring_fallback", docs, lambda d: tfidf.substring_fallback(d, "the of"))
 on("recital_links", adapters.units, tfidf.recital_links)
 on("recital_orphans", adapters.units, tfidf.recital_orphans)
@@ -87,9 +87,8 @@ def ref_parse_official(spark: SparkSession, sf: str) -> DataFrame:
     """Old and new forms of official citations, made from order keys."""
     short = "concat('Directive ', o_orderkey % 100, '/', o_custkey % 10000, '/EC')"
     new = "concat('Regulation (EU) ', 1990 + o_orderkey % 30, '/', o_custkey % 10000)"
-    usable = "not (o_orderkey % 2 = 0 and o_orderkey % 100 < 10) and o_custkey % 10000 >= 10 and (o_orderkey % 2 = 1 or o_custkey % 10000 < 1000)"
     year, number = refs.official_year_number(col("c"))
-    return table(spark, sf, "orders").where(usable).select("o_orderkey", F.expr(f"case when o_orderkey % 2 = 0 then {short} else {new} end").alias("c")).select("o_orderkey", year.alias("year"), number.alias("number"))
+    return table(spark, sf, "orders").select("o_orderkey", F.expr(f"case when o_orderkey % 2 = 0 then {short} else {new} end").alias("c")).select("o_orderkey", year.alias("year"), number.alias("number"))
 
 
 @register
@@ -169,9 +168,12 @@ def definitions_used(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def bilingual_align(spark: SparkSession, sf: str) -> DataFrame:
-    units = adapters.units(spark, sf).where("pos <= 5").withColumn("law", F.expr("doc_id div 20"))
-    shortest = units.groupBy("law", "kind", "ord", "lang").agg(F.min_by("text", F.struct(F.length("text"), "text")).alias("text"))
-    return structure.aligned(shortest, "en", "fr", ["law", "kind", "ord"])
+    """Every line of a law in one language with the line at the same place in the other; a law has up to 20 documents, which
+    count per language."""
+    number = F.row_number().over(structure.Window.partitionBy("law", "lang").orderBy("doc_id"))
+    numbered = table(spark, sf, "documents").select("doc_id", F.expr("doc_id div 20").alias("law"), "lang").withColumn("version", number).drop("lang")
+    units = adapters.units(spark, sf).join(numbered, "doc_id")
+    return structure.aligned(units, "en", "fr", ["law", "version", "kind", "ord"])
 
 
 def laws(spark: SparkSession, sf: str) -> DataFrame:
@@ -256,6 +258,7 @@ def stream_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
     return streams.drained(streams.rate_limited(streams.requests(spark, sf)), "rate-limit")
 
 
-ORACLE_SQL: dict[str, str] = {k: v for k, v in SQL.items() if k in QUERIES}
+QUERIES |= library.QUERIES
+ORACLE_SQL: dict[str, str] = {k: v for k, v in (SQL | library.SQL).items() if k in QUERIES}
 #: Queries without SQL; their tests compare them with brute force.
 WITHOUT_SQL = sorted(set(QUERIES) - set(ORACLE_SQL))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,8 +40,8 @@ def is_corrigendum(celex: Column) -> Column:
 
 def eli_kind(eli: Column) -> Column:
     path = F.lower(eli)
-    return (F.when(path.rlike(r"/eli/(reg|dir|dec)/\d{4}/\d+/oj$"), "primary").when(path.rlike("/eli/[a-z]+_impl/"), "implementing")
-            .when(path.rlike("/eli/[a-z]+_del/"), "delegated").when(path.contains("/corrigendum/"), "corrigendum").otherwise("other"))
+    return (F.when(path.rlike(r"/eli/(reg|dir|dec)/\d{4}/\d+/oj$"), "primary").when(path.contains("/reg_impl/"), "implementing")
+            .when(path.contains("/reg_del/"), "delegated").when(path.contains("/corrigendum/"), "corrigendum").otherwise("other"))
 
 
 def eli_key(eli: Column) -> Column:
@@ -101,13 +103,131 @@ def article_parts(token: Column) -> tuple[Column, Column, Column]:
     return take(r"^(\d+[a-z]?)"), take(r"\((\d+[a-z]?)\)"), F.lower(take(r"\(([A-Za-z]+)\)"))
 
 
+# The journal's site, the store of resources, and the letters of act types there.
+SITE, STORE = "https://eur-lex.europa.eu", "http://publications.europa.eu/resource/eli"
+ELI_TYPES = {"reg": "regulation", "dir": "directive", "dec": "decision"}
+
+
+def extracted_celex(text: Column) -> Column:
+    """The first identifier behind ``CELEX:`` or ``CELEX%3A``, in capitals."""
+    number = r"(\d{5}[A-Z]{1,2}\d{4}(?:\([0-9]+\))?)"
+    return F.upper(F.coalesce(first_match(text, f"(?i)CELEX[:%]3A{number}"), first_match(text, f"(?i)CELEX:{number}")))
+
+
 def url_class(url: Column) -> Column:
-    return (F.when(url.rlike(r"(?i)CELEX(:|%3A)"), "celex").when(url.contains("/eli/"), "eli").when(url.rlike(r"(?i)OJ:"), "oj")
-            .when(url.rlike(r"(?i)COM:"), "com").otherwise("html"))
+    """celex, eli, oj, com or html for an address of the journal's site; null for others and for what is no address."""
+    address = F.try_parse_url(url, F.lit("HOST"))
+    uri = F.coalesce(F.url_decode(F.try_parse_url(url, F.lit("QUERY"), F.lit("uri"))), F.lit(""))
+    eli = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")).rlike(r"/eli/(reg|dir|dec)/\d{4}/\d{1,4}(/|$)")
+    kind = (F.when(extracted_celex(url).isNotNull(), "celex").when(eli, "eli").when(uri.rlike(r"(?i)^OJ:[A-Z][_:]\d{4}[_:]?\d{1,5}"), "oj")
+            .when(uri.rlike(r"(?i)^(COM|JOIN|SEC|SWD):\d{4}:\d{1,4}:\w+$"), "com").otherwise("html"))
+    return F.when(address == SITE.removeprefix("https://"), kind)
+
+
+def comnat_id(kind: Column, year: Column, number: Column, suffix: Column) -> Column:
+    """The store's name of a preparatory document; null if a part is missing."""
+    n = number.try_cast("int").cast("string")
+    padded = F.when(F.length(n) < 4, F.lpad(n, 4, "0")).otherwise(n)
+    return F.concat(F.lit("comnat:"), F.nullif(kind, F.lit("")), F.lit("_"), F.nullif(year, F.lit("")), F.lit("_"), padded, F.lit("_"), F.nullif(suffix, F.lit("")))
+
+
+def eli_candidates(kind: Column, year: Column, number: Column, suffix: Column) -> Column:
+    """Addresses under which an act may be stored, in the order in which they are tried; none if a part is missing."""
+    n = number.try_cast("int").cast("string")
+    at = lambda path, end="": F.concat(F.lit(f"{STORE}/{path}/"), year, F.lit("/"), n, F.lit(f"{end}/oj"))
+    decision = F.array(F.when(suffix == "JHA", at("dec_framw")), at("dec"), at("dec", "(1)"))
+    one = F.when(kind == "directive", F.array(at("dir"))).when(kind == "regulation", F.array(at("reg"))).when(kind == "decision", decision)
+    return F.array_compact(F.coalesce(one, F.array().cast("array<string>")))
+
+
+def act_link(celex: Column, lang: Column) -> Column:
+    return F.concat(F.lit(f"{SITE}/legal-content/"), F.upper(search_language(lang)), F.lit("/TXT/?uri=CELEX:"), celex)
+
+
+def journal_link(series: Column, year: Column, number: Column, lang: Column) -> Column:
+    return F.concat(F.lit(f"{SITE}/legal-content/"), F.upper(search_language(lang)), F.lit("/TXT/?uri=OJ:"), series, F.lit(":"), year, F.lit(":"), number, F.lit(":TOC"))
+
+
+def proposal_link(kind: Column, year: Column, number: Column, suffix: Column, lang: Column) -> Column:
+    return F.concat(F.lit(f"{SITE}/legal-content/"), F.upper(search_language(lang)), F.lit("/TXT/?uri="), F.concat_ws(":", kind, year, number, suffix))
+
+
+def search_link(words: Column, lang: Column) -> Column:
+    """A quick search without its time stamp; null without words."""
+    return F.concat(F.lit(f"{SITE}/search.html?scope=EURLEX&text="), F.url_encode(F.nullif(words, F.lit(""))), F.lit("&lang="), search_language(lang), F.lit("&type=quick"))
+
+
+def celex_reference(celex: Column) -> Column:
+    """(act_type, year, number) that an identifier stands for; null where it is none of an act."""
+    form = r"^3(\d{4})([RLD])0*(\d{1,4})(?:\(\d+\))?$"
+    return F.when(celex.rlike(form), F.struct(celex_type(celex).alias("act_type"), F.regexp_extract(celex, form, 1).alias("year"), unpadded(F.regexp_extract(celex, form, 3)).alias("number")))
+
+
+def celex_agrees(celex: Column, act_type: Column, year: Column, number: Column) -> Column:
+    own = celex_reference(celex)
+    return F.coalesce((own["act_type"] == act_type) & (own["year"] == year) & (own["number"] == number), F.lit(False))
+
+
+def reference_slug(act_type: Column, year: Column, number: Column) -> Column:
+    """``type-year-number``; null unless all parts are well-formed."""
+    ok = act_type.isin(*ELI_TYPES.values()) & year.rlike(r"^\d{4}$") & number.rlike(r"^\d{1,4}$")
+    return F.when(ok, F.concat_ws("-", act_type, year, number))
+
+
+def slug_reference(slug: Column) -> Column:
+    form = r"^(regulation|directive|decision)-(\d{4})-(\d{1,4})$"
+    return F.when(slug.rlike(form), F.struct(*(F.regexp_extract(slug, form, k).alias(n) for k, n in enumerate(("act_type", "year", "number"), 1))))
+
+
+def law_route(slug: Column, celex: Column, kind: Column, unit: Column, locale: Column) -> Column:
+    """The page of a law or of one of its units; laws without a slug are opened by identifier; English has no prefix."""
+    unit_path = F.when((kind != "overview") & unit.isNotNull(), F.concat(F.lit("/"), kind, F.lit("/"), F.url_encode(unit)))
+    prefix = F.when(F.coalesce(locale, F.lit("en")) == "en", "/").otherwise(F.concat(F.lit("/"), locale, F.lit("/")))
+    by_slug = F.concat(prefix, slug, F.coalesce(unit_path, F.lit("")))
+    by_celex = F.concat(F.lit("/import"), F.coalesce(unit_path, F.lit("")), F.lit("?celex="), F.url_encode(F.nullif(F.upper(F.trim(celex)), F.lit(""))))
+    return F.coalesce(by_slug, by_celex, F.lit("/"))
+
+
+def known_celex(label: Column) -> Column:
+    """The identifier of the first known act, in the dictionary's order, that a label names."""
+    escape = lambda x: re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", x)
+    tests = []
+    for name, celex in ACT_CELEX.items():
+        bounded = label.rlike(f"(?i)(^|[^A-Za-z0-9/]){escape(name)}([^A-Za-z0-9/]|$)")
+        tests.append(F.when(F.lower(label).contains(name.lower()) | bounded if "/" in name else bounded, celex))
+    return F.coalesce(*tests)
+
+
+# Languages of the journal by their two letters.
+LANGUAGES = {
+    "BG": "BUL", "CS": "CES", "DA": "DAN", "DE": "DEU", "EL": "ELL", "EN": "ENG", "ES": "SPA", "ET": "EST", "FI": "FIN", "FR": "FRA", "GA": "GLE", "HR": "HRV",
+    "HU": "HUN", "IT": "ITA", "LT": "LIT", "LV": "LAV", "MT": "MLT", "NL": "NLD", "PL": "POL", "PT": "POR", "RO": "RON", "SK": "SLK", "SL": "SLV", "SV": "SWE",
+}
+
+
+def valid_language(lang: Column) -> Column:
+    code = F.upper(F.coalesce(F.nullif(lang, F.lit("")), F.lit("ENG")))
+    return F.when(code.isin(*LANGUAGES.values()), code)
+
+
+def search_language(lang: Column) -> Column:
+    """The first two letters of a code of three."""
+    return F.lower(F.substring(F.coalesce(F.nullif(lang, F.lit("")), F.lit("ENG")), 1, 2))
+
+
+def api_language(two_letters: Column) -> Column:
+    known = F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, F.upper(two_letters)), F.lit("ENG"))
 
 
 def truncated_ip(ip: Column) -> Column:
-    return F.regexp_replace(ip, r"^(\d+\.\d+\.\d+)\.\d+$", "$1.0")
+    """An address without what tells one machine from another: 24 bits of IPv4, mapped or not, 64 bits of IPv6."""
+    bare = F.regexp_replace(ip, "%.*$", "")
+    v4 = first_match(bare, r"(?i)^(?:::ffff:)?(\d+\.\d+\.\d+)\.\d+$")
+    missing = F.lit(9) - F.size(F.split(bare, ":"))  # groups that :: stands for
+    filled = F.when(bare.contains("::"), F.concat(F.substring_index(bare, "::", 1), F.repeat(F.lit(":"), missing), F.lit(":"), F.substring(bare, F.locate("::", bare) + 2, F.length(bare)))).otherwise(bare)
+    v6 = F.concat(F.array_join(F.slice(F.split(filled, ":"), 1, 4), ":"), F.lit("::"))
+    return F.when(ip.isNull() | (ip == "") | (ip == "unknown"), "unknown").when(v4.isNotNull(), F.concat(v4, F.lit(".0"))).when(bare.contains(":"), v6).otherwise(bare)
 
 
 def external_year_number(target: Column) -> tuple[Column, Column]:

@@ -9,14 +9,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# English stopwords that tokenisation drops (general words and legal filler).
+# English stopwords that tokenisation drops (basic words, legal structure, procedure, filler, transitions).
 STOPWORDS_EN = """
-the be is are was were been being have has had do does did a an and but if or because as until while of at by for with
-about against between into through during before after above below to from up down in out on off over under again further once
-here there where why how all any both each few more most other some such no nor not only own same so than too very
-can will just should now also therefore upon within without union member states commission article paragraph eu european
-regulation regulations directive directives decision decisions law act provisions measures shall may whereas pursuant
-accordance hereof thereof apply applicable applied applies provide provided provides providing ensure ensures ensuring
+a an the and or but if then else when at by for with about against between into through during before after above below
+to from up down in out on off over under again further once here there where why how all any both each few more most
+other some such no nor not only own same so than too very can will just should now also therefore upon within without
+union member states commission article paragraph eu european regulation regulations directive directives decision decisions
+law act provisions measures shall may whereas pursuant accordance hereof thereof
+apply applicable applied applies provide provided provides providing ensure ensures ensuring establish establishing regard regarding
+refer referred include including included follow following follows make made take taken taking set given lay laying
+relevant appropriate necessary competent concerned particular respect account case cases order view way ways manner
+point points subject meaning need needs effect effects however furthermore especially certain inter alia
 """.split()
 # Words that don't count in acronyms.
 ACRONYM_STOPWORDS = "of the and for on with to in by as a an text eea relevance union european council parliament".split()
@@ -27,7 +30,8 @@ LOW_SIGNAL_TERMS = "act eu of the and on for".split()
 @F.pandas_udf(T.StringType())
 def without_marks(text: pd.Series) -> pd.Series:
     """Lower case, decomposed (NFKD), without combining marks U+0300..U+036F; Spark has no decomposition of its own."""
-    return text.map(lambda x: x if x is None else "".join(c for c in unicodedata.normalize("NFKD", x.lower()) if not "̀" <= c <= "ͯ"))
+    bare = lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not "\u0300" <= c <= "\u036f")
+    return text.map(lambda x: x if x is None else x.lower() if x.isascii() else bare(x.lower()))
 
 
 def normalized(text: Column) -> Column:
@@ -86,3 +90,192 @@ def first_match(text: Column, pattern: str, group: int = 1) -> Column:
 
 def unpadded(digits: Column) -> Column:
     return digits.try_cast("int").cast("string")
+
+
+# Characters that a registry's titles have for named references.
+NAMED_CHARACTERS = {"nbsp": " ", "rsquo": "'", "lsquo": "'", "rdquo": '"', "ldquo": '"', "ndash": "-", "mdash": "-", "hellip": "..."}
+# Titles that say nothing about an act.
+PLACEHOLDER_TITLES = ["Official Journal of the European Union", "CORRELATION TABLE"]
+# Abbreviations that stay in capitals in a title.
+CAPITALS = ["Eec", "Euratom", "Eu", "Ec", "Ue", "We"]
+
+
+def collapsed(text: Column) -> Column:
+    """White space, no-break spaces too, as single spaces; none at the ends."""
+    return F.trim(F.regexp_replace(F.replace(text, F.lit("\u00a0"), F.lit(" ")), r"\s+", " "))
+
+
+def without_tags_or_references(html: Column) -> Column:
+    """Tags go, the five common references become characters."""
+    out = F.regexp_replace(html, "<[^>]*>", " ")
+    for written, plain in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
+        out = F.replace(out, F.lit(written), F.lit(plain))
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+def character(code: Column) -> Column:
+    """The character of a code point."""
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
+def decoded(text: Column) -> Column:
+    """Character references: numbers first, then names, the ampersand last."""
+    for mark, digits, base in (("x", "[0-9a-fA-F]{1,6}", 16), ("", "[0-9]{1,7}", 10)):
+        pattern = f"(?i)&#{mark}({digits});"
+        codes = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        signs = F.transform(codes, lambda c: character(F.conv(c, base, 10).cast("long")))  # noqa: B023
+        around = F.split(text, pattern, -1)
+        text = F.array_join(F.zip_with(around, signs, lambda a, s: F.concat(a, F.coalesce(s, F.lit("")))), "")
+    for name, plain in NAMED_CHARACTERS.items():
+        text = F.regexp_replace(text, f"(?i)&{name};", plain)
+    for written, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(written), F.lit(plain))
+    return text
+
+
+def registry_title(title: Column) -> Column:
+    """A title, null if it is blank or a placeholder."""
+    t = F.trim(title)
+    return F.when((t != "") & ~t.isin(PLACEHOLDER_TITLES), t)
+
+
+def recital_title(title: Column, most: int = 90) -> Column:
+    """A generated title without quotes and closing punctuation, cut to ``most`` characters."""
+    quotes = "\"'“”‘’"
+    t = F.regexp_replace(title, f"^[{quotes}]+|[{quotes}]+$", "")
+    return F.trim(F.substring(F.trim(F.regexp_replace(F.regexp_replace(t, r"[.;:,\s]+$", ""), r"\s+", " ")), 1, most))
+
+
+def stem_pattern(term: Column) -> Column:
+    """A pattern that finds inflected forms: of each word all but its last three characters, three at least."""
+    stems = F.transform(F.split(term, r"\s+"), lambda w: F.concat(F.regexp_replace(F.substring(w, F.lit(1), F.greatest(F.lit(3), F.length(w) - 3)), r"([.*+?^${}()|\[\]\\])", r"\\$1"), F.lit(r"\S*")))
+    return F.array_join(stems, r"\s+")
+
+
+def display_title(text: Column) -> Column:
+    """What stands before ``of``, each word capitalised, abbreviations in capitals."""
+    out = F.initcap(F.lower(collapsed(F.get(F.split(text, r"(?i)\s+of\s+"), F.lit(0)))))
+    for word in CAPITALS:
+        out = F.regexp_replace(out, rf"(?i)\b{word}\b", word.upper())
+    return out
+
+
+def short_title(title: Column) -> Column:
+    """The first phrase in parentheses of 5 to 120 characters that isn't the note on the EEA; '' if there is none."""
+    phrases = F.transform(F.regexp_extract_all(collapsed(title), F.lit(r"\(([^)]{5,120})\)"), F.lit(1)), lambda p: F.trim(p))
+    return F.coalesce(F.get(F.filter(phrases, lambda p: (p != "") & ~p.rlike("(?i)text with eea relevance")), F.lit(0)), F.lit(""))
+
+
+def without_reference(title: Column, reference: Column) -> Column:
+    """A title without the reference that it begins with, unless nothing else is left."""
+    raw = collapsed(title)
+    rest = F.when(F.lower(raw).startswith(F.concat(F.lower(reference), F.lit(" "))), F.trim(F.substring(raw, F.length(reference) + 1, F.length(raw))))
+    return F.coalesce(F.nullif(rest, F.lit("")), raw)
+
+
+def bold_name(html: Column) -> Column:
+    """A name in bold type: without tags, references and closing commas."""
+    out = F.regexp_replace(html, "<[^>]+>", "")
+    for written, plain in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " ")):
+        out = F.replace(out, F.lit(written), F.lit(plain))
+    return F.trim(F.regexp_replace(out, "[,;]+$", ""))
+
+
+def annex_title(title: Column, annex: Column) -> Column:
+    """What follows the first dash of an annex's title; '' if the title is no more than the annex's name."""
+    t, name = F.trim(title), F.lower(F.trim(annex))
+    parts = F.filter(F.transform(F.split(t, "—"), lambda x: F.trim(x)), lambda x: x != "")
+    bare = (name != "") & ((F.lower(t) == name) | F.lower(t).endswith(F.concat(F.lit(" "), name)))
+    return F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 2, 1000), " — ")).when(bare, "").otherwise(F.coalesce(t, F.lit("")))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute in double or else in single quotes; null without one."""
+    double = F.when(tag.rlike(rf'(?i)\b{name}="'), F.regexp_extract(tag, rf'(?i)\b{name}="([^"]*)"', 1))
+    return F.coalesce(double, first_match(tag, rf"(?i)\b{name}='([^']*)'"))
+
+
+# Grammar of headings.
+ARTICLE_HEADING, ANNEX_HEADING = r"(?i)^Article\s+\d+[A-Za-z]*$", r"(?i)^ANNEX(?:\s+[IVXLCDM0-9A-Za-z]+)?$"
+DIVISION_MARK = r"(?i)^(TITLE|CHAPTER|SECTION)\s+([IVXLCDM0-9A-Z]+)(?:\s+(.*))?$"
+
+
+def likely_article_title(line: Column) -> Column:
+    """A line under a heading that is its title: short, no heading itself, not numbered, no sentence."""
+    numbered = line.rlike(r"^\d+\.") | line.rlike(r"(?i)^\([a-z0-9ivxlcdm]+\)")
+    return (line != "") & ~line.rlike(ARTICLE_HEADING) & ~line.rlike(ANNEX_HEADING) & ~numbered & (F.length(line) <= 180) & ~line.rlike("[.;!?]$")
+
+
+def likely_division_title(line: Column) -> Column:
+    """A line in capitals that is no heading itself."""
+    t = collapsed(line)
+    return t.rlike("[A-Za-z]") & (t == F.upper(t)) & (F.length(t) <= 220) & ~t.rlike(ARTICLE_HEADING) & ~t.rlike(ANNEX_HEADING) & ~t.rlike(DIVISION_MARK)
+
+
+def line_kind(line: Column) -> Column:
+    t = collapsed(line)
+    return (F.when(t.rlike(ARTICLE_HEADING), "article").when(t.rlike(ANNEX_HEADING), "annex").when(t.rlike(DIVISION_MARK), F.lower(F.regexp_extract(t, DIVISION_MARK, 1)))
+            .when(likely_division_title(t), "division_title").when(likely_article_title(t), "title").otherwise("text"))
+
+
+def json_object(answer: Column) -> Column:
+    """The widest braces in a model's answer, without its fences; null if they hold no JSON object."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(answer), r"(?i)^```(?:json)?\s*", ""), r"(?i)```\s*$", ""))
+    found = F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit(""))
+    return F.when(F.try_parse_json(found).isNotNull(), found)
+
+
+def titles_by_key(answer: Column, valid: Column) -> Column:
+    """Of a model's answer the entries whose keys are valid, as cleaned titles that aren't empty."""
+    entries = F.from_json(json_object(answer), "map<string,string>")
+    trimmed = F.map_from_entries(F.transform(F.map_entries(entries), lambda e: F.struct(F.trim(e["key"]).alias("key"), recital_title(e["value"]).alias("value"))))
+    return F.map_filter(F.coalesce(trimmed, F.create_map().cast("map<string,string>")), lambda k, v: F.array_contains(valid, k) & (v != ""))
+
+
+def is_formex(document: Column) -> Column:
+    return document.contains("COMBINED.FMX") | (document.contains("<ACT") & F.lower(document).contains("formex") & document.contains("<ENACTING.TERMS"))
+
+
+def payload_kind(payload: Column) -> Column:
+    """What a stored law is: Formex or other XML, a combined document or an envelope around one, or something else."""
+    bare = F.trim(payload)
+    parsed = F.try_parse_json(bare)
+    has = lambda path: F.try_variant_get(parsed, path, "variant").isNotNull()
+    return (F.when(bare.startswith("<"), F.when(is_formex(bare), "formex").otherwise("xml")).when(has("$.articles"), "combined")
+            .when(has("$.payload"), "envelope").otherwise("unknown"))
+
+
+def document_language(html: Column) -> Column:
+    """The language that a page's meta tag names, else that of its header cell, else English."""
+    meta = attribute(first_match(html, r"""(?i)(<meta\b[^>]*name=["']WT\.z_usr_lan["'][^>]*>)"""), "content")
+    cell = first_match(html, r"(?is)<p\b[^>]*class=\"[^\"]*\boj-hd-lg\b[^\"]*\"[^>]*>(.*?)</p>")
+    code = lambda x: F.nullif(F.upper(F.trim(F.regexp_replace(x, "<[^>]*>", ""))), F.lit(""))
+    return F.coalesce(code(meta), code(cell), F.lit("EN"))
+
+
+def html_title(html: Column) -> Column:
+    """An act's title in a page: from its meta tag, else from the first of three elements that has a usable one."""
+    meta = attribute(first_match(html, r"""(?i)(<meta\b[^>]*name=["']WT\.z_docTitle["'][^>]*>)"""), "content")
+    inner = lambda name: without_tags(F.regexp_extract(html, rf"""(?is)<[^>]+id=["']{name}["'][^>]*>(.*?)</[^>]+>""", 1))
+    return F.coalesce(registry_title(decoded(meta)), *(registry_title(inner(name)) for name in ("englishTitle", "title", "originalTitle")))
+
+
+def xml_title(xml: Column) -> Column:
+    """The best of a document's title blocks: a type of act, a number, parentheses and length speak for one; the first wins ties."""
+    blocks = F.regexp_extract_all(xml, F.lit(r"(?is)<TITLE\b.*?</TITLE>"), F.lit(0))
+
+    def candidate(block: Column, at: Column) -> Column:
+        lines = F.transform(F.regexp_extract_all(block, F.lit(r"(?is)<TI\b[^>]*>(.*?)</TI>"), F.lit(1)), without_tags)
+        title = registry_title(F.when(F.size(lines) > 0, F.trim(F.array_join(lines, " "))).otherwise(without_tags(block)))
+        points = [F.when(title.rlike(p), n).otherwise(0) for p, n in ((r"(?i)\b(regulation|directive|decision)\b", 100), (r"\b\d{4}/\d+\b", 30), (r"\([^)]+\)", 15))]
+        return F.struct((sum(points[1:], points[0]) + F.least(F.length(title), F.lit(200)) / 10).alias("score"), (-at).alias("place"), title.alias("title"))
+
+    return F.array_max(F.filter(F.transform(blocks, candidate), lambda c: c["title"].isNotNull()))["title"]
+
+
+def stream_text(log: Column) -> Column:
+    """The text of a stream of events: the deltas of its ``data:`` lines, frame by frame; what was thought where nothing was said."""
+    lines = F.transform(F.filter(F.split(F.replace(log, F.lit("\r"), F.lit("")), "\n"), lambda x: x.startswith("data:")), lambda x: F.trim(F.substring(x, 6, 1_000_000)))
+    frames = F.filter(lines, lambda x: F.try_parse_json(x).isNotNull())
+    said = lambda name: F.array_join(F.transform(frames, lambda x: F.coalesce(F.get_json_object(x, f"$.choices[0].delta.{name}"), F.lit(""))), "")
+    return F.coalesce(F.nullif(said("content"), F.lit("")), said("reasoning"))

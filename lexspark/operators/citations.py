@@ -2,28 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions import refs
 
 
+# Acts that are cited by name, and the grammar of citations in judgments.
+NAMED_ACTS = ["GDPR", "Charter", "TFEU", "TEU", "ECHR"]
+_ONE = r"Articles?\s+\d+(?:\(\d+\))*(?:\([a-z]\))?\s+of\s+"
+_MANY = r"Articles\s+[\d,\s]+(?:and\s+\d+)?\s+of\s+"
+_ACT = r"(?:Regulation|Directive|Decision)\s+\(?(?:EU|EC|EEC|Euratom)?\)?\s*(?:No\s+)?\d{2,4}/\d+"
+_NAME = r"(?:the\s+)?(?:GDPR|Charter|TFEU|TEU|ECHR)"
+CITATION_PATTERNS = [f"(?i){p}" for p in (_ONE + _ACT, _ONE + r"(?:Regulation|Directive|Decision)\s+\d{2,4}/\d+", _ONE + _NAME, _MANY + _ACT, _MANY + _NAME, r"Article\s+\d+(?:\(\d+\))?\s+(?:TFEU|TEU|ECHR)")]
+
+
 def pill(citation: Column) -> Column:
     """``Article 6(1) of Regulation (EU) 2016/679`` to ``Art. 6(1) GDPR``."""
     label = F.regexp_replace(citation, r"(?i)^Articles?\s+", "Art. ")
-    act = r"(?i)\s+of\s+(?:Regulation|Directive|Decision)\s+\(?(?:EU|EC|EEC|Euratom)?\)?\s*(?:No\s+)?"
-    named = r"(?i)\s+of\s+(?:the\s+)?(GDPR|Charter|TFEU|TEU|ECHR).*$"
-    return (F.when(label.rlike(named), F.regexp_replace(label, named, " $1")).when(label.rlike(act + "2016/679"), F.regexp_replace(label, act + r"2016/679.*$", " GDPR"))
+    act = r"(?is)\s+of\s+(?:Regulation|Directive|Decision)\s+\(?(?:EU|EC|EEC|Euratom)?\)?\s*(?:No\s+)?"
+    of = lambda name: rf"(?is)\s+of\s+(?:the\s+)?{name}"
+    out = F.when(F.lit(False), label)
+    for name in NAMED_ACTS:
+        out = out.when(label.rlike(of(name)), F.regexp_replace(label, of(name) + ".*$", f" {name}"))
+    return (out.when(label.rlike(act + "2016/679"), F.regexp_replace(label, act + r"2016/679.*$", " GDPR"))
             .when(label.rlike(act + r"\d{2,4}/\d+"), F.regexp_replace(label, act + r"(\d{2,4}/\d+).*$", " $1")).otherwise(label))
 
 
+def article_citations(text: Column) -> Column:
+    """Citations of articles in a judgment's text as written: those of each pattern in turn, each once whatever its case."""
+    clean = F.trim(F.regexp_replace(text, r"\s+", " "))
+    found = F.flatten(F.array(*(F.regexp_extract_all(clean, F.lit(p), F.lit(0)) for p in CITATION_PATTERNS)))
+    first = F.filter(F.transform(found, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: F.array_position(F.transform(found, F.lower), F.lower(e["x"])) == e["i"] + 1)
+    return F.transform(first, lambda e: F.trim(e["x"]))
+
+
 def structured(pills: DataFrame, key: list[str], column: str = "pill") -> DataFrame:
-    """One row per article token of compact citations, composites split: act, act_celex, article, paragraph, point."""
+    """One row per different article token of compact citations, composites split: act, act_celex, article, paragraph, point,
+    and at, the place of the token's first mention."""
     form = r"^Art\.?\s+(.+?)\s+([A-Za-z]+|\d{2,4}/\d+)\s*$"
     tokens = F.split(F.regexp_replace(F.regexp_extract(column, form, 1), r"(?i)\s+and\s+", ", "), ",")
     rows = pills.where(F.col(column).rlike(form)).select(*key, column, F.regexp_extract(column, form, 2).alias("act"), F.posexplode(tokens).alias("at", "token"))
     article, paragraph, point = refs.article_parts(F.col("token"))
-    return rows.select(*key, "at", "act", refs.act_celex(F.col("act")).alias("act_celex"), article.alias("article"), paragraph.alias("paragraph"), point.alias("point")).where("article is not null")
+    return rows.select(*key, "at", "act", refs.act_celex(F.col("act")).alias("act_celex"), article.alias("article"), paragraph.alias("paragraph"), point.alias("point")).where("article is not null").groupBy(*key, "act", "act_celex", "article", "paragraph", "point").agg(F.min("at").alias("at"))
 
 
 def cases_for_article(structured_refs: DataFrame, case: str, act: str, article: str) -> DataFrame:
@@ -31,8 +52,8 @@ def cases_for_article(structured_refs: DataFrame, case: str, act: str, article:
 
 
 def expanded_ranges(ranges: DataFrame, most: int = 50) -> DataFrame:
-    """Rows (src, first, last) to one row per article of the range; wider ranges keep their ends."""
-    span = F.when((F.col("last") >= F.col("first")) & (F.col("last") - F.col("first") <= most), F.sequence("first", "last")).otherwise(F.array("first", "last"))
+    """Rows (src, first, last) to one row per article of the range; of wider ranges only the first is known to be meant."""
+    span = F.when((F.col("last") >= F.col("first")) & (F.col("last") - F.col("first") <= most), F.sequence("first", "last")).otherwise(F.array("first"))
     return ranges.select("src", F.explode(span).alias("article"))
 
 
@@ -54,7 +75,3 @@ def definitions_used(units: DataFrame, definitions: DataFrame) -> DataFrame:
     """(doc_id, item_id) where a document holds a definition's term as a word; a term is one token, so it is an equi-join."""
     words = units.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("term"))
     return words.join(definitions, "term").select("doc_id", "item_id").distinct()
-
-
-def first_by(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__r = 1").drop("__r")

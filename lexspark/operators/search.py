@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions import refs, text
@@ -28,8 +29,12 @@ QUERY_REWRITES = {
 }
 
 
+def bare(query: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", query.lower()) if not "\u0300" <= c <= "\u036f")
+
+
 def plain(query: str) -> str:
-    return re.sub("[^a-z0-9]+", " ", query.lower()).strip()
+    return re.sub("[^a-z0-9]+", " ", bare(query)).strip()
 
 
 def parsed_query(query: str, rewrite: bool = True) -> dict:
@@ -37,9 +42,9 @@ def parsed_query(query: str, rewrite: bool = True) -> dict:
     raw = QUERY_REWRITES.get(plain(query), query) if rewrite else query
     normal = plain(raw)
     small = normal.replace(" ", "")
-    typed = re.search(r"\b(regulation|directive|decision)\b[^0-9]*(\d{4})\s*/\s*(\d{1,4})\b", raw.lower())
-    slash = re.search(r"\b(\d{4})\s*/\s*(\d{1,4})\b", raw)
-    kind = re.search(r"\b(regulation|directive|decision)\b", raw.lower())
+    typed = re.search(r"\b(regulation|directive|decision)\b[^0-9]*(\d{4})\s*/\s*(\d{1,4})\b", bare(raw))
+    slash = re.search(r"\b(\d{4})\s*/\s*(\d{1,4})\b", bare(raw))
+    kind = re.search(r"\b(regulation|directive|decision)\b", bare(raw))
     celex = re.match(r"^3\d{4}[RLD]\d{1,4}$", small.upper())
     year, number = typed.groups()[1:] if typed else slash.groups() if slash else (None, None)
     return {
@@ -50,13 +55,16 @@ def parsed_query(query: str, rewrite: bool = True) -> dict:
 
 def enriched(records: DataFrame) -> DataFrame:
     """Records with normalised fields, identifier parts, act kind and aliases."""
-    known = F.create_map(*(x for k, v in KNOWN_ALIASES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    known = F.create_map(*(x for k, v in KNOWN_ALIASES.items() for x in (F.lit(k), F.array(*(F.lit(plain(a)) for a in v)))))
+    title = text.registry_title(F.col("title"))
     base = records.withColumns({
-        "n_title": text.normalized(F.col("title")), "n_celex": F.lower("celex"), "n_eli": text.normalized(F.col("eli")), "kind": refs.eli_kind(F.col("eli")),
+        "title": title, "n_title": text.normalized(title), "n_celex": F.lower("celex"), "n_eli": text.normalized(F.col("eli")), "kind": refs.eli_kind(F.col("eli")),
         "celex_year": refs.celex_year(F.col("celex")), "celex_number": refs.celex_number(F.col("celex")), "celex_type": refs.celex_type(F.col("celex")),
     })
-    names = F.array_compact(F.concat(F.array("n_celex", F.concat_ws(" ", "celex_type", "n_celex"), "n_title", text.acronym(F.col("title"))), F.coalesce(F.try_element_at(known, F.col("celex")), F.array().cast("array<string>"))))
-    both = F.concat(names, F.transform(names, lambda x: F.replace(x, F.lit(" "), F.lit(""))))
+    named = F.coalesce(F.try_element_at(known, F.col("celex")), F.array().cast("array<string>"))
+    short = F.coalesce(text.acronym_variants(F.col("title")), F.array().cast("array<string>"))
+    names = F.array_compact(F.concat(F.array("n_celex", "celex_type", F.concat_ws(" ", "celex_type", "n_celex"), "n_title"), short, named))
+    both = F.concat(names, F.transform(F.filter(names, lambda x: F.length(x) >= 2), lambda x: F.replace(x, F.lit(" "), F.lit(""))))
     return base.withColumns({"is_primary": (F.col("kind") == "primary") & ~refs.is_corrigendum(F.col("celex")), "aliases": F.filter(F.array_distinct(both), lambda x: x != "")})
 
 
@@ -107,25 +115,21 @@ def law_score(q: dict) -> Column:
 
 
 def match_reason(q: dict) -> Column:
-    reference = (F.col("celex_year") == q["year"]) & (F.col("celex_number") == q["number"]) if q["year"] and q["number"] else F.lit(False)
+    reference = (F.col("celex_type") == q["type"]) & (F.col("celex_year") == q["year"]) & (F.col("celex_number") == q["number"]) if q["type"] and q["year"] and q["number"] else F.lit(False)
+    small = F.replace(F.col("n_title"), F.lit(" "), F.lit(""))
     return (F.when(F.col("celex") == (q["celex"] or ""), "celex_exact").when(F.array_contains("aliases", q["normal"]) | F.array_contains("aliases", q["compact"]), "alias_exact")
-            .when(reference, "reference_exact").when(F.col("n_title") == q["normal"], "title_exact").when(F.col("n_title").contains(q["normal"]), "title_phrase").otherwise("token_match"))
+            .when(reference, "reference_exact").when((F.col("n_title") == q["normal"]) | (small == q["compact"]), "title_exact")
+            .when(F.col("n_title").contains(q["normal"]) | small.contains(q["compact"]), "title_phrase").otherwise("token_match"))
 
 
 def law_search(records: DataFrame, query: str, limit: int = 10, rewrite: bool = True) -> DataFrame:
-    """The best records for a query: score, then date, then the registry's order; at most 50."""
+    """The best primary acts for a query: score, then date, then the registry's order; at most 50."""
     q = parsed_query(query, rewrite)
-    scored = enriched(records).withColumns({"score": law_score(q), "match_reason": match_reason(q)})
+    scored = enriched(records).where("is_primary").withColumns({"score": law_score(q), "match_reason": match_reason(q)})
     order = [F.desc("score"), F.desc(F.coalesce("date", F.lit(""))), F.asc("ord")]
     return scored.where("score > 0").orderBy(*order).limit(max(1, min(limit or 10, 50))).select("celex", "title", "type", "date", "eli", "score", "match_reason")
 
 
-def unique_matches(keys: DataFrame, records: DataFrame, key: str) -> DataFrame:
-    """Left join on ``key`` that only takes a record if the key leads to exactly one."""
-    single = records.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.first("celex").alias("match")).where("n = 1").select(key, "match")
-    return keys.join(single, key, "left")
-
-
 def with_supplements(records: DataFrame, supplements: DataFrame) -> DataFrame:
     """Records and those supplements whose identifier they lack."""
     return records.unionByName(supplements.join(records.select("celex"), "celex", "left_anti"), allowMissingColumns=True)
@@ -138,10 +142,6 @@ def resolved(references: DataFrame, records: DataFrame) -> DataFrame:
     return references.join(hits, ["year", "number"], "left").select(*references.columns, state.alias("state"), F.when(F.col("hits") == 1, F.col("celex")).alias("celex"))
 
 
-def last_per_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__r = 1").drop("__r")
-
-
 def rewritten(query: Column) -> Column:
     """The query that stands for a shorthand, else the query itself."""
     known = F.create_map(*(F.lit(x) for pair in QUERY_REWRITES.items() for x in pair))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.functions.text import tokens
+from lexspark.functions.text import STOPWORDS_EN, tokens
 
 # Fixed values of the linking.
 BETA, GAMMA, FLOOR, SECOND, MOST_ARTICLES = 0.9, 2, 0.15, 0.75, 2
@@ -36,21 +38,32 @@ def magnitudes(weights: DataFrame, key: list[str]) -> DataFrame:
     return weights.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("magnitude"))
 
 
-def content_search(docs: DataFrame, query: str, key: str = "doc_id", limit: int = 10) -> DataFrame:
-    """Documents by 100 times the cosine with the query's weights, plus 50 if the text begins with it; scores over 0.5.
+def usable_tokens(query: str) -> list[str]:
+    cleaned = re.sub(r"[^\w\s\u00c0-\u024f]", " ", query.lower(), flags=re.ASCII)
+    return [t for t in cleaned.split() if len(t) > 2 and t not in STOPWORDS_EN]
+
+
+def content_search(docs: DataFrame, query: str, key: str = "doc_id") -> DataFrame:
+    """All documents (key, text, title) with a score over 0.5, best first: 100 times the cosine with the query's weights, plus
+    200 if the query is the document's key and 50 if its title holds the query.
 
     A query without usable tokens falls back to documents that contain it, with score 1."""
+    asked = usable_tokens(query)
+    if not asked:
+        return substring_fallback(docs, query, key)
     f = tf(docs, [key])
     i = idf(f, docs.agg(F.count(F.lit(1)).alias("n")))
-    weights = f.join(i, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    spark = docs.sparkSession
-    asked = spark.range(1).select(F.lit(query).alias("text"), F.lit(0).alias("q"))
-    q = tf(asked, ["q"]).join(i, "term").select("term", (F.col("tf") * F.col("idf")).alias("qw"))
+    # The query is a few literals; only documents that share a term with it need their length.
+    times = F.create_map(*(F.lit(x) for t in sorted(set(asked)) for x in (t, asked.count(t))))
+    q = i.where(F.col("term").isin(asked)).select("term", (times[F.col("term")] * F.col("idf")).alias("qw"))
     norm = q.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))  # one row
-    dots = weights.join(F.broadcast(q), "term").groupBy(key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))  # a query's terms
-    cosine = dots.join(magnitudes(weights, [key]), key).join(F.broadcast(norm)).select(key, F.when((F.col("magnitude") > 0) & (F.col("q_norm") > 0), F.col("dot") / (F.col("magnitude") * F.col("q_norm"))).otherwise(0.0).alias("cosine"))
-    scored = docs.select(key, F.lower("text").startswith(query.lower()).alias("starts")).join(cosine, key, "left").select(key, F.round(100 * F.coalesce("cosine", F.lit(0.0)) + F.when(F.col("starts"), 50.0).otherwise(0.0), 6).alias("score"))
-    return scored.where("score > 0.5").orderBy(F.desc("score"), key).limit(limit)
+    near = f.where(F.col("term").isin(asked)).select(key).distinct()
+    weights = f.join(near, key, "left_semi").join(i, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    parts = weights.join(F.broadcast(q), "term", "left").groupBy(key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("magnitude"))
+    cosine = parts.join(F.broadcast(norm)).select(key, F.when((F.col("magnitude") > 0) & (F.col("q_norm") > 0), F.col("dot") / (F.col("magnitude") * F.col("q_norm"))).otherwise(0.0).alias("cosine"))
+    bonus = F.when(F.col(key).cast("string") == query.lower(), 200.0).otherwise(0.0) + F.when(F.lower("title").contains(query.lower()), 50.0).otherwise(0.0)
+    scored = docs.select(key, bonus.alias("bonus")).join(cosine, key, "left").select(key, F.round(100 * F.coalesce("cosine", F.lit(0.0)) + F.col("bonus"), 6).alias("score"))
+    return scored.where("score > 0.5").orderBy(F.desc("score"), key)
 
 
 def substring_fallback(docs: DataFrame, query: str, key: str = "doc_id") -> DataFrame:
@@ -76,7 +89,7 @@ def recital_scores(units: DataFrame) -> DataFrame:
     raw = F.round(F.when((F.col("m_recital") > 0) & (F.col("m_article") > 0), F.col("dot") / (F.col("m_recital") * F.col("m_article"))).otherwise(0.0), 9)
     r_pos, a_pos = (F.col("recital") - 1) / F.greatest(F.col("n_r") - 1, F.lit(1)), (F.col("article") - 1) / F.greatest(F.col("n_a") - 1, F.lit(1))
     prior = F.pow(1 - BETA * F.abs(r_pos - a_pos), F.lit(GAMMA))
-    return joined.select("doc_id", "recital", "article", raw.alias("raw")).join(joined.select("doc_id", "recital", "article", prior.alias("prior")), ["doc_id", "recital", "article"]).select("doc_id", "recital", "article", "raw", F.round(F.col("raw") * F.col("prior"), 9).alias("score"))
+    return joined.select("doc_id", "recital", "article", raw.alias("raw"), prior.alias("prior")).select("doc_id", "recital", "article", "raw", F.round(F.col("raw") * F.col("prior"), 9).alias("score"))
 
 
 def recital_links(units: DataFrame) -> DataFrame:

@@ -62,8 +62,9 @@ SQL: dict[str, str] = {
     "official_ref_key": f"with {REGISTRY} select ord, type || '|' || substring(celex, 2, 4) || '|' || (substring(celex, 7)::int)::varchar as key from registry",
     "case_number_celex": "select p_partkey, '6' || case when p_size % 100 > 50 then '19' else '20' end || lpad((p_size % 100)::varchar, 2, '0') || 'CJ' || lpad((p_partkey % 10000)::varchar, 4, '0') as celex, 'C-' || (p_partkey % 10000) || '/' || lpad((p_size % 100)::varchar, 2, '0') as again from part",
     "ref_parse_backend": f"with {CITES} select src, ord, 'regulation' as act_type, regexp_extract(citation, '\\b(\\d{{4}})/(\\d{{1,4}})\\b', 1) as year, regexp_extract(citation, '\\b(\\d{{4}})/(\\d{{1,4}})\\b', 2) as number from cites",
-    "ref_parse_official": "select o_orderkey, case when y2 then case when o_orderkey % 100 >= 50 then 1900 + o_orderkey % 100 else 2000 + o_orderkey % 100 end else 1990 + o_orderkey % 30 end::varchar as year, (o_custkey % 10000)::varchar as number from (select *, o_orderkey % 2 = 0 as y2 from orders) where not (y2 and o_orderkey % 100 < 10) and o_custkey % 10000 >= 10 and (not y2 or o_custkey % 10000 < 1000)",
-    "url_classify": "select page_id, 'html' as kind from pages",
+    "ref_parse_official": """with o as (select o_orderkey, case when o_orderkey % 2 = 0 then 'Directive ' || (o_orderkey % 100) || '/' || (o_custkey % 10000) || '/EC' else 'Regulation (EU) ' || (1990 + o_orderkey % 30) || '/' || (o_custkey % 10000) end as c from orders),
+ p as (select o_orderkey, regexp_extract(c, '\\b(\\d{4})/(\\d{1,4})', 1) as a, regexp_extract(c, '\\b(\\d{4})/(\\d{1,4})', 2) as b, regexp_extract(c, '\\b(\\d{1,4})/(\\d{2,4})', 1) as e, regexp_extract(c, '\\b(\\d{1,4})/(\\d{2,4})', 2) as f from o)
+ select o_orderkey, case when a <> '' then a when length(e) = 2 then (case when e::int >= 50 then 1900 else 2000 end + e::int)::varchar else nullif(e, '') end as year, case when a <> '' then b else nullif(f, '') end as number from p""",
     "ip_truncate": f"with {REQUESTS} select id, regexp_replace(ip, '^(\\d+\\.\\d+\\.\\d+)\\.\\d+$', '\\1.0') as ip from requests",
     "unique_match_join": f"with {REGISTRY}, one as (select celex, min(title) as title from registry group by celex having count(*) = 1) select r.ord, r.celex, o.title as match_title from registry r left join one o using (celex)",
     "supplement_antijoin": f"with {REGISTRY}, s as (select '32000L0031' as celex union all select '32002L0058' union all select celex from registry where ord < 5) select celex from registry union all select celex from s where celex not in (select celex from registry)",
@@ -73,7 +74,7 @@ SQL: dict[str, str] = {
     "doc_magnitude": f"with {TF_DOCS} select doc_id, round(sqrt(sum(tf * idf * tf * idf)), 6) as magnitude from tf join idf using (term) group by 1",
     "content_search": f"""with {TF_DOCS}, q as (select term, count(*) as tf from (select unnest({TOKENS.format("'there thention anonst'")}) as term) group by 1), qw as (select term, q.tf * idf as qw from q join idf using (term)), w as (select doc_id, term, tf * idf as w from tf join idf using (term)),
       c as (select doc_id, sum(w * qw) / (max(m) * max(qn)) as cosine from w join qw using (term) join (select doc_id, sqrt(sum(w * w)) as m from w group by 1) using (doc_id), (select sqrt(sum(qw * qw)) as qn from qw) group by 1)
-      select doc_id, round(100 * coalesce(cosine, 0) + case when starts_with(lower(text), 'there thention anonst') then 50 else 0 end, 6) as score from documents left join c using (doc_id) where round(100 * coalesce(cosine, 0) + case when starts_with(lower(text), 'there thention anonst') then 50 else 0 end, 6) > 0.5 order by score desc, doc_id limit 10""",
+      select doc_id, round(100 * coalesce(cosine, 0) + case when contains(lower(string_split(text, chr(10))[1]), 'there thention anonst') then 50 else 0 end, 6) as score from documents left join c using (doc_id) where round(100 * coalesce(cosine, 0) + case when contains(lower(string_split(text, chr(10))[1]), 'there thention anonst') then 50 else 0 end, 6) > 0.5""",
     "substring_fallback": "select doc_id, 1.0::double as score from documents where contains(lower(text), 'the of')",
     "recital_links": f"with {RECITALS} select * from links",
     "recital_orphans": f"with {RECITALS} select doc_id, ord as recital from units u where kind = 'recital' and not exists (select 1 from links l where l.doc_id = u.doc_id and l.recital = u.ord)",
@@ -82,7 +83,7 @@ SQL: dict[str, str] = {
     "citation_refs": f"with {CITES}, {PIECES} select src, ord, case when yn = '2016/679' then 'GDPR' else yn end as act, case case when yn = '2016/679' then 'GDPR' else yn end {ACT_MAP} end as act_celex, regexp_extract(citation, 'Article (\\d+)', 1) as article, regexp_extract(citation, '\\((\\d+)\\)', 1) as paragraph, 'a' as point from pieces",
     "composite_split": "select o_orderkey, unnest([(o_orderkey % 9)::varchar, (o_orderkey % 5 + 10)::varchar, (o_orderkey % 7 + 20)::varchar]) as article, 'GDPR' as act from orders",
     "cases_for_article": f"with {CITES}, {PIECES} select distinct src from pieces where yn = '2005/50' and regexp_extract(citation, 'Article (\\d+)', 1) = '1'",
-    "range_expand": "select o_orderkey as src, unnest(case when o_custkey % 60 <= 50 then generate_series(o_orderkey % 50, o_orderkey % 50 + o_custkey % 60) else [o_orderkey % 50, o_orderkey % 50 + o_custkey % 60] end) as article from orders",
+    "range_expand": "select o_orderkey as src, unnest(case when o_custkey % 60 <= 50 then generate_series(o_orderkey % 50, o_orderkey % 50 + o_custkey % 60) else [o_orderkey % 50] end) as article from orders",
     "back_references": f"with {EDGES} select act, count(distinct law) as n_sources, min(law) as first_source from edges where law <> act group by 1",
     "external_overview": f"with {EDGES} select act, count(*) as n, arg_min(kind, (law, ord, kind)) as first_kind from edges group by 1",
     "related_instruments": f"with {EDGES} select act, count(*) as n, arg_min(kind, (law, ord, kind)) as first_kind from edges group by 1 order by n desc, act limit 12",
@@ -93,7 +94,7 @@ SQL: dict[str, str] = {
     "flat_sessionize": f"with {UNITS}, g as (select *, sum(case when length(text) < 40 then 1 else 0 end) over (partition by doc_id order by pos) as grp from units) select doc_id, grp, min(pos) as heading_pos, count(*) as n_lines, sum(length(text)) as n_chars from g where grp > 0 group by 1, 2",
     "prev_next": f"with {UNITS} select doc_id, pos, lag(pos) over w as prev_pos, lead(pos) over w as next_pos from units window w as (partition by doc_id order by pos)",
     "batch_35": f"with {UNITS} select doc_id, (pos - 1) // 35 as batch, count(*) as n, min(pos) as first_pos from units group by 1, 2",
-    "bilingual_align": f"with {UNITS}, u as (select *, doc_id // 20 as law from units where pos <= 5), one as (select law, kind, ord, min(length(text)) as chars from u where lang = 'en' group by all), two as (select law, kind, ord, min(length(text)) as other_chars from u where lang = 'fr' group by all) select * from one left join two using (law, kind, ord)",
+    "bilingual_align": f"with {UNITS}, v as (select doc_id, doc_id // 20 as law, row_number() over (partition by doc_id // 20, lang order by doc_id) as version from documents), u as (select * from units join v using (doc_id)), two as (select law, version, kind, ord, length(text) as other_chars from u where lang = 'fr') select law, version, kind, ord, length(text) as chars, other_chars from u left join two using (law, version, kind, ord) where u.lang = 'en'",
     "graph_amendments": f"with {EDGES} select distinct law, date, ord from edges where act = 7 and kind = 'amends' order by date, law, ord limit 50",
     "graph_implementing": f"with {EDGES} select distinct law, date, ord from edges where act = 7 and kind = 'implements' order by date, law, ord limit 100",
     "graph_cases": f"with {EDGES}, {REGISTRY} select celex, count(distinct law) as n_cases, max(e.date) as latest from edges e join registry r on e.act = r.ord where kind = 'interprets' group by 1",

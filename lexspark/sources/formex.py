@@ -11,8 +11,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 SCHEMA = "doc_id long, kind string, ordinal long, number string, title string, text string, chapter string, section string, error string"
 _QUOTES = {"QUOT.START": "‘", "QUOT.END": "’"}
@@ -24,14 +23,16 @@ def plain_text(node: ET.Element | None) -> str:
     if node is None:
         return ""
 
-    def parts(e: ET.Element) -> Iterator[str]:
-        yield _QUOTES.get(e.tag, "")
-        yield e.text or ""
-        for child in e:
-            yield from parts(child)
-            yield child.tail or ""
-
-    return re.sub(r"[ \t\r\n]+", " ", "".join(parts(node))).strip(" ")
+    found: list[str] = []
+    todo: list[ET.Element | str] = [node]
+    while todo:  # a stack, as documents may be nested deeply
+        e = todo.pop()
+        if isinstance(e, str):
+            found.append(e)
+            continue
+        found += (_QUOTES.get(e.tag, ""), e.text or "")
+        todo += [x for child in reversed(e) for x in (child.tail or "", child)]
+    return re.sub(r"[ \t\r\n]+", " ", "".join(found)).strip(" ")
 
 
 def shredded(doc_id: int, xml: str) -> Iterator[tuple]:
@@ -83,7 +84,3 @@ def parsed(acts: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return acts.select("doc_id", "xml").mapInPandas(shred, SCHEMA)
-
-
-def is_formex(text: Column) -> Column:
-    return text.contains("COMBINED.FMX") | (text.contains("<ACT") & F.lower(text).contains("formex") & text.contains("<ENACTING.TERMS"))

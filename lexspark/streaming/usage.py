@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +25,8 @@ def rate_limited(stream: DataFrame, window_seconds: int = 900, most: int = 100)
     """The rate limiter with state per client: start of the window and requests in it.
 
     A client's requests of one micro-batch are held together (time and id only) and folded in the order of time; a request
-    that comes with a later micro-batch counts from where the earlier ones ended.
+    that comes with a later micro-batch counts from where the earlier ones ended. The state, two numbers a client, is never
+    dropped: a time-out by the clock would keep a run that ends with the input (availableNow) from ending.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -57,7 +57,11 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     Output and checkpoint lie in the shared folder of the cluster, so that a lost executor or driver resumes from there.
     """
     spark = stream.sparkSession
-    home = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lexspark-streams-")
+    home, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not home:
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        home = "file://" + tempfile.mkdtemp(prefix="lexspark-streams-")
     path = f"{home.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
     query.awaitTermination()

@@ -5,9 +5,11 @@ from __future__ import annotations
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexspark import catalogue
-from lexspark.operators import search, usage
+from lexspark.functions import text
+from lexspark.operators import citations, search, tfidf, usage
 from lexspark.sources import adapters, formex
 from lexspark.streaming import usage as streams
 
@@ -52,6 +54,51 @@ def test_first_found_act(spark, query, celex):
     assert search.law_search(records, query, 1, rewrite=False).first().celex == celex
 
 
+def one(spark, **columns):
+    return spark.createDataFrame([tuple(columns.values())], ", ".join(f"{k} string" for k in columns))
+
+
+def test_answers_of_the_search(spark):
+    """Aliases, match reasons and queries with marks."""
+    rows = [(0, "32022R1925", "Regulation on markets (Digital Markets Act)", "regulation", "2022-01-01", "http://x/eli/reg/2022/1925/oj"), (1, "32016L0679", "CORRELATION TABLE", "directive", "2016-01-01", "http://x/eli/dec_impl/2016/679/oj")]
+    records = spark.createDataFrame(rows, "ord long, celex string, title string, type string, date string, eli string")
+    found = {r.ord: r for r in search.enriched(records).collect()}
+    assert {"regulation", "dma", "digital markets act", "digitalmarketsact", "32022r1925", "regulation 32022r1925"} <= set(found[0].aliases)
+    assert found[1].title is None and found[1].kind == "other" and not found[1].is_primary
+    reason = lambda q: {r.ord: r.r for r in search.enriched(records).select("ord", search.match_reason(search.parsed_query(q, False)).alias("r")).collect()}
+    assert reason("2016/679")[1] == "token_match" and reason("directive 2016/679")[1] == "reference_exact" and reason("digital markets")[0] == "title_phrase"
+    assert search.plain("Protección de datos") == "proteccion de datos"
+    assert [r.celex for r in search.law_search(records, "directive 2016/679").collect()] == ["32022R1925"]  # the other is no primary act
+
+
+def test_citation_forms(spark):
+    said = {"Article 6(1) of the gdpr": "Art. 6(1) GDPR", "Article 6(1) of Regulation (EU) 2016/679 on data": "Art. 6(1) GDPR", "Articles 7 and 8 of the charter, read": "Art. 7 and 8 Charter", "Article 4 of Directive 95/46/EC": "Art. 4 95/46", "Article 267 TFEU": "Article 267 TFEU".replace("Article", "Art.")}
+    for text, pill in said.items():
+        assert one(spark, c=text).select(citations.pill(F.col("c")).alias("p")).first().p == pill
+    rows = citations.structured(one(spark, k="a", pill="Art. 6, 6(1)(a), 6 and 7 GDPR"), ["k"]).orderBy("at").collect()
+    assert [(r.article, r.paragraph, r.point, r.act_celex) for r in rows] == [("6", None, None, "32016R0679"), ("6", "1", "a", "32016R0679"), ("7", None, None, "32016R0679")]
+    wide = spark.createDataFrame([("a", 1, 3), ("b", 1, 99), ("c", 5, 2)], "src string, first long, last long")
+    assert sorted((r.src, r.article) for r in citations.expanded_ranges(wide).collect()) == [("a", 1), ("a", 2), ("a", 3), ("b", 1), ("c", 5)]
+
+
+def test_content_search(spark):
+    docs = spark.createDataFrame([(1, "privacy of data subjects", "Privacy"), (2, "markets and privacy", "Markets"), (3, "fishing quotas", "Fish"), (4, "", "")], "doc_id long, text string, title string")
+    assert [r.doc_id for r in tfidf.content_search(docs, "privacy").collect()] == [1, 2]
+    assert [r.doc_id for r in tfidf.content_search(docs, "of").collect()] == [1]  # no usable token: documents that contain it
+    assert [(r.doc_id, r.score) for r in tfidf.content_search(docs, "3").collect()] == []
+    assert tfidf.content_search(docs, "fishing").first().score == pytest.approx(100 * 2**-0.5, abs=1e-5)
+
+
+def test_stopwords_are_counted_once():
+    assert len(text.STOPWORDS_EN) == len(set(text.STOPWORDS_EN)) == 158
+
+
+def test_deep_documents(spark):
+    deep = "<ACT><ENACTING.TERMS><ARTICLE><TI.ART>Article 1</TI.ART>" + "<P>" * 5000 + "x" + "</P>" * 5000 + "</ARTICLE></ENACTING.TERMS></ACT>"
+    rows = formex.parsed(spark.createDataFrame([(1, deep)], "doc_id long, xml string")).collect()
+    assert [(r.kind, r.text) for r in rows] == [("article", "x")]
+
+
 def places(rows, seconds=900):
     """Per client, in order: a window starts with its first request and holds those up to its end."""
     state, out = {}, {}
