@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lexspark.llm.chunks import ChunkCache, Chunks, between, free_separator, gathered
 from lexspark.llm.shared import record_batch, slices, texts_of
 
 MARK = "▁"
@@ -68,23 +69,11 @@ class DoubleArrayTrie:
                     todo.append((at + c, i, j, depth + 1))
         self.base, self.check = base, check
 
-    def prefixes(self, data: bytes, start: int):
-        """(end, number) of every piece that begins at ``start``."""
-        base, check, s, n = self.base, self.check, 0, len(data)
-        for end in range(start, n):
-            t = base[s] + data[end] + 1
-            if check[t] != s:
-                return
-            s = t
-            leaf = base[s]
-            if check[leaf] == s and base[leaf] < 0:
-                yield end + 1, -1 - base[leaf]
-
 
 class UnigramPieces:
     """Encoder and decoder of a SentencePiece model file's pieces and scores."""
 
-    def __init__(self, model_file: str, limit: int = 600_000):
+    def __init__(self, model_file: str, limit: int = 300_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -104,33 +93,44 @@ class UnigramPieces:
         self.trie = DoubleArrayTrie([(self.pieces[i].encode(), i) for i in normal])
         # A cut before a marker is safe if no piece crosses it: only pieces of markers alone may hold several.
         self.cuttable = not any(MARK in self.pieces[i].lstrip(MARK) for i in normal)
-        self.known: dict[str, bytes] = {}
-        self.limit = limit
+        self.known = ChunkCache(lambda words: [np.array(self.best(w), "<u4").tobytes() for w in words], limit)
+        shown = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.silent else " \u2047 ".encode() if i == self.unknown else p.encode() for i, p in enumerate(self.pieces)]
+        self.shown = np.frombuffer(b"".join(shown), np.uint8)
+        self.shown_size = np.fromiter(map(len, shown), np.int64, size)
+        self.shown_from = np.cumsum(self.shown_size) - self.shown_size
 
     def best(self, text: str) -> list[int]:
         """Ids of the best segmentation of normalised text."""
         data = text.encode()
         n = len(data)
-        score, source = [-np.inf] * (n + 1), [(-1, -1)] * (n + 1)
+        base, check, scores, low = self.trie.base, self.trie.check, self.scores, float("-inf")
+        score, source, chosen = [low] * (n + 1), [-1] * (n + 1), [-1] * (n + 1)
         score[0] = 0.0
         for at in range(n):
             here = score[at]
-            if here == -np.inf:
+            if here == low:
                 continue
             lead = data[at]
-            width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-            whole = False
-            for end, piece in self.trie.prefixes(data, at):
-                value = here + self.scores[piece]
-                if value > score[end]:
-                    score[end], source[end] = value, (at, piece)
-                whole |= end == at + width
-            if not whole and (value := here + self.unknown_score) > score[at + width]:
-                score[at + width], source[at + width] = value, (at, -1)
+            one = at + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
+            whole, state = False, 0
+            for end in range(at, n):  # down the trie, past every piece that begins here
+                child = base[state] + data[end] + 1
+                if check[child] != state:
+                    break
+                state = child
+                leaf = base[child]
+                if check[leaf] == child and base[leaf] < 0:
+                    piece = -1 - base[leaf]
+                    value = here + scores[piece]
+                    if value > score[end + 1]:
+                        score[end + 1], source[end + 1], chosen[end + 1] = value, at, piece
+                    whole = whole or end + 1 == one
+            if not whole and (value := here + self.unknown_score) > score[one]:
+                score[one], source[one], chosen[one] = value, at, -1
         out: list[int] = []
         at = n
         while at:
-            start, piece = source[at]
+            start, piece = source[at], chosen[at]
             if piece >= 0:
                 out.append(piece)
             elif self.byte_id:
@@ -140,36 +140,27 @@ class UnigramPieces:
             at = start
         return out[::-1]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of whole texts."""
-        if len(self.known) > self.limit:
-            self.known.clear()
-        out = []
-        known = self.known
-        for text in texts:
-            text = self.model.normalize(text) if text else ""
-            parts = re.findall(rf"{MARK}+[^{MARK}]*|[^{MARK}]+", text) if self.cuttable else [text]
-            found = []
-            for p in parts:
-                ids = known.get(p)
-                if ids is None:
-                    ids = np.array(self.best(p), "<u4").tobytes()
-                    if len(p) <= 64:
-                        known[p] = ids
-                found.append(ids)
-            out.append(b"".join(found))
-        return out
-
-    def decode(self, ids) -> str:
-        """The normalised text of ids, with spaces for markers and without the one that normalisation put in front."""
-        out = bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                out.append(self.byte_of[i])
-            elif i not in self.silent:
-                out += self.pieces[i].encode() if i != self.unknown else " ⁇ ".encode()
-        text = out.decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
+    def normalized(self, texts: list[str]) -> list[str]:
+        return [self.model.normalize(t) if t else "" for t in texts]
+
+    def encode(self, normal: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of whole normalised texts, one after the other, and the end of each text."""
+        separator = free_separator(normal) if self.cuttable else None
+        if separator is None:
+            words = Chunks(normal, np.arange(len(normal)), np.arange(1, len(normal) + 1))
+        else:
+            words = between([re.sub(f"(?<!{MARK}){MARK}", separator + MARK, t) if MARK * 2 in t else t.replace(MARK, separator + MARK) for t in normal], separator)
+        return gathered(self.known.values(words.words), words)
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The normalised texts of ids, with spaces for markers and without the one that normalisation put in front."""
+        size = self.shown_size[ids]
+        stops = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(self.shown_from[ids] - stops[:-1], size)
+        at += np.arange(len(at))
+        data = self.shown[at].tobytes()
+        cuts = [0, *stops[ends].tolist()]
+        return [data[a:b].decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ") for a, b in zip(cuts, cuts[1:])]
 
 
 _LOADED: dict[str, UnigramPieces] = {}
@@ -186,8 +177,10 @@ def encode_pieces(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
 
     def run(batches):
         for b in slices(batches):
-            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in loaded(model_file).encode(texts_of(b))]
-            yield record_batch({"doc_id": b.column("doc_id"), "ids": ids}, pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
+            own = loaded(model_file)
+            ids, ends = own.encode(own.normalized(texts_of(b)))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.view("<i4")))
+            yield record_batch({"doc_id": b.column("doc_id"), "ids": lists}, pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -197,7 +190,8 @@ def decode_pieces(encoded: DataFrame, model_file: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = [loaded(model_file).decode(x or ()) for x in b.column("ids").to_pylist()]
+            lists = [np.array(x or (), np.int64) for x in b.column("ids").to_pylist()]
+            texts = loaded(model_file).decode(np.concatenate([np.empty(0, np.int64), *lists]), np.cumsum([len(x) for x in lists], dtype=np.int64))
             yield record_batch({"doc_id": b.column("doc_id"), "text": texts}, pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -209,10 +203,12 @@ def piece_digests(docs: DataFrame, model_file: str) -> DataFrame:
 
     def run(batches):
         for b in slices(batches):
-            own, texts = loaded(model_file), texts_of(b)
-            ids = own.encode(texts)
-            back = [own.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
-            whole = [(own.model.normalize(t).replace(MARK, " ").removeprefix(" ") if t else "") == d for t, d in zip(texts, back)]
-            yield record_batch({"doc_id": b.column("doc_id"), "n_pieces": [len(x) // 4 for x in ids], "ids_crc32": [zlib.crc32(x) for x in ids], "round_trip": whole}, schema)
+            own = loaded(model_file)
+            normal = own.normalized(texts_of(b))
+            ids, ends = own.encode(normal)
+            whole = [n.replace(MARK, " ").removeprefix(" ") == d for n, d in zip(normal, own.decode(ids, ends))]
+            cuts = [0, *ends.tolist()]
+            crc = [zlib.crc32(ids[x:y]) for x, y in zip(cuts, cuts[1:])]
+            yield record_batch({"doc_id": b.column("doc_id"), "n_pieces": np.diff(cuts), "ids_crc32": crc, "round_trip": whole}, schema)
 
     return docs.select(docs.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
