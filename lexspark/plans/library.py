@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import refs, text
 from lexspark.operators import citations, library, tfidf
-from lexspark.plans.oracle import CITES, EDGES, NORMAL, PIECES, RECITALS, REGISTRY, REQUESTS, UNITS
+from lexspark.plans.oracle import CITES, EDGES, PIECES, RECITALS, REGISTRY, REQUESTS, UNITS
 from lexspark.sources import adapters
 from lexspark.sources.adapters import table
 
@@ -401,6 +401,3 @@ def stopword_union(spark, sf):
     """The stopwords of English and of a text's own language, each once."""
     rows = lambda words: spark.createDataFrame([(w,) for w in words], "w string")
     return rows(["the", "und", "der"]).union(rows("the a an and".split())).distinct().agg(F.count(lit(1)).alias("n"))
-
-
-__all__ = ["NORMAL", "QUERIES", "SQL"]
