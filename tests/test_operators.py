@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexspark import catalogue
 from lexspark.functions import text
 from lexspark.operators import citations, search, tfidf, usage
-from lexspark.sources import adapters, formex
+from lexspark.sources import adapters, formex, judgments
 from lexspark.streaming import usage as streams
 
 ACT = """<ACT><PREAMBLE><GR.CONSID><CONSID><NP><NO.P>(1)</NO.P><TXT>Whereas <HT TYPE="ITALIC">this</HT> holds.</TXT></NP></CONSID>
@@ -149,3 +149,25 @@ def test_closed_days_count_addresses(spark, tmp_path):
 @pytest.mark.parametrize("name", catalogue.WITHOUT_SQL)
 def test_runs(spark, sf_dir, name):
     assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_judgments(spark):
+    ruling = '<p class="coj-normal">On those grounds, the Court (Grand Chamber) hereby rules:</p>'
+    point = '<table><tr><td><p class="coj-count coj-bold">1.</p></td><td><p>One</p></td></tr></table>'
+    pages = {
+        1: ruling + point + '<table><tr><td><p class="coj-normal">Delivered in open court</p></td></tr></table>',
+        2: ruling + '<table><tr><td>no number</td></tr></table><dt>4</dt><dd> four</dd>',  # falls to the terms
+        3: "On those grounds, THE COURT hereby orders: costs in 1. Language of the case: English",
+        4: "<p>On those grounds, the Court (Chamber) hereby declares 1. A 2.  B 10. C 3.</p>",
+        5: '<p class="C08Dispositif">&nbsp;</p><p class="C08DispositifX">5.x</p><p class="C08Dispositif">6.</p>',
+        6: "", 7: None, 8: "<p", 9: "On those grounds, THE COURT rules: Delivered in open court",
+    }
+    table = spark.createDataFrame(list(pages.items()), "doc_id long, html string")
+    found = [(r.doc_id, r.ordinal, r.number, r.text) for r in judgments.declarations(table).collect()]
+    assert sorted(found) == [
+        (1, 1, 1, "One"), (2, 1, 4, "4 four"), (3, 1, 1, "costs in 1."), (4, 1, 1, "A"), (4, 2, 2, "B"), (4, 3, 10, "C 3."),
+        (5, 1, 5, "x"), (5, 2, 2, "6."),
+    ]
+    about = {r.doc_id: r for r in judgments.metadata(table).collect()}
+    assert len(about) == 9 and all(v is None for r in about.values() for v in r[1:])
+    assert judgments.declarations(table.limit(0)).count() == 0
