@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexspark import catalogue
 from lexspark.functions import text
 from lexspark.operators import citations, search, tfidf, usage
-from lexspark.sources import adapters, formex, judgments
+from lexspark.sources import adapters, flat_laws, formex, judgments
 from lexspark.streaming import usage as streams
 
 ACT = """<ACT><PREAMBLE><GR.CONSID><CONSID><NP><NO.P>(1)</NO.P><TXT>Whereas <HT TYPE="ITALIC">this</HT> holds.</TXT></NP></CONSID>
@@ -171,3 +171,21 @@ def test_judgments(spark):
     about = {r.doc_id: r for r in judgments.metadata(table).collect()}
     assert len(about) == 9 and all(v is None for r in about.values() for v in r[1:])
     assert judgments.declarations(table.limit(0)).count() == 0
+
+
+def test_flat_law(spark):
+    law = ["Council Regulation", "TITLE IX", "Whereas:", "intro", "(1) First", "goes on;", "(2)Second", "Article 1", "Definitions", '(a) "user" means a person;', "(b) the tool means any tool",
+           "(1) not a recital", "CHAPTER II", "GENERAL RULES", "SECTION 1 Scope", "Article 2A", "Text.", "IN CAPITALS", "Late title", "CHAPTER III", "Article 3"]
+    page = lambda ps: "".join(f"<p>{p}</p>" for p in ps)
+    pages = {1: page(law), 2: page(law[4:8]), 3: "", 4: None, 5: "<p>", 6: page(law[:7])}
+    lines = flat_laws.paragraphs(spark.createDataFrame(list(pages.items()), "doc_id long, html string")).cache()
+    assert lines.where("doc_id = 1").count() == len(law) and lines.where("doc_id in (3, 4, 5)").count() == 0
+    found = flat_laws.articles(lines)
+    assert sorted(map(tuple, found.collect())) == [
+        (1, 1, "1", "Definitions", None, None, ['(a) "user" means a person;', "(b) the tool means any tool", "(1) not a recital"]),
+        (1, 2, "2A", "Late title", "CHAPTER II — GENERAL RULES", "SECTION 1 — Scope", ["Text.", "IN CAPITALS"]),
+        (1, 3, "3", None, "CHAPTER III", None, []), (2, 1, "1", None, None, None, []),
+    ]
+    assert sorted((r.term, r.definition) for r in flat_laws.definitions(found).collect()) == [("the tool", "any tool"), ("user", "a person")]
+    assert sorted(map(tuple, flat_laws.recitals(lines).collect())) == [(1, 1, "1", "First goes on;"), (1, 2, "2", "Second")]
+    assert flat_laws.articles(lines.limit(0)).count() == flat_laws.recitals(lines.limit(0)).count() == 0
