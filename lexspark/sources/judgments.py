@@ -7,6 +7,8 @@ operative part, and a null page, has no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +30,14 @@ COUNT = r"(?is)<[^>]*\bcoj-count\b[^>]*>(?:\s|<[^>]*>)*(\d+)\."
 BOLD_COUNT = r"(?is)<[^>]*\bcoj-count\b[^>]*\bcoj-bold\b|<[^>]*\bcoj-bold\b[^>]*\bcoj-count\b|<[^>]*\bcoj-count\b[^>]*>\s*<[^>]*\bcoj-bold\b"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def content(html: Column) -> Column:
     """Text of markup, white space collapsed."""
-    return collapsed(decoded(F.regexp_replace(html, "<[^>]*>", "")))
+    return bound(F.regexp_replace(html, "<[^>]*>", ""), lambda t: collapsed(F.when(t.contains("&"), decoded(t)).otherwise(t)))
 
 
 def classed(name: str, tag: str = r"[a-z]\w*") -> str:
@@ -54,15 +61,14 @@ def declaration(number: Column, text: Column) -> Column:
 def from_tables(html: Column) -> Column:
     """A table with a bold number begins a declaration, its last cell is the text; tables up to the next number add their
     first paragraph."""
-    opening = F.get(F.filter(every(html, classed("coj-normal", "p")), lambda p: content(p).rlike(GROUNDS) & content(p).rlike(RULES)), F.lit(0))
-    rest = F.substr(html, F.position(opening, html) + F.length(opening))
+    opening = F.get(F.filter(every(html, classed("coj-normal", "p")), lambda p: bound(content(p), lambda t: t.rlike(GROUNDS) & t.rlike(RULES))), F.lit(0))
+    rest = bound(opening, lambda o: F.substr(html, F.position(o, html) + F.length(o)))
     area = F.get(F.split(rest, r'(?is)<[^>]*\bcoj-signaturecase\b|<hr\b[^>]*\bcoj-note\b', 2), F.lit(0))
     tables = every(area, r"(?is)<table\b.*?</table>")
 
     def part(t: Column) -> Column:
         number = F.when(t.rlike(BOLD_COUNT), first_match(t, COUNT))
-        more = content(F.regexp_extract(t, classed("coj-normal", "p"), 0))
-        more = F.when(~more.rlike("(?i)^Delivered in open court"), more)
+        more = bound(content(F.regexp_extract(t, classed("coj-normal", "p"), 0)), lambda m: F.when(~m.rlike("(?i)^Delivered in open court"), m))
         return declaration(number, F.when(number.isNotNull(), content(F.regexp_replace(t, r"(?is)^.*<td\b[^>]*>", ""))).otherwise(more))
 
     nothing = F.expr("cast(array() as array<struct<number: bigint, text: string>>)")
@@ -93,17 +99,20 @@ def from_terms(html: Column) -> Column:
 
 def from_text(html: Column) -> Column:
     """Numbers in the text between the opening and the closing words; without numbers all of it is one declaration."""
-    whole = content(html)
-    ruling = F.trim(F.get(F.split(F.coalesce(*(after(whole, p) for p in OPENINGS)), CLOSINGS, 2), F.lit(0)))
     number = r"(?:^|\s)(\d+)\.\s+"
-    texts = F.split(ruling, number, -1)
-    some = F.zip_with(every(ruling, number, 1), F.slice(texts, F.lit(2), F.size(texts)), lambda n, t: declaration(n, F.trim(t)))
-    return F.filter(F.when(F.size(some) > 0, some).otherwise(F.array(declaration(F.lit(1), ruling))), lambda d: d["text"] != "")
+
+    def points(ruling: Column) -> Column:
+        some = bound(F.split(ruling, number, -1), lambda t: F.zip_with(every(ruling, number, 1), F.slice(t, F.lit(2), F.size(t)), lambda n, x: declaration(n, F.trim(x))))
+        return bound(some, lambda d: F.when(F.size(d) > 0, d).otherwise(F.array(declaration(F.lit(1), ruling))))
+
+    ruling = bound(content(html), lambda whole: F.trim(F.get(F.split(F.coalesce(*(after(whole, p) for p in OPENINGS)), CLOSINGS, 2), F.lit(0))))
+    return F.filter(bound(ruling, points), lambda d: d["text"] != "")
 
 
 def declarations(judgments: DataFrame) -> DataFrame:
     """doc_id, ordinal from 1, number and text of the declarations of ``judgments`` (doc_id, html). No shuffle."""
-    found = F.coalesce(*(F.when(F.size(d) > 0, d) for d in (f(col("html")) for f in (from_tables, from_classes, from_terms, from_text))))
+    # Held in an array, so that a layout is read once for its test and its rows.
+    found = F.coalesce(*(F.get(F.filter(F.array(f(col("html"))), lambda d: F.size(d) > 0), F.lit(0)) for f in (from_tables, from_classes, from_terms, from_text)))
     one = judgments.select("doc_id", found.alias("d")).select("doc_id", F.posexplode("d").alias("i", "d"))
     return one.select("doc_id", (col("i") + 1).cast("long").alias("ordinal"), "d.number", "d.text")
 
