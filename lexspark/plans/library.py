@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.functions import refs, text
-from lexspark.operators import citations, library, tfidf
+from lexspark.operators import citations, library, tfidf, tooltips
 from lexspark.plans.oracle import CITES, EDGES, PIECES, RECITALS, REGISTRY, REQUESTS, UNITS
 from lexspark.sources import adapters
 from lexspark.sources.adapters import table
@@ -401,3 +401,16 @@ def stopword_union(spark, sf):
     """The stopwords of English and of a text's own language, each once."""
     rows = lambda words: spark.createDataFrame([(w,) for w in words], "w string")
     return rows(["the", "und", "der"]).union(rows("the a an and".split())).distinct().agg(F.count(lit(1)).alias("n"))
+
+
+def spanned(words: str, definition: str) -> str:
+    return f"""'<span class="defined-term" data-definition="' || {definition} || '" title="' || {definition} || '">{words}</span>'"""
+
+
+@query("tooltip_inject", f"""select p_partkey as doc_id, '<p title="personal data">' || {spanned("Personal data", "p_name")} || ' and ' || {spanned("data", "'a &quot;fact&quot; &amp; more'")} || ', metadata, data-set</p><p>data ' || p_brand || '</p>' as html from part""")
+def tooltip_inject(spark: SparkSession, sf: str) -> DataFrame:
+    """Two terms of each law, one within the other, in its text."""
+    laws = table(spark, sf, "part").select(col("p_partkey").alias("doc_id"), F.expr("""concat('<p title="personal data">Personal data and data, metadata, data-set</p><p>data ', p_brand, '</p>')""").alias("html"), "p_name")
+    entry = lambda place, term, meaning: F.struct(lit(place).alias("place"), lit(term).alias("term"), meaning.alias("definition"))
+    terms = F.explode(F.array(entry(1, "data", lit('a "fact" & more')), entry(2, "personal data", col("p_name"))))
+    return tooltips.with_tooltips(laws.drop("p_name"), laws.select("doc_id", terms.alias("t")).select("doc_id", "t.*"))

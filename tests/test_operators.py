@@ -189,3 +189,37 @@ def test_flat_law(spark):
     assert sorted((r.term, r.definition) for r in flat_laws.definitions(found).collect()) == [("the tool", "any tool"), ("user", "a person")]
     assert sorted(map(tuple, flat_laws.recitals(lines).collect())) == [(1, 1, "1", "First goes on;"), (1, 2, "2", "Second")]
     assert flat_laws.articles(lines.limit(0)).count() == flat_laws.recitals(lines.limit(0)).count() == 0
+
+
+def test_tooltips(spark):
+    """Spans of the law's own terms; nulls stay, empty terms do nothing, inflected words are found by their stems."""
+    from lexspark.operators.tooltips import with_tooltips
+
+    units = spark.createDataFrame([(1, "<p>Danych osobowych</p>"), (2, None), (3, "<b>data</b>"), (4, "x (y) data")], "doc_id long, html string")
+    terms = [(1, 1, "dane osobowe", None), (2, 1, "data", "d"), (3, 1, "", "d"), (3, 2, None, "d"), (4, 1, "(y)", "<d>")]
+    definitions = spark.createDataFrame(terms, "doc_id long, place int, term string, definition string")
+    span = '<span class="defined-term" data-definition="{0}" title="{0}">{1}</span>'
+    stems = {r.doc_id: r.html for r in with_tooltips(units, definitions, inflected=True).collect()}
+    assert stems[1] == f"<p>{span.format('', 'Danych osobowych')}</p>" and stems[2] is None and stems[3] == "<b>data</b>"
+    whole = {r.doc_id: r.html for r in with_tooltips(units, definitions).collect()}
+    assert whole[1] == "<p>Danych osobowych</p>" and whole[4] == f"x {span.format('&lt;d&gt;', '(y)')} data"
+
+
+def test_proposals(spark):
+    """Headings before the enacting formula don't count; a division ends an article; null and empty pages give nothing."""
+    from lexspark.sources import proposals
+
+    page = (
+        '<p class="SectionTitle">TITLE X</p><p class="li ManualConsidrant"><span class="num">(2)</span> B</p><p class="li ManualConsidrant">A</p>'
+        '<p class="Formuledadoption">HAVE ADOPTED</p><p class="SectionTitle">CHAPTER I</p><p class="SectionTitle">General</p><p class="SectionTitle">More</p>'
+        '<p class="Titrearticle">Article 1</p><p>One</p><p class="SectionTitle">SECTION 2</p><p>lost</p><p class="Titrearticle">Article 2 Scope</p>'
+        '<p class="Annexetitre">ANNEX</p><p>Two</p><p class="SectionTitle">TITLE V</p><p>Three</p>'
+    )
+    rows = proposals.parsed(spark.createDataFrame([(1, page), (2, None), (3, ""), (4, "<p></p>")], "doc_id long, html string")).collect()
+    found = {(r.kind, r.ordinal): (r.number, r.title, r.chapter, r.section, r.text) for r in rows if r.doc_id == 1}
+    assert len(rows) == len(found) == 5
+    assert found["article", 1] == ("1", "", "CHAPTER I — General", None, "One")
+    assert found["article", 2] == ("2", "Scope", "CHAPTER I — General", "SECTION 2", "")
+    assert found["annex", 1] == ("ANNEX", "ANNEX", None, None, "Two\nThree")
+    # Both have the number 2, one of them by its place; the earlier one comes first.
+    assert [found["recital", k][::4] for k in (1, 2)] == [("2", "B"), ("2", "A")]
