@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators and of the pipeline."""
+"""Registered queries of the operators and of the pipeline."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import ann_tree, html_paths, katz, line_dedup, orc_tokens, packing, parity_join, quality, token_count, unigram_pieces
+from lexspark.llm import alignment, ann_tree, filter_audit, html_paths, katz, line_dedup, orc_tokens, packing, parity_join, quality, token_count, unigram_pieces, url_filter
 from lexspark.llm.shared import fresh_path
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -69,6 +69,18 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.token_digests(spark, path)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digests(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), tokenizer_path(PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_unigram_pieces": op2_unigram_pieces,
@@ -80,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_paths": op8_html_paths,
     "op9_parity_join": op9_parity_join,
     "op10_orc_tokens": op10_orc_tokens,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_url_filter": op12_url_filter,
+    "op13_alignment": op13_alignment,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_filter_audit": filter_audit.SQL}
