@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import refs, text
 from lexspark.operators import citations, graph, search, structure, tfidf, usage
-from lexspark.plans import flat_laws, judgments, library, proposals
+from lexspark.plans import flat_laws, html_laws, judgments, library, proposals
 from lexspark.plans.oracle import SQL
 from lexspark.sources import adapters, formex
 from lexspark.sources.adapters import table
@@ -258,7 +258,7 @@ def stream_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
     return streams.drained(streams.rate_limited(streams.requests(spark, sf)), "rate-limit")
 
 
-QUERIES |= library.QUERIES | judgments.QUERIES | flat_laws.QUERIES | proposals.QUERIES
-ORACLE_SQL: dict[str, str] = {k: v for k, v in (SQL | library.SQL | judgments.SQL | flat_laws.SQL | proposals.SQL).items() if k in QUERIES}
+QUERIES |= library.QUERIES | judgments.QUERIES | flat_laws.QUERIES | proposals.QUERIES | html_laws.QUERIES
+ORACLE_SQL: dict[str, str] = {k: v for k, v in (SQL | library.SQL | judgments.SQL | flat_laws.SQL | proposals.SQL | html_laws.SQL).items() if k in QUERIES}
 #: Queries without SQL; their tests compare them with brute force.
 WITHOUT_SQL = sorted(set(QUERIES) - set(ORACLE_SQL))

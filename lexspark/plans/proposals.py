@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.sources import proposals
+from lexspark.sources import html_laws, markup, proposals
 from lexspark.sources.adapters import table
 
 KIND = "case when o_orderkey % 13 < 3 then 'heading' when o_orderkey % 13 < 5 then 'article' when o_orderkey % 13 < 7 then 'annex' when o_orderkey % 13 = 7 then 'enacting' end"
@@ -22,12 +22,16 @@ def lines(spark, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("pos"), F.expr(KIND).alias("kind"), F.expr(LINE).alias("text"))
 
 
+def of(spark, sf: str, html: str) -> DataFrame:
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(html).alias("html"))
+
+
 def pages(spark, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(PAGE).alias("html"))
+    return of(spark, sf, PAGE)
 
 
 QUERIES = {
-    "html_layout": lambda spark, sf: table(spark, sf, "part").select("p_partkey", proposals.layout(F.expr(MARKUP)).alias("layout")),
+    "html_layout": lambda spark, sf: html_laws.layout_names(markup.blocks(of(spark, sf, MARKUP))).withColumnRenamed("doc_id", "p_partkey"),
     "parse_proposal": lambda spark, sf: proposals.parsed(pages(spark, sf)),
     "proposal_titles": lambda spark, sf: proposals.titles(proposals.paragraphs(pages(spark, sf))),
     "proposal_units": lambda spark, sf: proposals.units(lines(spark, sf)),

@@ -6,11 +6,12 @@ or article, none is larger than one document's text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.functions.text import ARTICLE_HEADING, DIVISION_MARK, collapsed, decoded, likely_article_title, likely_division_title
+from lexspark.functions.text import ARTICLE_HEADING, DIVISION_MARK, collapsed, likely_article_title, likely_division_title
 from lexspark.operators.structure import in_doc, so_far
+from lexspark.sources import markup
 
 col = F.col
 # Grammar of recitals and definitions.
@@ -20,16 +21,16 @@ QUOTED_MEANS, MEANS = r"""(?i)^["“'‘]?([^"”'’]+)["”'’]?\s+means\s+(.
 
 
 def paragraphs(pages: DataFrame) -> DataFrame:
-    """doc_id, pos from 1 and text of the paragraphs of ``pages`` (doc_id, html): those of the text element, or of the
-    whole page where it has none. Null pages and pages without paragraphs have no rows."""
+    """doc_id, pos and text of the paragraphs of ``pages`` (doc_id, html), numbered from 1: those of the text element, or of
+    the whole page where it has none. Null pages and pages without paragraphs have no rows."""
+    return text_lines(markup.blocks(pages)).withColumn("pos", F.row_number().over(in_doc()).cast("long"))
 
-    def texts(html: Column) -> Column:
-        found = F.regexp_extract_all(html, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)(?=</p>|<p[\s>]|\z)"), F.lit(1))
-        return F.filter(F.transform(found, lambda p: collapsed(decoded(F.regexp_replace(p, "<[^>]*>", "")))), lambda p: p != "")
 
-    inner = texts(F.regexp_extract("html", r"(?is)<TXT_TE>(.*?)</TXT_TE>", 1))
-    one = pages.select("doc_id", F.when(F.size(inner) > 0, inner).otherwise(texts(col("html"))).alias("p")).select("doc_id", F.posexplode("p").alias("i", "text"))
-    return one.select("doc_id", (col("i") + 1).cast("long").alias("pos"), "text")
+def text_lines(blocks: DataFrame) -> DataFrame:
+    """doc_id, pos and text of the paragraphs among a page's blocks, those of the text element alone where it has some."""
+    whole = Window.partitionBy("doc_id")
+    lines = blocks.where("tag = 'p' and text <> ''").select("doc_id", "pos", "text", "fragment", F.max("fragment").over(whole).alias("has"))
+    return lines.where("fragment or not has").select("doc_id", "pos", "text")
 
 
 def articles(lines: DataFrame) -> DataFrame:

@@ -6,40 +6,29 @@ document, none is larger than one document's text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.functions.text import DIVISION_MARK, attribute, collapsed, decoded
+from lexspark.functions.text import DIVISION_MARK
 from lexspark.operators.structure import in_doc, so_far
+from lexspark.sources import markup
 
 col = F.col
 # Classes of paragraphs, and the grammar of headings and recitals.
 KINDS = {"Formuledadoption": "enacting", "Annexetitre": "annex", "Titrearticle": "article", "SectionTitle": "heading"}
 TITLE_CLASSES = ["Statut", "Typedudocument", "Titreobjet"]
 ARTICLE, ANNEX = r"(?i)^Article\s+(\d+[A-Za-z]*)\s*(.*)$", r"(?i)^ANNEX\s*([IVXLCDM]+|\d+)?"
-STRUCTURED = "eli-subdivision|oj-ti-art|title-article-norm|oj-ti-annex|title-annex-norm"
 
 
-def layout(html: Column) -> Column:
-    """The first layout whose classes a page has: structured, legacy, proposal or else flat; null for null."""
-    has = lambda tag, names: html.rlike(rf"""<(?i:{tag})\b[^>]*\s(?i:class)=["'](?:[^"']*\s)?(?:{names})(?:\s[^"']*)?["']""")
-    recital = html.rlike(r"""<(?i:p)\b(?=[^>]*\s(?i:class)=["'](?:[^"']*\s)?li[\s"'])[^>]*\s(?i:class)=["'](?:[^"']*\s)?ManualConsidrant[\s"']""")
-    return (F.when(html.isNull(), None).when(has("[a-z][a-z0-9]*", STRUCTURED), "structured").when(has("p", "ti-art") & has("p", "normal|doc-ti"), "legacy")
-            .when(has("p", "Titrearticle") | recital, "proposal").otherwise("flat"))
+def paragraphs(pages: DataFrame) -> DataFrame:
+    """doc_id, pos, classes, mark (its own number), kind and text of the paragraphs of ``pages`` (doc_id, html) that have text.
+    Null pages have no rows."""
+    return classed_lines(markup.blocks(pages))
 
 
-def paragraphs(pages: DataFrame) -> DataFrame:
-    """doc_id, pos from 1, classes, mark (its own number), kind and text of the paragraphs of ``pages`` (doc_id, html) that
-    have text. Null pages have no rows."""
-    tag = F.lit(r"(?is)<p(\s[^>]*)?>(.*?)(?=</p>|<p[\s>]|\z)")
-    plain = lambda c: collapsed(decoded(F.regexp_replace(c, "<[^>]*>", "")))
-    found = pages.select("doc_id", F.regexp_extract_all("html", tag, F.lit(1)).alias("tags"), F.regexp_extract_all("html", tag, F.lit(2)).alias("inner"))
-    rows = found.select("doc_id", F.posexplode(F.arrays_zip("tags", "inner")).alias("i", "p"))
-    classes = F.split(F.coalesce(attribute(col("p.tags"), "class"), F.lit("")), r"\s+")
-    mark = F.regexp_extract("p.inner", r"""(?is)<[a-z]+\s[^>]*\bclass=["'](?:[^"']*\s)?num(?:\s[^"']*)?["'][^>]*>(.*?)</""", 1)
-    read = rows.select("doc_id", (col("i") + 1).cast("long").alias("pos"), classes.alias("classes"), plain(mark).alias("mark"), plain(col("p.inner")).alias("text"))
+def classed_lines(blocks: DataFrame) -> DataFrame:
     kind = F.coalesce(*(F.when(F.array_contains("classes", name), kind) for name, kind in KINDS.items()))
-    return read.where("text <> ''").withColumn("kind", kind)
+    return blocks.where("tag = 'p' and text <> ''").select("doc_id", "pos", "classes", "mark", kind.alias("kind"), "text")
 
 
 def titles(lines: DataFrame) -> DataFrame:

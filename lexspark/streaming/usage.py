@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspark.sources.stored import shared_home
+
 
 def daily_counts(stream: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Requests and addresses per closed day, both exact; late rows beyond the watermark don't count.
@@ -57,12 +58,7 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     Output and checkpoint lie in the shared folder of the cluster, so that a lost executor or driver resumes from there.
     """
     spark = stream.sparkSession
-    home, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
-    if not home:
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        home = "file://" + tempfile.mkdtemp(prefix="lexspark-streams-")
-    path = f"{home.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_home(spark)}/{name}-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
