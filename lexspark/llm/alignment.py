@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -31,13 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexspark.llm.chunks import byte_alphabet
+from lexspark.llm.chunks import Chunks, between, byte_alphabet, free_separator, id_encoder
 from lexspark.llm.shared import record_batch, single_threaded_tokenizers, slices, stored, texts_of
 
 MARK = "▁"
 BLOCK_BYTES = 4_000_000
 NONE, A_END, B_END, BOTH = range(4)
 _GROUP = re.compile(rb"[^\x03]*\x03")
+_ADJACENT = re.compile(r"\s\s")
 _BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
 #: An id pair is one number: A's id above the bits of B's.
 B_BITS = 24
@@ -53,10 +55,33 @@ class Part(NamedTuple):
     links: bytes
 
 
+class Parts(NamedTuple):
+    """Different parts; for all texts in order the numbers of their parts; for each text the end of its parts (it has none if
+    it has no tokens)."""
+
+    found: list[Part | None]
+    numbers: np.ndarray
+    ends: np.ndarray
+
+    def total(self, of) -> np.ndarray:
+        """The sum of a number of each part over each text."""
+        each = np.array([of(p) if p else 0 for p in self.found], np.int64)
+        return np.diff(np.concatenate([[0], np.cumsum(each[self.numbers])])[np.concatenate([[0], self.ends])])
+
+    def counts(self) -> dict[str, np.ndarray]:
+        return {"n_a": self.total(lambda p: p.n_a), "n_b": self.total(lambda p: p.n_b), "n_groups": self.total(lambda p: p.n_groups), "n_links": self.total(lambda p: len(p.links) // 8)}
+
+    def written(self) -> list[str]:
+        each = [p.written if p else "" for p in self.found]
+        numbers = self.numbers.tolist()
+        cuts = [0, *self.ends.tolist()]
+        return [";".join(map(each.__getitem__, numbers[x:y])) for x, y in zip(cuts, cuts[1:])]
+
+
 class Aligner:
     """Two tokenizers, A a byte-level one of the tokenizers library, B a SentencePiece model that puts a space in front."""
 
-    def __init__(self, a_file: str, b_file: str, limit: int = 100_000):
+    def __init__(self, a_file: str, b_file: str, limit: int = 300_000):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -74,53 +99,93 @@ class Aligner:
         self.b_bytes = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in pieces}
         silent = [self.b.is_control(i) or self.b.is_unknown(i) or self.b.is_byte(i) for i, _ in pieces]
         self.cuttable = not any(MARK in p.lstrip(MARK) for (_, p), s in zip(pieces, silent) if not s)
+        self.a_size, self.b_size = (np.array([len(table.get(i, b"")) for i in range(max(table) + 1)], np.int64) for table in (self.a_bytes, self.b_bytes))
+        self.signed = [f"{i}{sign}" for i in range(max(len(self.a_size), len(self.b_size))) for sign in ",|;"]
+        self.a_cache = id_encoder(a_file)
+        self.special = [t.content for t in self.a.get_added_tokens_decoder().values()]
         self.known: dict[str, Part | None] = {}
         self.limit = limit
 
+    def a_ids(self, texts: list[str]) -> list[bytes]:
+        """A's ids as unsigned 32-bit numbers; what may hold a special token's string goes to the library as plain text."""
+        plain = [t for t in texts if not any(x in t for x in self.special)]
+        found = dict(zip(plain, self.a_cache.compute(plain)))
+        rest = [t for t in texts if t not in found]
+        found.update((t, np.array(e.ids, "<u4").tobytes()) for t, e in zip(rest, self.a.encode_batch_fast(rest, add_special_tokens=False)))
+        return [found[t] for t in texts]
+
     def aligned(self, texts: list[str]) -> list[Part | None]:
         """What each text (with its space before it) has; None where its bytes don't come out again."""
-        a_ids = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        b_ids = self.b.encode([t[1:] for t in texts], num_threads=1)
-        return [self.grouped(t.encode(), a, b) for t, a, b in zip(texts, a_ids, b_ids)]
-
-    def grouped(self, data: bytes, a: list[int], b: list[int]) -> Part | None:
-        a_data, b_data = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_data) != data or b"".join(b_data) != data:
-            return None
-        labels = np.zeros(len(data), np.uint8)
-        labels[np.cumsum([len(x) for x in a_data], dtype=np.int64) - 1] |= A_END
-        labels[np.cumsum([len(x) for x in b_data], dtype=np.int64) - 1] |= B_END
-        a_words, b_words = [str(i) for i in a], [str(i) for i in b]
-        written, links = [], []
-        i = j = 0
-        for span in _GROUP.findall(labels.tobytes()):
-            both = span.count(BOTH)
-            to_i, to_j = i + span.count(A_END) + both, j + span.count(B_END) + both
-            written.append(f"{','.join(a_words[i:to_i])}|{','.join(b_words[j:to_j])}")
-            if to_i - i == to_j - j == 1:
-                links.append(np.array([a[i] << B_BITS | b[j]], np.int64))
-            else:
-                links.append((np.array(a[i:to_i], np.int64)[:, None] << B_BITS | np.array(b[j:to_j], np.int64)).reshape(-1))
-            i, j = to_i, to_j
-        return Part(len(a), len(b), len(written), ";".join(written), np.concatenate(links).tobytes())
-
-    def parts(self, texts: list[str]) -> list[list[Part] | None]:
-        """The parts of each text, None for a text without tokens."""
+        data, a, b = [t.encode() for t in texts], self.a_ids(texts), self.b.encode([t[1:] for t in texts], num_threads=1)
+        a_flat, b_flat = np.frombuffer(b"".join(a), "<u4").astype(np.int64), np.fromiter(chain.from_iterable(b), np.int64)
+        out_again = lambda flat, table: b"".join(map(table.__getitem__, flat.tolist()))
+        if out_again(a_flat, self.a_bytes) == out_again(b_flat, self.b_bytes) == b"".join(data):
+            a_ends, b_ends = np.cumsum(self.a_size[a_flat]), np.cumsum(self.b_size[b_flat])
+            ends = np.cumsum([len(x) for x in data], dtype=np.int64)
+            if np.isin(ends, a_ends).all() and np.isin(ends, b_ends).all():
+                return self.grouped(a_flat, b_flat, a_ends, b_ends, ends)
+        if len(texts) == 1:
+            return [None]
+        own = [b"".join(self.a_bytes[i] for i in np.frombuffer(x, "<u4").tolist()) == d == b"".join(self.b_bytes[i] for i in y) for d, x, y in zip(data, a, b)]
+        good = iter(self.aligned([t for t, ok in zip(texts, own) if ok]) if any(own) else [])
+        return [next(good) if ok else None for ok in own]
+
+    def grouped(self, a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, ends: np.ndarray) -> list[Part]:
+        """The parts of texts that stand one after the other: ids, and the ends of tokens and of texts in bytes."""
+        labels = np.zeros(ends[-1] if len(ends) else 0, np.uint8)
+        labels[a_ends - 1] |= A_END
+        labels[b_ends - 1] |= B_END
+        spans = np.fromiter((m.end() for m in _GROUP.finditer(labels.tobytes())), np.int64)
+        # The labels in a span tell how many tokens of each kind its group has.
+        a_to, b_to = (np.cumsum(labels & kind != 0)[spans - 1] for kind in (A_END, B_END))
+        in_a, in_b = np.diff(a_to, prepend=0), np.diff(b_to, prepend=0)
+        group_of_a, group_of_b = np.repeat(np.arange(len(spans)), in_a), np.repeat(np.arange(len(spans)), in_b)
+        # Written: an id with the sign behind it, A's of a group before B's.
+        shown = np.empty(len(a) + len(b), np.int64)
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[a_to - 1], last_b[b_to - 1] = 1, 2
+        shown[np.arange(len(a)) + (b_to - in_b)[group_of_a]] = 3 * a + last_a
+        shown[np.arange(len(b)) + a_to[group_of_b]] = 3 * b + last_b
+        written = list(map(self.signed.__getitem__, shown.tolist()))
+        # Links: every A token of a group with every B token of it.
+        n = in_a * in_b
+        group = np.repeat(np.arange(len(spans)), n)
+        place = np.arange(len(group)) - (np.cumsum(n) - n)[group]
+        links = (a[(a_to - in_a)[group] + place // in_b[group]] << B_BITS | b[(b_to - in_b)[group] + place % in_b[group]]).tobytes()
+        to_group = np.searchsorted(spans, ends, "right")
+        cuts = [np.concatenate([[0], x[to_group - 1]]).tolist() for x in (a_to, b_to, np.cumsum(n))]
+        rows = zip(*(zip(x, x[1:]) for x in (*cuts, [0, *to_group.tolist()])))
+        return [Part(i2 - i1, j2 - j1, g2 - g1, "".join(written[i1 + j1 : i2 + j2])[:-1], links[8 * l1 : 8 * l2]) for (i1, i2), (j1, j2), (l1, l2), (g1, g2) in rows]
+
+    def cut(self, texts: list[str]) -> Chunks:
+        """The different parts of spaced texts, and which ones each text has."""
+        separator = free_separator(texts) if self.cuttable else None
+        if separator is None:
+            return Chunks(texts, np.arange(len(texts)), np.arange(1, len(texts) + 1))
+        marked = [_BOUNDARY.sub(separator, t) if _ADJACENT.search(f"{t} ") else f" {t[1:].replace(' ', f'{separator} ')}" if t else "" for t in texts]
+        return between(marked, separator)
+
+    def parts(self, texts: list[str]) -> Parts:
         spaced = [f" {t}" if t else "" for t in texts]
-        cut = [_BOUNDARY.split(t) if t and self.cuttable else [t] if t else [] for t in spaced]
+        words, numbers, ends = self.cut(spaced)
         if len(self.known) > self.limit:
             self.known.clear()
-        fresh = list({w: None for own in cut for w in own if w not in self.known})
-        found = dict(zip(fresh, self.aligned(fresh)))
-        self.known.update((w, p) for w, p in found.items() if len(w) <= 64)  # long ones don't come again
-        value = lambda w: found[w] if w in found else self.known[w]
-        out: list[list[Part] | None] = []
-        for t, own in zip(spaced, cut):
-            parts = [value(w) for w in own]
-            if len(own) > 1 and None in parts:
-                parts = self.aligned([t])
-            out.append(None if not parts or None in parts else parts)
-        return out
+        fresh = [w for w in words if w and w not in self.known]
+        new = dict(zip(fresh, self.aligned(fresh)))
+        self.known.update(new)
+        found = [self.known[w] if w else None for w in words]
+        for w in fresh:
+            if len(w) > 64:  # doesn't come again
+                del self.known[w]
+        bad = np.array([p is None for p in found], bool)
+        if bad.any():  # look at those texts whole
+            own = np.split(numbers, ends[:-1])
+            for k in np.flatnonzero(np.add.reduceat(bad[numbers], np.concatenate([[0], ends[:-1]]), dtype=np.int64)):
+                whole = self.aligned([spaced[k]])[0] if len(own[k]) > 1 else None
+                own[k] = np.array([len(found)] if whole else [], np.int64)
+                found += [whole] if whole else []
+            numbers, ends = np.concatenate(own).astype(np.int64), np.cumsum([len(x) for x in own])
+        return Parts(found, numbers, ends)
 
 
 _LOADED: dict[tuple[str, str], Aligner] = {}
@@ -158,21 +223,31 @@ def align_tokens(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
 
     def run(batches):
         for b in slices(batches):
-            own = [x or [] for x in loaded(a_file, b_file).parts(texts_of(b))]
-            columns = {"doc_id": b.column("doc_id"), "groups": [";".join(p.written for p in x) for x in own], "n_links": [sum(len(p.links) for p in x) // 8 for x in own]}
-            yield record_batch(columns | {n: [sum(getattr(p, n) for p in x) for x in own] for n in ("n_a", "n_b", "n_groups")}, schema)
+            own = loaded(a_file, b_file).parts(texts_of(b))
+            yield record_batch({"doc_id": b.column("doc_id"), "groups": own.written()} | own.counts(), schema)
 
     return slim(docs).mapInArrow(run, _ALIGNED)
 
 
-def document_cells(own: list[list[Part]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def document_cells(own: Parts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The different pairs of some documents and how many hold each; for each document the end of its cells; and for each
     cell, a document's different pair, the pair's place and how often the document has it."""
-    sizes = np.array([sum(len(p.links) for p in x) // 8 for x in own], np.int64)
-    pairs, places = np.unique(np.frombuffer(b"".join(p.links for x in own for p in x), np.int64), return_inverse=True)
-    cells, times = np.unique(np.repeat(np.arange(len(own)), sizes) * max(1, len(pairs)) + places, return_counts=True)
-    document, place = np.divmod(cells, max(1, len(pairs)))
-    return pairs, np.bincount(place, minlength=len(pairs)), np.searchsorted(document, np.arange(len(own)), "right"), place, times
+    n_docs, links = len(own.ends), [p.links if p else b"" for p in own.found]
+    pairs, place = np.unique(np.frombuffer(b"".join(links), np.int64), return_inverse=True)
+    size = np.fromiter(map(len, links), np.int64, len(links)) // 8
+    document = np.repeat(np.arange(n_docs), np.diff(own.ends, prepend=0))
+    # First each document's different parts, then the pairs of these.
+    keys, times = np.unique(document * max(1, len(links)) + own.numbers, return_counts=True)
+    document, part = np.divmod(keys, max(1, len(links)))
+    length = size[part]
+    at = np.arange(length.sum()) + np.repeat((np.cumsum(size) - size)[part] - np.cumsum(length) + length, length)
+    cells = np.repeat(document, length) * max(1, len(pairs)) + place[at]
+    order = np.argsort(cells, kind="stable")
+    cells, weight = cells[order], np.repeat(times, length)[order]
+    first = np.flatnonzero(np.diff(cells, prepend=-1))
+    document, place = np.divmod(cells[first], max(1, len(pairs)))
+    times = np.add.reduceat(weight, first) if len(first) else weight
+    return pairs, np.bincount(place, minlength=len(pairs)), np.searchsorted(document, np.arange(n_docs), "right"), place, times
 
 
 def aligned_blocks(docs: DataFrame, a_file: str, b_file: str, block_bytes: int) -> DataFrame:
@@ -181,11 +256,10 @@ def aligned_blocks(docs: DataFrame, a_file: str, b_file: str, block_bytes: int)
     def run(batches):
         block = TaskContext.get().partitionId() << 32
         for b in slices(batches, block_bytes):
-            own = [x or [] for x in loaded(a_file, b_file).parts(texts_of(b))]
+            own = loaded(a_file, b_file).parts(texts_of(b))
             pairs, holders, ends, places, times = document_cells(own)
-            row = {n: [sum(getattr(p, n) for p in x) for x in own] for n in ("n_a", "n_b", "n_groups")}
-            row |= {"block": block, "doc_ids": b.column("doc_id").to_pylist(), "n_links": [sum(len(p.links) for p in x) // 8 for x in own]}
-            row["written"] = [hashlib.sha256(";".join(p.written for p in x).encode()).hexdigest() if x else "" for x in own]
+            row = own.counts() | {"block": block, "doc_ids": b.column("doc_id").to_pylist()}
+            row["written"] = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in own.written()]
             row |= {"pairs": pairs, "holders": holders, "ends": ends, "places": places, "times": times}
             yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in schema], schema=schema)
             block += 1
