@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -118,14 +120,31 @@ def character(code: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
 
+def replaced(text: Column, pattern: str, groups: int, by: Callable[..., Column]) -> Column:
+    """``text`` with every match replaced by ``by`` of the match and of its groups."""
+    found = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(pattern), F.lit(k)).alias(f"g{k}") for k in range(groups + 1)))
+    signs = F.transform(found, lambda m: by(*(m[f"g{k}"] for k in range(groups + 1))))
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), signs, lambda around, sign: F.concat(around, F.coalesce(sign, F.lit("")))), "")
+
+
+def referenced(whole: Column, digits: Column, base: int) -> Column:
+    """The character that a reference names; half a surrogate pair is U+FFFD, and a number beyond Unicode stays as written."""
+    bare = F.regexp_replace(digits, "^0+", "")
+    code = F.when(F.length(bare) <= 7, F.conv(F.concat(F.lit("0"), bare), base, 10).cast("long"))
+    return F.when(code.between(0xD800, 0xDFFF), "�").when(code <= 0x10FFFF, character(code)).otherwise(whole)
+
+
+def paired(whole: Column, high: Column, low: Column, base: int) -> Column:
+    """The character of two references that are the halves of a surrogate pair; other references stay as written."""
+    first, second = (F.conv(x, base, 10).cast("long") for x in (high, low))
+    return F.when(first.between(0xD800, 0xDBFF) & second.between(0xDC00, 0xDFFF), character(0x10000 + (first - 0xD800) * 1024 + second - 0xDC00)).otherwise(whole)
+
+
 def decoded(text: Column) -> Column:
     """Character references: numbers first, then names, the ampersand last."""
-    for mark, digits, base in (("x", "[0-9a-fA-F]{1,6}", 16), ("", "[0-9]{1,7}", 10)):
-        pattern = f"(?i)&#{mark}({digits});"
-        codes = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        signs = F.transform(codes, lambda c: character(F.conv(c, base, 10).cast("long")))  # noqa: B023
-        around = F.split(text, pattern, -1)
-        text = F.array_join(F.zip_with(around, signs, lambda a, s: F.concat(a, F.coalesce(s, F.lit("")))), "")
+    for mark, digits, half, base in (("x", "[0-9a-fA-F]+", "0*+d[89a-f][0-9a-f]{2}", 16), ("", "[0-9]+", "0*+5[5-7][0-9]{3}", 10)):
+        text = replaced(text, f"(?i)&#{mark}({half});&#{mark}({half});", 2, lambda w, a, b: paired(w, a, b, base))  # noqa: B023
+        text = replaced(text, f"(?i)&#{mark}({digits});", 1, lambda w, d: referenced(w, d, base))  # noqa: B023
     for name, plain in NAMED_CHARACTERS.items():
         text = F.regexp_replace(text, f"(?i)&{name};", plain)
     for written, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
@@ -186,7 +205,7 @@ def annex_title(title: Column, annex: Column) -> Column:
     t, name = F.trim(title), F.lower(F.trim(annex))
     parts = F.filter(F.transform(F.split(t, "—"), lambda x: F.trim(x)), lambda x: x != "")
     bare = (name != "") & ((F.lower(t) == name) | F.lower(t).endswith(F.concat(F.lit(" "), name)))
-    return F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 2, 1000), " — ")).when(bare, "").otherwise(F.coalesce(t, F.lit("")))
+    return F.when(F.size(parts) > 1, F.array_join(F.slice(parts, F.lit(2), F.size(parts)), " — ")).when(bare, "").otherwise(F.coalesce(t, F.lit("")))
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -222,14 +241,31 @@ def json_object(answer: Column) -> Column:
     """The widest braces in a model's answer, without its fences; null if they hold no JSON object."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(answer), r"(?i)^```(?:json)?\s*", ""), r"(?i)```\s*$", ""))
     found = F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit(""))
-    return F.when(F.try_parse_json(found).isNotNull(), found)
+    return F.when(F.get_json_object(found, "$").isNotNull(), found)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])))
+def json_entries(text: pd.Series) -> pd.Series:
+    """Keys, trimmed, and values of a JSON object, a key's last value where it is repeated; null for what isn't one."""
+
+    def entries(x: str | None) -> list | None:
+        try:
+            found = json.loads(x) if x else None
+        except (ValueError, RecursionError):
+            return None
+        if not isinstance(found, dict):
+            return None
+        said = {k.strip(): v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in found.items() if v is not None}
+        return [{"key": k, "value": v} for k, v in said.items()]
+
+    return text.map(entries)
 
 
 def titles_by_key(answer: Column, valid: Column) -> Column:
     """Of a model's answer the entries whose keys are valid, as cleaned titles that aren't empty."""
-    entries = F.from_json(json_object(answer), "map<string,string>")
-    trimmed = F.map_from_entries(F.transform(F.map_entries(entries), lambda e: F.struct(F.trim(e["key"]).alias("key"), recital_title(e["value"]).alias("value"))))
-    return F.map_filter(F.coalesce(trimmed, F.create_map().cast("map<string,string>")), lambda k, v: F.array_contains(valid, k) & (v != ""))
+    titles = F.transform(json_entries(json_object(answer)), lambda e: F.struct(e["key"].alias("key"), recital_title(e["value"]).alias("value")))
+    kept = F.filter(titles, lambda e: F.array_contains(valid, e["key"]) & (e["value"] != ""))
+    return F.map_from_entries(F.coalesce(kept, F.array().cast("array<struct<key: string, value: string>>")))
 
 
 def is_formex(document: Column) -> Column:
@@ -275,7 +311,7 @@ def xml_title(xml: Column) -> Column:
 
 def stream_text(log: Column) -> Column:
     """The text of a stream of events: the deltas of its ``data:`` lines, frame by frame; what was thought where nothing was said."""
-    lines = F.transform(F.filter(F.split(F.replace(log, F.lit("\r"), F.lit("")), "\n"), lambda x: x.startswith("data:")), lambda x: F.trim(F.substring(x, 6, 1_000_000)))
+    lines = F.transform(F.filter(F.split(F.replace(log, F.lit("\r"), F.lit("")), "\n"), lambda x: x.startswith("data:")), lambda x: F.trim(F.substr(x, F.lit(6))))
     frames = F.filter(lines, lambda x: F.try_parse_json(x).isNotNull())
     said = lambda name: F.array_join(F.transform(frames, lambda x: F.coalesce(F.get_json_object(x, f"$.choices[0].delta.{name}"), F.lit(""))), "")
     return F.coalesce(F.nullif(said("content"), F.lit("")), said("reasoning"))

@@ -5,9 +5,10 @@ Their inputs are made from the general tables by expressions that both engines r
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import refs, text
@@ -132,7 +133,7 @@ made("known_celex", P, K, {"t": "case p_partkey % 7 when 0 then 'the gdpr, ' ||
      lambda: {"celex": refs.known_celex(col("t"))}, {"celex": "['32016R0679', '31995L0046', null, '12012P', '32016R0679', '12012M', null][p_partkey % 7 + 1]"})
 made("ip_truncate_all", P, K, {"ip": "case p_partkey % 6 when 0 then '10.1.' || (p_partkey % 256) || '.9' when 1 then '::ffff:10.1.' || (p_partkey % 256) || '.9' when 2 then '2001:db8:' || (p_partkey % 9999) || ':4:5:6:7:8%eth0' when 3 then '2001:db8::' || (p_partkey % 9999) when 4 then 'unknown' else 'host' end"},
      lambda: {"ip": refs.truncated_ip(col("ip"))}, {"ip": "case p_partkey % 6 when 0 then '10.1.' || (p_partkey % 256) || '.0' when 1 then '10.1.' || (p_partkey % 256) || '.0' when 2 then '2001:db8:' || (p_partkey % 9999) || ':4::' when 3 then '2001:db8::::' when 4 then 'unknown' else 'host' end"})
-made("url_tail", P, K, {"t": "'http://h/a/b%20' || p_partkey || '%2Fc'"}, lambda: {"tail": F.url_decode(F.substring_index("t", "/", -1))}, {"tail": "'b ' || p_partkey || '/c'"})
+made("url_tail", P, K, {"t": "'http://h/a/b%20' || p_partkey || '%2Fc'"}, lambda: {"tail": F.try_url_decode(F.substring_index("t", "/", -1))}, {"tail": "'b ' || p_partkey || '/c'"})
 made("supported_urls", P, K, {"t": "case p_partkey % 4 when 0 then 'https://eur-lex.europa.eu/legal-content/EN/TXT/?uri=CELEX:32016R0679' when 1 then 'https://eur-lex.europa.eu/eli/dir/2000/31/oj' when 2 then 'https://eur-lex.europa.eu/homepage.html' else 'https://example.org/eli/x' end"},
      lambda: {"supported": F.coalesce(refs.url_class(col("t")) != "html", lit(False))}, {"supported": "p_partkey % 4 < 2"})
 
@@ -150,15 +151,18 @@ ASKED = "(select o_orderkey as id, case o_orderkey % 3 when 0 then 'regulation'
 STORED = "(select p_partkey, cast(1990 + p_size % 35 as string) as year, case p_partkey % 5 when 0 then 'reg' when 1 then 'dir' when 2 then 'dec' when 3 then 'dec_framw' else 'dec' end as path, case when p_partkey % 5 = 4 then '(1)' else '' end as mark, cast(p_partkey % 300 as string) as number from part)"
 
 
+def made_from(rows: DataFrame, view: str) -> DataFrame:
+    """The columns that ``view``, a subquery in parentheses on one table, makes of ``rows``."""
+    return rows.sparkSession.sql(f"select * from {re.sub(' from [a-z]+[)]$', ' from {rows})', view.strip())}", rows=rows)
+
+
 def asked_references(spark, sf):
-    table(spark, sf, "orders").createOrReplaceTempView("lexspark_orders")
-    return spark.sql(f"select * from {ASKED.replace('from orders', 'from lexspark_orders')}")
+    return made_from(table(spark, sf, "orders"), ASKED)
 
 
 def stored_acts(spark, sf):
-    table(spark, sf, "part").createOrReplaceTempView("lexspark_part")
     eli = F.concat(lit(f"{refs.STORE}/"), "path", lit("/"), "year", lit("/"), "number", "mark", lit("/oj"))
-    return spark.sql(f"select * from {STORED.replace('from part', 'from lexspark_part')}").select(eli.alias("eli"), F.format_string("act%07d", "p_partkey").alias("celex"))
+    return made_from(table(spark, sf, "part"), STORED).select(eli.alias("eli"), F.format_string("act%07d", "p_partkey").alias("celex"))
 
 
 TRIED = f"""asked as (select * from {ASKED}), acts as (select '{refs.STORE}/' || path || '/' || year || '/' || number || mark || '/oj' as eli, min(printf('act%07d', p_partkey)) as celex from {STORED} group by 1),
@@ -314,8 +318,7 @@ LINES = "(select o_custkey, o_orderkey, case o_orderkey % 4 when 0 then 'CHAPTER
 
 @query("division_titles", f"select o_custkey, o_orderkey, number, title from (select o_custkey, o_orderkey, line as number, case when lead(o_orderkey) over w % 4 = 1 then lead(line) over w end as title from {LINES} window w as (partition by o_custkey order by o_orderkey)) where o_orderkey % 4 in (0, 3)")
 def division_titles(spark, sf):
-    table(spark, sf, "orders").createOrReplaceTempView("lexspark_orders")
-    lines = spark.sql(f"select * from {LINES.replace('from orders', 'from lexspark_orders')}")
+    lines = made_from(table(spark, sf, "orders"), LINES)
     return library.division_titles(lines, "o_custkey", "o_orderkey", "line", text.collapsed(col("line")).rlike(text.DIVISION_MARK), text.likely_division_title(col("line")))
 
 
@@ -342,19 +345,19 @@ def bundle_articles(spark, sf):
 TERMS = "regexp_extract(lower(text), '([a-z]+ [a-z]{3,})', 1)"
 
 
-@query("definitions_within", f"with {UNITS}, d as (select distinct doc_id, {TERMS} as term from units where kind = 'recital' and ord <= 3) select distinct u.doc_id, pos, term from units u join d using (doc_id) where term <> '' and contains(lower(text), term)")
+@query("definitions_within", f"with {UNITS}, d as (select distinct doc_id, {TERMS} as term from units where kind = 'recital') select distinct u.doc_id, pos, term from units u join d using (doc_id) where term <> '' and contains(lower(text), term)")
 def definitions_within(spark, sf):
     units = adapters.units(spark, sf)
-    terms = units.where("kind = 'recital' and ord <= 3").select("doc_id", F.regexp_extract(F.lower("text"), "([a-z]+ [a-z]{3,})", 1).alias("term")).where("term <> ''").distinct()
+    terms = units.where("kind = 'recital'").select("doc_id", F.regexp_extract(F.lower("text"), "([a-z]+ [a-z]{3,})", 1).alias("term")).where("term <> ''").distinct()
     return library.definitions_within(units, terms)
 
 
-@query("definitions_by_length", f"with t as (select item_id, {TERMS} as term from benchmark) select item_id, term, row_number() over (order by length(term) desc, item_id) as place from t")
+@query("definitions_by_length", f"with {UNITS}, t as (select doc_id, ord, {TERMS} as term from units where kind = 'recital') select doc_id, term, row_number() over (partition by doc_id order by length(term) desc, ord) as place from t where term <> ''")
 def definitions_by_length(spark, sf):
-    """The order in which terms are looked for in a text: longest first. A law's definitions are few."""
-    rows = table(spark, sf, "benchmark").select("item_id", F.regexp_extract(F.lower("text"), "([a-z]+ [a-z]{3,})", 1).alias("term"))
-    ordered = rows.orderBy(F.desc(F.length("term")), "item_id").agg(F.collect_list(F.struct("item_id", "term")).alias("l"))
-    return ordered.select(F.posexplode("l").alias("place", "r")).select("r.item_id", "r.term", (col("place") + 1).alias("place"))
+    """The order in which a law's terms are looked for in its text: longest first."""
+    terms = adapters.units(spark, sf).where("kind = 'recital'").select("doc_id", "ord", F.regexp_extract(F.lower("text"), "([a-z]+ [a-z]{3,})", 1).alias("term")).where("term <> ''")
+    order = Window.partitionBy("doc_id").orderBy(F.desc(F.length("term")), "ord")
+    return terms.select("doc_id", "term", F.row_number().over(order).alias("place"))
 
 
 @query("registry_page", f"with {REGISTRY} select celex, date, ord from registry order by date desc, ord limit 20 offset 40")
@@ -363,9 +366,9 @@ def registry_page(spark, sf):
     return adapters.registry(spark, sf).orderBy(F.desc("date"), "ord").offset(40).limit(20).select("celex", "date", "ord")
 
 
-@query("cases_by_date", f"with {EDGES} select law, date, ord from edges where act = 7 and kind = 'interprets' order by coalesce(date, '') desc, law, ord limit 50")
+@query("cases_by_date", f"with {EDGES} select law, date, ord from edges where act = 7 and kind = 'interprets' order by coalesce(date, '') desc, law, ord")
 def cases_by_date(spark, sf):
-    return adapters.edges(spark, sf).where("act = 7 and kind = 'interprets'").orderBy(F.desc(F.coalesce("date", lit(""))), "law", "ord").limit(50).select("law", "date", "ord")
+    return adapters.edges(spark, sf).where("act = 7 and kind = 'interprets'").orderBy(F.desc(F.coalesce("date", lit(""))), "law", "ord").select("law", "date", "ord")
 
 
 @query("sitemap_routes", f"with {REGISTRY}, r as (select distinct '/' || type || '-' || substring(celex, 2, 4) || '-' || (substring(celex, 7)::int)::varchar as base from registry), u as (select base as route from r union select base || '/article/' || i from r, (values (1), (2), (3)) t(i) union select '/') select route from u")

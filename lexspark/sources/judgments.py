@@ -1,4 +1,4 @@
-"""Judgments: declarations of the operative part, metadata and parties, in built-in functions only.
+"""Judgments: declarations of the operative part, metadata and parties, in built-in functions over tidied pages.
 
 Four layouts are tried in turn: numbered tables behind the paragraph of the grounds, paragraphs with the classes of older
 pages, ``dt`` numbers, and numbers in the plain text. A page whose layout yields nothing falls to the next; a page without an
@@ -13,20 +13,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions.text import bold_name, collapsed, decoded, first_match
+from lexspark.sources import markup
 
 col = F.col
 # Grammar of judgments.
 GROUNDS, RULES = r"(?i)^On\s+those\s+grounds", r"(?i)hereby\s+(rules|declares|orders)"
 OPENINGS = (
-    r"(?i)On\s+those\s+grounds\s*,?\s*the\s+Court\s*\([^)]*\)\s*hereby\s+(?:rules|declares|orders)\s*:?",
-    r"(?i)On\s+those\s+grounds\s*,?\s*THE\s+COURT\s*(?:\([^)]*\))?\s*(?:hereby\s+)?(?:rules|declares|orders)\s*:?",
+    r"(?i)On\s+those\s+grounds\s*,?\s*the\s+Court\s*\([^()]*\)\s*hereby\s+(?:rules|declares|orders)\s*:?",
+    r"(?i)On\s+those\s+grounds\s*,?\s*THE\s+COURT\s*(?:\([^()]*\))?\s*(?:hereby\s+)?(?:rules|declares|orders)\s*:?",
 )
 CLOSINGS = r"(?i)Delivered\s+in\s+open\s+court|Language\s+of\s+the\s+case"
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
-CASES = r"(?i)(?:In\s+)?(?:Joined\s+)?Cases?\s+(C[-‑–]\d+/\d{2,4}(?:\s*(?:and|,|to)\s*C[-‑–]\d+/\d{2,4})*)"
+CASES = r"(?i)(?:In\s+)?(?:Joined\s+)?Cases?\s+(C[-‑–]\d+/\d{2,4}(?:\s*(?:and|,|to)\s*C[-‑–]\d+/\d{2,4})*+)"
 
-NUMBERED_DT = r"<dt\b[^>]*>(?:\s|&nbsp;|&#160;)*\d+\.?(?:\s|&nbsp;|&#160;)*</dt>"
-COUNT = r"(?is)<[^>]*\bcoj-count\b[^>]*>(?:\s|<[^>]*>)*(\d+)\."
+# Loops over groups are possessive, so that Java's pattern engine doesn't follow them by recursion.
+BLANK = r"(?:\s|&nbsp;|&#160;)*+"
+NUMBERED_DT = rf"<dt\b[^>]*>{BLANK}\d+\.?{BLANK}</dt>"
+COUNT = r"(?is)<[^>]*\bcoj-count\b[^>]*>\s*+(?:<[^>]*+>\s*+)*+(\d+)\."
 BOLD_COUNT = r"(?is)<[^>]*\bcoj-count\b[^>]*\bcoj-bold\b|<[^>]*\bcoj-bold\b[^>]*\bcoj-count\b|<[^>]*\bcoj-count\b[^>]*>\s*<[^>]*\bcoj-bold\b"
 
 
@@ -93,7 +96,7 @@ def from_classes(html: Column) -> Column:
 def from_terms(html: Column) -> Column:
     """``dt`` numbers behind the ruling; a declaration ends at the next number or table."""
     found = every(after(html, RULES), rf"(?is){NUMBERED_DT}.*?(?={NUMBERED_DT}|<table\b|\z)")
-    both = F.transform(found, lambda d: declaration(F.regexp_extract(d, r"(\d+)\.?(?:\s|&nbsp;|&#160;)*</dt>", 1), F.regexp_replace(content(d), r"^\d+\.\s*", "")))
+    both = F.transform(found, lambda d: declaration(F.regexp_extract(d, rf"(\d+)\.?{BLANK}</dt>", 1), F.regexp_replace(content(d), r"^\d+\.\s*", "")))
     return F.filter(both, lambda d: d["text"] != "")
 
 
@@ -111,6 +114,7 @@ def from_text(html: Column) -> Column:
 
 def declarations(judgments: DataFrame) -> DataFrame:
     """doc_id, ordinal from 1, number and text of the declarations of ``judgments`` (doc_id, html). No shuffle."""
+    judgments = judgments.select("doc_id", markup.tidied("html").alias("html"))
     # Held in an array, so that a layout is read once for its test and its rows.
     found = F.coalesce(*(F.get(F.filter(F.array(f(col("html"))), lambda d: F.size(d) > 0), F.lit(0)) for f in (from_tables, from_classes, from_terms, from_text)))
     one = judgments.select("doc_id", found.alias("d")).select("doc_id", F.posexplode("d").alias("i", "d"))
@@ -122,7 +126,7 @@ def parties(html: Column) -> Column:
     first bold font that isn't a case number."""
     spans = every(html, r'<span class="(?:coj-)?bold">([^<]+)</span>', 1)
     older = F.flatten(F.transform(every(html, r'(?is)<p\s+class="C02AlineaAlt[^"]*"[^>]*>(.*?)</p>', 1), lambda p: every(p, "(?is)<b>(.*?)</b>", 1)))
-    fonts = F.transform(every(html, r'(?is)<font[^>]+class="[^"]*oj-font[^"]*"[^>]*>\s*<b>(.*?)</b>\s*</font>', 1), lambda f: F.regexp_replace(f, r"(?i)<br\s*/?>", " "))
+    fonts = F.transform(every(html, r'(?is)<font[^>]+class="[^"]*oj-font[^"]*"[^>]*>\s*<b>([^<]*+(?:<(?!/b>)[^<]*+)*+)</b>\s*</font>', 1), lambda f: F.regexp_replace(f, r"(?i)<br\s*/?>", " "))
     fonts = F.slice(F.filter(fonts, lambda f: (bold_name(f) != "") & ~bold_name(f).rlike(r"(?i)^Case\s+[CT]-\d")), 1, 1)
     names = F.transform(F.when(F.size(spans) > 0, spans).when(F.size(older) > 0, older).otherwise(fonts), bold_name)
     first, second = (F.nullif(F.get(names, F.lit(k)), F.lit("")) for k in (0, 1))
@@ -132,6 +136,7 @@ def parties(html: Column) -> Column:
 def metadata(judgments: DataFrame) -> DataFrame:
     """doc_id, formation, date, subject, case_number, ecli and parties of ``judgments`` (doc_id, html); null where a page
     doesn't say."""
+    judgments = judgments.select("doc_id", markup.tidied("html").alias("html"))
     html, whole = col("html"), content(col("html"))
     titles = F.transform(every(html, classed("coj-sum-title-1")), content)
     dated = rf"\d{{1,2}} (?:{MONTHS}) \d{{4}}"

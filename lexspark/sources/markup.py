@@ -14,6 +14,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,6 +34,7 @@ STRUCTURED = frozenset(("eli-subdivision", "oj-ti-art", "title-article-norm", "o
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+|[\"'=/]")
+_TAG, _WHITE = re.compile(r"[a-z][a-z0-9:._-]*"), re.compile(r"[ \t\r\n\f]+")
 _SPACE = re.compile(r"[\s ]+")
 
 BLOCK = "doc_id long, pos long, tag string, id string, classes array<string>, mark string, fragment boolean, root long, recital boolean, heading boolean, title string, titled boolean, layouts array<string>, lang string, text string"
@@ -134,7 +137,7 @@ class Page:
         self.meta: dict[str, str] = {}
         for name, rest in events(page):
             if not name:
-                self.text(html.unescape(rest))
+                self.text(self.said(rest))
             elif name[0] == "/":
                 self.end(name[1:])
             else:
@@ -144,6 +147,8 @@ class Page:
             for r in self.rows:
                 r["fragment"] = False
 
+    said = staticmethod(html.unescape)
+
     def row(self, element: Element, **more) -> dict:
         self.n += 1
         made = {"pos": self.n, "element": element, "tag": element.tag, "fragment": self.fragment, "mark": [], "text": []} | more
@@ -313,6 +318,44 @@ def blocks_of(doc_id: int, page: str) -> Iterator[tuple]:
                r.get("title"), r.get("titled", False), layouts, walked.lang, collapsed("".join(r["text"])))
 
 
+class Tidied(Page):
+    """The page written anew: every tag whole, its attributes in double quotes, every element ended, white space as single
+    spaces, scripts and comments left out. Patterns that look for the end of a tag or element never look far in it."""
+
+    def __init__(self, page: str):
+        self.written: list[str] = []
+        super().__init__(page)
+
+    said = staticmethod(str)  # references stay as they are
+
+    def text(self, text: str) -> None:
+        self.written.append(_WHITE.sub(" ", text).replace("<", "&lt;") if text else "")
+
+    def start(self, tag: str, own: dict[str, str], closed: bool) -> None:
+        if tag in VOID:
+            self.written.append(self.tag(tag, own))
+            return
+        super().start(tag, own, closed)
+        self.written.append(self.tag(tag, own))
+
+    def tag(self, tag: str, own: dict[str, str]) -> str:
+        return f"<{tag}{''.join(f' {k}=\"{html.escape(v)}\"' for k, v in own.items() if v)}>" if _TAG.fullmatch(tag) else ""
+
+    def row(self, element: Element, **more) -> dict:
+        return {"pos": 0, "text": [], "mark": []}
+
+    def close_to(self, element: Element) -> None:
+        while self.here is not element:
+            tag = self.here.tag
+            super().close_to(self.here.parent)
+            self.written.append(f"</{tag}>" if _TAG.fullmatch(tag) else "")
+
+
+@F.pandas_udf(T.StringType())
+def tidied(page: pd.Series) -> pd.Series:
+    return page.map(lambda x: None if x is None else "".join(Tidied(x).written))
+
+
 def blocks(pages: DataFrame) -> DataFrame:
     """Rows of ``BLOCK`` of ``pages`` (doc_id, html): paragraphs (tag p), outermost cells (td, th) and tables, subdivisions
     (div) and text between them (#text), numbered by pos from 1, and the meta tags (pos 0, their name as id). ``root`` is the
