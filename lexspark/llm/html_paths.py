@@ -8,8 +8,9 @@ notice, advert or reader comments has a twentieth of its score; a name that cove
 
 The region is the ``main`` elements, or else the ``article`` elements, that hold nine tenths of the content's text, or
 without such the deepest element that does. All blocks of the region are main text, whatever their own length, but for those
-below a name that counts; content beside the region is main text too, except beside ``main``. Elements that never hold
-content (forms, scripts, navigation and the like) are left out.
+below a name that counts; content beside the region is main text too, except beside ``main``. A form and what is shown without
+scripts count like a name, so one that holds the page is read. Elements that never hold content (controls of forms, scripts,
+navigation and the like) are left out.
 
 A page is read in time linear in its length: the walk keeps for each element its path, block and marks, sums go up the tree
 in one pass, and where a quoted attribute has no end tags end at the next ``>``.
@@ -38,10 +39,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 INLINE_FORMAT = frozenset("a abbr b big cite code em font i mark q s small span strike strong sub sup tt u".split())
-NEVER = frozenset("aside button canvas dialog embed fieldset footer form head iframe input label menu nav noscript object script search select style svg template textarea title video audio".split())
+NEVER = frozenset("aside button canvas dialog embed fieldset footer head iframe input label menu nav object script search select style svg template textarea title video audio".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements that are boilerplate like those with such a name, unless they hold the page.
+FRAMES = frozenset(("form", "noscript"))
 #: Words of class, id and role that name what isn't content, and words that may stand beside them.
-BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus dialog footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo recommended recommendations related replies respond share sharing shoutbox sidebar signup skyscraper social sponsor sponsored subscribe subscription teaser toolbar contentinfo complementary".split())
+BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus dialog discussion discussions footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo recommended recommendations related replies respond share sharing shoutbox sidebar signup skyscraper social sponsor sponsored subscribe subscription teaser toolbar contentinfo complementary".split())
 NEUTRAL = frozenset("site page main left right top bottom list box container wrapper block area section bar widget inner outer global primary secondary user reader post blog links link buttons button title slot unit text".split())
 NAMED_SHARE, NAMED_LIMIT, REGION_SHARE, DEVIATIONS = 0.05, 0.8, 0.9, 0.8
 
@@ -166,12 +169,12 @@ def walk(page: str) -> tuple[list[Element], list[Block]]:
             start_block(tag)
         judged = bool(attributes) and tag not in ("html", "body", "article", "main")
         excluded = here.excluded or tag in NEVER or judged and bool(_HIDDEN.search(attributes)) or tag == "header" and not here.semantic
-        named = judged and not excluded and names_boilerplate(attributes)
+        named = not excluded and (tag in FRAMES or judged and names_boilerplate(attributes))
         e = Element(tag, here, len(elements), paths.setdefault((here.path, tag), len(paths) + 1), excluded, named)
         if e.block is e:
             current = None
         elements.append(e)
-        if tag in RAW or tag in ("noscript", "template", "iframe"):
+        if tag in RAW or tag in ("template", "iframe"):
             end = _END[tag].search(page, at)
             if excluded:
                 current = None
@@ -182,7 +185,7 @@ def walk(page: str) -> tuple[list[Element], list[Block]]:
     return elements, out
 
 
-_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in (*RAW, "noscript", "template", "iframe")}
+_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in (*RAW, "template", "iframe")}
 
 
 def path_scores(blocks: list[Block], texts: list[str], named: np.ndarray) -> np.ndarray:

@@ -403,6 +403,16 @@ def test_main_text_of_other_layouts():
     assert html_paths.main_text(f"<body><article>{paragraphs}</article><div class=comments>{paragraphs * 2}</div></body>") == whole
 
 
+def test_main_text_within_a_form_or_noscript():
+    body = [f"Paragraph {k} of the body, with a sentence, and another one; it goes on for a while." for k in range(6)]
+    paragraphs, whole = "".join(f"<p>{x}</p>" for x in body), "\n".join(body)
+    controls = "<label>Search</label><input name=q><select><option>One</select><textarea>typed</textarea><button>Go</button>"
+    assert html_paths.main_text(f"<body><form id=server-form>{controls}<nav>Menu</nav><div>{paragraphs}</div></form></body>") == whole
+    assert html_paths.main_text(f"<body><noscript><div>{paragraphs}</div></noscript><script>document.write('x')</script></body>") == whole
+    assert html_paths.main_text(f"<body><div>{paragraphs}<form><p>Your name, please.</p>{controls}</form><noscript><img src=t>Enable it.</noscript></div></body>") == whole
+    assert html_paths.main_text(f"<body><div><div>{paragraphs}</div><div class=discussion><p>I agree, nice article, thanks for it all.</p></div></div></body>") == whole
+
+
 def test_main_text_follows_the_path_scores(spark, sf_dir, monkeypatch):
     """Without the scores of the tag paths the result is another one."""
     pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
