@@ -1,7 +1,13 @@
-"""Operator 3: line dedup by winnowing over line hashes.
+"""Operator 3: line dedup over line hashes, by all stretches rather than by winnowing.
+
+Winnowing selects the minima of windows of fingerprints and guarantees to find runs of a whole window. Here a run of
+``min_words`` words is to be found even where it is one line, so a window can hold no more than one fingerprint, and nothing is
+left to select; and a selected fingerprint that stands in many surroundings would have to be compared with each of them, as
+its first occurrence need not share the run. So every fingerprint is kept, and it is as long as the shortest run, so that
+joining it with its first occurrence alone is exact.
 
 The lines with a word are hashed. From each line the shortest stretch of lines that has ``min_words`` words is taken, ahead
-and back; each stretch is a fingerprint (winnowing with a window of one, so none is passed over). A stretch is the
+and back; each stretch is a fingerprint. A stretch is the
 shortest one wherever its lines occur, so equal stretches always meet. Each is joined with its first occurrence, in the
 order of (doc_id, text hash, line); the lines of all others are repeated and deleted. Any line of a repeated run of
 ``min_words`` words or more lies in such a stretch within the run: in the one that ends with the line or, where the run

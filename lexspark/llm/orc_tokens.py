@@ -43,12 +43,13 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
             start += int(ends[-1])
 
     spark = docs.sparkSession
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    # Rows of one doc_id and text are told apart by a hash of all their columns, which a repeated task works out alike.
+    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(*(docs[c] for c, kind in docs.dtypes if "map<" not in kind)).alias("salt"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
-    # Ranges go by text hash and a fixed random number too, so that many rows of one doc_id, or of none, aren't one range.
+    # Ranges go by the texts' hashes and those of the rows too, so that many rows of one doc_id, or of none, aren't one range.
     order = ["doc_id", "hash", "salt"]
-    (docs.withColumns({"hash": F.xxhash64("text"), "salt": F.rand(11)})
+    (docs.withColumn("hash", F.xxhash64("text"))
      .repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "text")
      .mapInArrow(encode, SCHEMA)
      .write.option("orc.stripe.size", stripe_mb << 20).option("orc.bloom.filter.columns", "doc_id").option("orc.create.index", "true").option("orc.compress", "ZSTD").orc(path))
