@@ -43,8 +43,9 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
             start += int(ends[-1])
 
     spark = docs.sparkSession
-    # Rows of one doc_id and text are told apart by a hash of all their columns, which a repeated task works out alike.
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(*(docs[c] for c, kind in docs.dtypes if "map<" not in kind)).alias("salt"))
+    # Rows of one doc_id and text are told apart by a hash of their other columns, which a repeated task works out alike.
+    others = [docs[c] for c, kind in docs.dtypes if c not in (id_col, text_col) and "map<" not in kind]
+    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), (F.xxhash64(*others) if others else F.lit(0).cast("long")).alias("salt"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
     # Ranges go by the texts' hashes and those of the rows too, so that many rows of one doc_id, or of none, aren't one range.
