@@ -13,6 +13,7 @@ from lexspark.plans import crossrefs, flat_laws, grounded, html_laws, judgments,
 from lexspark.plans.oracle import SQL
 from lexspark.sources import adapters, formex
 from lexspark.sources.adapters import table
+from lexspark.streaming import upserts
 from lexspark.streaming import usage as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -258,6 +259,13 @@ def stream_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
     return streams.drained(streams.rate_limited(streams.requests(spark, sf)), "rate-limit")
 
 
+@register
+def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Every user's last request, kept by a stream."""
+    asked = streams.requests(spark, sf).select("user_id", "id", "ts")
+    return upserts.drained(asked, "upserts", "user_id", ["ts", "id"]).select("user_id", "id")
+
+
 QUERIES |= library.QUERIES | judgments.QUERIES | flat_laws.QUERIES | proposals.QUERIES | html_laws.QUERIES | crossrefs.QUERIES | grounded.QUERIES
 ORACLE_SQL: dict[str, str] = {k: v for k, v in (SQL | library.SQL | judgments.SQL | flat_laws.SQL | proposals.SQL | html_laws.SQL | crossrefs.SQL | grounded.SQL).items() if k in QUERIES}
 #: Queries without SQL; their tests compare them with brute force.

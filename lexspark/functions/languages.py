@@ -14,7 +14,7 @@ _LOW, _HIGH = "„“‘’«»\"'", "‘’“”«»\"'"
 WORDS = {
     "EN": ("Article", "CHAPTER", "SECTION", "ANNEX", "definitions?", "[Rr]ecitals?", "‘’'\"", "means"),
     "PL": ("Artyku[łl]", "ROZDZIA[ŁL]", "SEKCJA|ODDZIA[ŁL]", "ZA[ŁL][ĄA]CZNIK", "definicj", "[Mm]otyw", "„‚«“'\"‘”‟»’", r"oznacz[aą]\S*"),
-    "DE": ("Artikel", "KAPITEL", "ABSCHNITT", "ANHANG", "Begriffsbestimmungen?|Definitionen?", "Erwägungsgrund(?:e|en)?", _LOW, r"bezeichnet(?:\s+\S+)*"),
+    "DE": ("Artikel", "KAPITEL", "ABSCHNITT", "ANHANG", "Begriffsbestimmungen?|Definitionen?", "Erwägungsgrund(?:e|en)?", _LOW, "bezeichnet"),
     "FR": ("Article", "CHAPITRE", "SECTION", "ANNEXE", "Définitions?", "[Cc]onsidérants?", _HIGH, r"(?:on\s+)?entend\s+par"),
     "ES": ("Art[ií]culo", "CAP[IÍ]TULO", "SECCI[OÓ]N", "ANEXO", "Definiciones?", "[Cc]onsiderando", _HIGH, r"se\s+entender[aá]\s+por|se\s+entiende\s+por"),
     "IT": ("Articolo", "CAPO", "SEZIONE", "ALLEGATO", "Definizioni?", "[Cc]onsiderando", _HIGH, r"si\s+intende(?:\s+per)?"),
@@ -37,6 +37,22 @@ WORDS = {
     "MT": ("Artikolu", "KAPITOLU", "TAQSIMA", "ANNESS", "Definizzjonijiet?", "[Kk]onsiderazzjonijiet?", _HIGH, "tfisser"),
     "GA": ("Airteagal", "CAIBIDIL", "ROINN", "IARSCR[IÍ]BHINN", "Sainmh[ií]nithe?", "[Aa]imhréasa|[Rr]achtaí", _HIGH, "ciallaíonn"),
 }
+# What ends the first part of an act's title (the institution, or else the word before the date), and the note on
+# the EEA.
+TITLES = {
+    "EN": (r"\s+of the European Parliament(?!\w)", r"\s+of\s+", "text with eea relevance"), "PL": (r"\s+Parlamentu Europejskiego(?!\w)", r"\s+z dnia\s+", "tekst mający znaczenie dla eog"),
+    "DE": (r"\s+des Europäischen Parlaments(?!\w)", r"\s+vom?\s+", "Text.*?EWR"), "FR": (r"\s+du Parlement européen(?!\w)", r"\s+du\s+", "Texte.*EEE"),
+    "ES": (r"\s+del Parlamento Europeo(?!\w)", r"\s+de\s+", "Texto.*EEE"), "IT": (r"\s+del Parlamento europeo(?!\w)", r"\s+del\s+", "Testo.*SEE"),
+    "PT": (r"\s+do Parlamento Europeu(?!\w)", r"\s+de\s+", "Texto.*EEE"), "NL": (r"\s+van het Europees Parlement(?!\w)", r"\s+van\s+", "Tekst.*EER"),
+    "DA": (r"\s+Europa-Parlamentets?(?!\w)", r"\s+af\s+", "EØS-relevant tekst"), "SV": (r"\s+Europaparlamentets?(?!\w)", r"\s+av den\s+", "EES-relevant text"),
+    "FI": (r"\s+Euroopan parlamentin(?!\w)", r"\s+annettu\s+", "ETA-merkityksellinen teksti"), "CS": (r"\s+Evropského parlamentu(?!\w)", r"\s+ze dne\s+", "Text.*význam.*pro EHP"),
+    "SK": (r"\s+Európskeho parlamentu(?!\w)", r"\s+z\s+", "Text.*významu.*pre EHP"), "HU": (r"\s+az Európai Parlament(?!\w)", r"\s+évi\s+", "EGT-vonatkozású szöveg"),
+    "RO": (r"\s+Parlamentului European(?!\w)", r"\s+din\s+", "Text.*SEE"), "BG": (r"\s+на Европейския парламент(?!\w)", r"\s+от\s+", "Текст.*ЕИП"),
+    "HR": (r"\s+Europskog parlamenta(?!\w)", r"\s+od\s+", "Tekst.*EGP"), "SL": (r"\s+Evropskega parlamenta(?!\w)", r"\s+z dne\s+", "Besedilo.*EGS"),
+    "ET": (r"\s+Euroopa Parlamendi(?!\w)", r"\s+\d+\.\s+", "EMP-s kohaldatav tekst"), "LV": (r"\s+Eiropas Parlamenta(?!\w)", r"\s+gada\s+", "EEZ nozīmīgs teksts"),
+    "LT": (r"\s+Europos Parlamento(?!\w)", r"\s+m\.\s+", "EEE svarbus tekstas"), "EL": (r"\s+του Ευρωπαϊκού Κοινοβουλίου(?!\w)", r"\s+της\s+", "Σχετικό.*ΕΟΧ"),
+    "MT": (r"\s+tal-Parlament Ewropew(?!\w)", r"\s+ta'\s+", "Test.*żEE"), "GA": (r"\s+Pharlaimint na hEorpa(?!\w)", r"\s+an\s+", "Téacs.*LEE"),
+}
 # Languages whose definitions name the verb before the term, those that mark the term by no quotes but by what
 # follows it, and the word between an article and the act that it belongs to (elsewhere "of").
 VERB_FIRST, UNQUOTED = ("FR", "ES", "IT", "PT"), {"LT": "–", "SV": ":"}

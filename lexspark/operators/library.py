@@ -91,3 +91,10 @@ def bundle_cases(references: DataFrame, act: str, articles: DataFrame) -> DataFr
 def definitions_within(units: DataFrame, definitions: DataFrame) -> DataFrame:
     """(doc_id, pos, term) where a unit holds a term of its own law, of one word or several, anywhere."""
     return units.join(definitions.select("doc_id", "term"), "doc_id").where(F.lower("text").contains(F.lower("term"))).select("doc_id", "pos", "term").distinct()
+
+
+def stopwords(lists: DataFrame, languages: DataFrame, base: str = "en") -> DataFrame:
+    """(lang, word) of each language's own list and of the ``base`` language's, each word once; ``lists`` are (lang, word)."""
+    shared = lists.where(F.col("lang") == base).agg(F.collect_set("word").alias("words"))  # one list
+    common = languages.distinct().join(F.broadcast(shared)).select("lang", F.explode("words").alias("word"))
+    return lists.select("lang", "word").union(common).distinct()

@@ -399,11 +399,16 @@ def units_union(spark, sf):
     return units.unionByName(annexes).groupBy("kind").agg(F.count(lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
-@query("stopword_union", f"select count(*) as n from (select 'the' as w union select 'und' union select 'der' union select unnest([{', '.join(repr(w) for w in 'the a an and'.split())}]))")
+FREQUENT = "select lang, word from (select lang, word, row_number() over (partition by lang order by count(*) desc, word) as place from (select lang, unnest(string_split_regex(lower(text), '[^a-z]+')) as word from documents) where length(word) between 2 and 4 group by 1, 2) where place <= 40"
+
+
+@query("stopword_union", f"with l as ({FREQUENT}), own as (select distinct lang from documents), u as (select lang, word from l union select o.lang, l.word from own o join l on l.lang = 'en') select lang, count(*) as n, string_agg(word, ' ' order by word) as words from u group by 1")
 def stopword_union(spark, sf):
-    """The stopwords of English and of a text's own language, each once."""
-    rows = lambda words: spark.createDataFrame([(w,) for w in words], "w string")
-    return rows(["the", "und", "der"]).union(rows("the a an and".split())).distinct().agg(F.count(lit(1)).alias("n"))
+    """The stopwords of English and of a language itself, each once; here a language's most frequent short words stand for them."""
+    words = table(spark, sf, "documents").select("lang", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("length(word) between 2 and 4")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    lists = words.groupBy("lang", "word").agg(F.count(lit(1)).alias("n")).withColumn("place", place).where("place <= 40").select("lang", "word")
+    return library.stopwords(lists, table(spark, sf, "documents").select("lang")).groupBy("lang").agg(F.count(lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("word")), " ").alias("words"))
 
 
 def spanned(words: str, definition: str) -> str:

@@ -121,4 +121,5 @@ SQL: dict[str, str] = {
     "xref_extract": """with o as (select o_orderkey, o_orderkey % 40 as a, o_custkey % 9 as d, o_custkey % 30 as b, o_custkey % 7 as c from orders)
  select o_orderkey, 0 as ord, a as "first", a + d as "last" from o union all select o_orderkey, 1, b, b from o union all select o_orderkey, 2, c, c + 3 from o""",
     "parse_formex": f"with {UNITS} select doc_id, kind, ord as ordinal, ord::varchar as number, trim(regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '[ \\t\\r\\n]+', ' ', 'g'), ' ') as text from units",
+    "stream_upsert": "select user_id, arg_max(event_id, (ts, event_id)) as id from events group by 1",
 }
