@@ -38,13 +38,19 @@ def article_citations(text: Column) -> Column:
 
 
 def structured(pills: DataFrame, key: list[str], column: str = "pill") -> DataFrame:
-    """One row per different article token of compact citations, composites split: act, act_celex, article, paragraph, point,
-    and at, the place of the token's first mention."""
+    """One row per different article token of each compact citation, composites split: act, act_celex, article, paragraph,
+    point, and at, the place of the token's first mention. A citation's tokens are told apart in its own array: no shuffle."""
     form = r"^Art\.?\s+(.+?)\s+([A-Za-z]+|\d{2,4}/\d+)\s*$"
     tokens = F.split(F.regexp_replace(F.regexp_extract(column, form, 1), r"(?i)\s+and\s+", ", "), ",")
-    rows = pills.where(F.col(column).rlike(form)).select(*key, column, F.regexp_extract(column, form, 2).alias("act"), F.posexplode(tokens).alias("at", "token"))
-    article, paragraph, point = refs.article_parts(F.col("token"))
-    return rows.select(*key, "at", "act", refs.act_celex(F.col("act")).alias("act_celex"), article.alias("article"), paragraph.alias("paragraph"), point.alias("point")).where("article is not null").groupBy(*key, "act", "act_celex", "article", "paragraph", "point").agg(F.min("at").alias("at"))
+
+    def parts(token: Column) -> Column:
+        return F.struct(*(c.alias(n) for n, c in zip(("article", "paragraph", "point"), refs.article_parts(token))))
+
+    rows = pills.where(F.col(column).rlike(form)).select(*key, F.regexp_extract(column, form, 2).alias("act"), F.transform(tokens, parts).alias("__parts"))
+    placed = F.transform("__parts", lambda p, i: F.struct(i.alias("at"), p.alias("p")))
+    once = F.filter(placed, lambda e: e["p"]["article"].isNotNull() & (F.array_position("__parts", e["p"]) == e["at"] + 1))
+    found = rows.select(*key, "act", F.explode(once).alias("__one"))
+    return found.select(*key, "act", refs.act_celex(F.col("act")).alias("act_celex"), "__one.p.article", "__one.p.paragraph", "__one.p.point", "__one.at")
 
 
 def cases_for_article(structured_refs: DataFrame, case: str, act: str, article: str) -> DataFrame:
