@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import refs, text
 from lexspark.operators import citations, graph, search, structure, tfidf, usage
-from lexspark.plans import crossrefs, flat_laws, grounded, html_laws, judgments, library, proposals
+from lexspark.plans import crossrefs, flat_laws, grounded, html_laws, inputs, judgments, library, proposals
 from lexspark.plans.oracle import SQL
 from lexspark.sources import adapters, formex
 from lexspark.sources.adapters import table
@@ -266,7 +266,7 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return upserts.drained(asked, "upserts", "user_id", ["ts", "id"]).select("user_id", "id")
 
 
-QUERIES |= library.QUERIES | judgments.QUERIES | flat_laws.QUERIES | proposals.QUERIES | html_laws.QUERIES | crossrefs.QUERIES | grounded.QUERIES
-ORACLE_SQL: dict[str, str] = {k: v for k, v in (SQL | library.SQL | judgments.SQL | flat_laws.SQL | proposals.SQL | html_laws.SQL | crossrefs.SQL | grounded.SQL).items() if k in QUERIES}
+QUERIES |= library.QUERIES | judgments.QUERIES | flat_laws.QUERIES | proposals.QUERIES | html_laws.QUERIES | crossrefs.QUERIES | grounded.QUERIES | inputs.QUERIES
+ORACLE_SQL: dict[str, str] = {k: v for k, v in (SQL | library.SQL | judgments.SQL | flat_laws.SQL | proposals.SQL | html_laws.SQL | crossrefs.SQL | grounded.SQL | inputs.SQL).items() if k in QUERIES}
 #: Queries without SQL; their tests compare them with brute force.
 WITHOUT_SQL = sorted(set(QUERIES) - set(ORACLE_SQL))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import refs
@@ -81,3 +81,9 @@ def definitions_used(units: DataFrame, definitions: DataFrame) -> DataFrame:
     """(doc_id, item_id) where a document holds a definition's term as a word; a term is one token, so it is an equi-join."""
     words = units.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("term"))
     return words.join(definitions, "term").select("doc_id", "item_id").distinct()
+
+
+def top_counts(rows: DataFrame, by: str, value: str, most: int) -> DataFrame:
+    """Per ``by`` the ``most`` frequent values with their number n and place; equally frequent ones in their own order."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), value))
+    return rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("n")).withColumn("place", place).where(F.col("place") <= most)

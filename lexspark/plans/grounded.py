@@ -40,7 +40,7 @@ def digests(spark, sf: str):
     return found.select("law", "summary", F.array_join(written, ";").alias("themes"), "no_case_law")
 
 
-def bundle(spark, sf: str):
+def nested_bundles(spark, sf: str):
     units = adapters.units(spark, sf)
     number = F.col("ord").cast("string")
     articles = units.where("kind = 'article'").select(F.col("doc_id").alias("law"), F.col("ord").alias("ordinal"), number.alias("number"), F.lit(None).cast("string").alias("title"), "text")
@@ -50,7 +50,11 @@ def bundle(spark, sf: str):
     edges = adapters.edges(spark, sf)
     cases = edges.selectExpr("act as law", "cast(ord as string) as number", "concat('6', law) as celex", "date", "kind as name", "cast(law % 3 as string) as paragraph", "cast(null as string) as point")
     chosen = table(spark, sf, "documents").select(F.col("doc_id").alias("law"), F.explode(F.array(F.lit("1"), F.lit("3"))).alias("number"))
-    found = grounded.bundles(chosen, articles, terms, links, recitals, cases)
+    return grounded.bundles(chosen, articles, terms, links, recitals, cases)
+
+
+def bundle(spark, sf: str):
+    found = nested_bundles(spark, sf)
     join = lambda c, f: F.array_join(F.transform(c, f), ";")
     return found.select(
         "law", join("articles", lambda a: F.concat_ws(":", a["number"], F.length(a["text"]))).alias("articles"), join("definitions", lambda d: F.concat_ws(":", d["term"], d["definition"])).alias("definitions"),
@@ -60,6 +64,11 @@ def bundle(spark, sf: str):
 
 QUERIES = {"grounded_summaries": summaries, "grounded_digests": digests, "bundle_multi": bundle}
 
+BUNDLED = f"""{RECITALS}, term as (select doc_id, ord, regexp_extract(lower(text), '([a-z]+ [a-z]{{3,}})', 1) as term from units where kind = 'recital'),
+ used as (select * from term where term <> '' and exists (select 1 from units u where u.doc_id = term.doc_id and u.kind = 'article' and u.ord in (1, 3) and contains(lower(u.text), term))),
+ b as (select doc_id, recital, max(score) as score from (select *, row_number() over (partition by doc_id, article order by score desc, recital) as p from links where article in (1, 3)) where p <= 6 group by 1, 2),
+ e as (select l_partkey as doc_id, l_orderkey, max(strftime(l_shipdate, '%Y-%m-%d')) as date, min(case l_returnflag when 'A' then 'amends' when 'N' then 'implements' else 'interprets' end) as name,
+  string_agg(l_linenumber || '/' || (l_orderkey % 3), ',' order by l_linenumber) as refs, string_agg('Art. ' || l_linenumber || '(' || (l_orderkey % 3) || ')', ', ' order by l_linenumber) as cited from lineitem where l_linenumber in (1, 3) group by 1, 2)"""
 _LONG = "case when p_size * 25 - 1 > 900 then rtrim(substring(repeat('long ', p_size * 5), 1, 900)) || '...' else rtrim(repeat('long ', p_size * 5)) end"
 SQL = {
     "grounded_summaries": f"""with s as (select *, p_size % 5 + 1 as n, p_partkey % 7 as c, p_partkey % 11 as bad from part),
@@ -71,12 +80,9 @@ SQL = {
  max(case when l_linenumber = 2 then 'E' || l_orderkey || '-2/C' || l_orderkey || '-2/case ' || l_partkey || '/' || l_returnflag || '/-' end) as two, max(case when l_linenumber = 3 then '-/C' || l_orderkey || '-3/case ' || l_partkey || '/' || l_returnflag || '/-' end) as three from lineitem group by 1),
  d as (select o_orderkey as law, o_orderkey % 5 as k, concat_ws(' ', one, two, three) as cites from orders left join c on law = o_orderkey)
  select law, case when k > 1 and cites <> '' then 'On ' || law else '' end as summary, case when k > 1 and cites <> '' then 'All:' || cites else '' end as themes, case when k <> 1 then k = 0 or cites = '' end as no_case_law from d""",
-    "bundle_multi": f"""with {RECITALS}, a as (select doc_id, string_agg(ord || ':' || length(text), ';' order by ord) as articles from units where kind = 'article' and ord in (1, 3) group by 1),
- term as (select doc_id, ord, regexp_extract(lower(text), '([a-z]+ [a-z]{{3,}})', 1) as term from units where kind = 'recital'),
- d as (select doc_id, string_agg(term || ':meaning ' || ord, ';' order by ord) as definitions from term where term <> '' and exists (select 1 from units u where u.doc_id = term.doc_id and u.kind = 'article' and u.ord in (1, 3) and contains(lower(u.text), term)) group by 1),
- b as (select doc_id, recital, max(score) as score from (select *, row_number() over (partition by doc_id, article order by score desc, recital) as p from links where article in (1, 3)) where p <= 6 group by 1, 2),
+    "bundle_multi": f"""with {BUNDLED}, a as (select doc_id, string_agg(ord || ':' || length(text), ';' order by ord) as articles from units where kind = 'article' and ord in (1, 3) group by 1),
+ d as (select doc_id, string_agg(term || ':meaning ' || ord, ';' order by ord) as definitions from used group by 1),
  r as (select b.doc_id, string_agg(recital || ':' || length(u.text), ';' order by score desc, recital) as recitals from b join units u on u.doc_id = b.doc_id and u.kind = 'recital' and u.ord = recital group by 1),
- e as (select l_partkey as doc_id, l_orderkey, max(strftime(l_shipdate, '%Y-%m-%d')) as date, string_agg(l_linenumber || '/' || (l_orderkey % 3), ',' order by l_linenumber) as refs from lineitem where l_linenumber in (1, 3) group by 1, 2),
  c as (select doc_id, string_agg(date || ':6' || l_orderkey || ':' || refs, ';' order by date desc, '6' || l_orderkey) as cases from e group by 1)
  select a.doc_id as law, articles, definitions, recitals, cases from a left join d using (doc_id) left join r using (doc_id) left join c using (doc_id)""",
 }
