@@ -2,6 +2,11 @@
 
 Each stage reads what its predecessor wrote as Parquet; its decisions take effect. All stages but the last return the
 columns of ``documents``; the last returns the pieces of packed sequences with their token ids.
+
+A null text counts as empty. Documents without a word fail the quality rules, so they go in the first stage; one that loses all
+its words to line dedup goes there. Rows without a doc_id pass through all stages; rows that are equal are one text to line
+dedup (none loses lines to the other) and one group to the near-duplicate join, of which one row stays. Columns beside doc_id
+and text may have any names and values; n_chars is set anew. An empty table gives empty tables.
 """
 
 from __future__ import annotations
