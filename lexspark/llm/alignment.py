@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexspark.llm.chunks import Chunks, between, byte_alphabet, free_separator, id_encoder
-from lexspark.llm.shared import record_batch, single_threaded_tokenizers, slices, stored, texts_of
+from lexspark.llm.shared import WORKER_CACHES, forget_others, record_batch, single_threaded_tokenizers, slices, stored, texts_of
 
 MARK = "▁"
 BLOCK_BYTES = 4_000_000
@@ -105,6 +105,7 @@ class Aligner:
         self.special = [t.content for t in self.a.get_added_tokens_decoder().values()]
         self.known: dict[str, Part | None] = {}
         self.limit = limit
+        WORKER_CACHES.append(self.known)
 
     def a_ids(self, texts: list[str]) -> list[bytes]:
         """A's ids as unsigned 32-bit numbers; what may hold a special token's string goes to the library as plain text."""
@@ -168,6 +169,7 @@ class Aligner:
     def parts(self, texts: list[str]) -> Parts:
         spaced = [f" {t}" if t else "" for t in texts]
         words, numbers, ends = self.cut(spaced)
+        forget_others(self.known)
         if len(self.known) > self.limit:
             self.known.clear()
         fresh = [w for w in words if w and w not in self.known]

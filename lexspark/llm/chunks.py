@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from lexspark.llm.shared import WORKER_CACHES, forget_others
+
 _ADJACENT = re.compile(r"\s\s")
 _BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
 _PLAIN = re.compile(r" ?\S+")
@@ -66,8 +68,10 @@ class ChunkCache:
     def __init__(self, compute, limit: int = 300_000):
         self.compute, self.limit = compute, limit
         self.known: dict = {}
+        WORKER_CACHES.append(self.known)
 
     def values(self, words: list[str]) -> list:
+        forget_others(self.known)
         if len(self.known) > self.limit:
             self.known.clear()
         new = [w for w in words if w not in self.known]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexspark.llm.shared import record_batch, slices, stored, texts_of
+from lexspark.llm.shared import forget_others, record_batch, slices, stored, texts_of
 from lexspark.llm.shingles import mix
 
 _STRETCHES = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.list_(pa.int32())), ("end", pa.list_(pa.int32())), ("prints", pa.list_(pa.int64()))])
@@ -95,6 +95,7 @@ def repeated_runs(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, th, runs): line ranges that occur earlier, numbers first, end, first, end, ..."""
 
     def stretches_of(batches):
+        forget_others()
         for b in slices(batches):
             out: dict[str, list] = {"at": [], "end": [], "prints": []}
             for t in texts_of(b):
@@ -125,6 +126,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     added = [("n_lines", pa.int64()), ("n_deleted_lines", pa.int64()), ("n_deleted_words", pa.int64())]
 
     def apply(batches):
+        forget_others()
         for whole in batches:
             row = whole.column("row")
             for b in slices([pa.RecordBatch.from_arrays([*row.flatten(), whole.column("runs")], names=[*(f.name for f in row.type), ""])]):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.shared import least_hashes, record_batch, slices, stored
+from lexspark.llm.shared import forget_others, least_hashes, record_batch, slices, stored
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks"]
 _SPACE, _SYMBOLS, _MARKS = b" \t\n\r\x0b\x0c", b"#*$%&|<>", b"!?.,;:"
@@ -73,6 +73,7 @@ def rule_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row of counts per row of ``docs``."""
 
     def count(batches):
+        forget_others()
         for b in slices(batches):
             yield record_batch(_stats_columns(b.column("text").to_pylist(), b.column("doc_id")), _STATS_ARROW)
 
@@ -203,6 +204,7 @@ def keep_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     model = fit_quality(stored(rule_stats(docs, id_col, text_col), "rule-stats"), labels, **fit)
 
     def keep(batches):
+        forget_others()
         for b in slices(batches, column=text_col):
             s = _stats_columns(b.column(text_col).to_pylist(), None)
             yield b.filter(pa.array(model.judge(s)["kept"]))

@@ -52,6 +52,17 @@ def least_hashes(df: DataFrame, key, bound: int, n: int) -> DataFrame:
     return few.orderBy(F.xxhash64(key), *(c for c, kind in df.dtypes if not kind.startswith("map"))).limit(bound)
 
 
+#: What this Python worker keeps from one task to the next, by operator.
+WORKER_CACHES: list[dict] = []
+
+
+def forget_others(own: dict | None = None) -> None:
+    """Empty the caches of operators that ran in this worker before; ``own`` stays."""
+    for kept in WORKER_CACHES:
+        if kept is not own and kept:
+            kept.clear()
+
+
 def slices(batches, most_bytes: int = 4_000_000, column: str = "text"):
     """Cut Arrow batches so that the text column of each slice holds about ``most_bytes`` bytes."""
     for batch in batches:

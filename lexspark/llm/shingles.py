@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from lexspark.llm.shared import WORKER_CACHES, forget_others
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers (multiply and shift)."""
@@ -35,10 +37,12 @@ class WordHashes:
 
 
 _WORDS = WordHashes()
+WORKER_CACHES.append(_WORDS.known)
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of lower-cased (A-Z) texts; words are runs other than space and U+0009..U+000D."""
+    forget_others(_WORDS.known)
     return _WORDS.of([(t or "").encode().lower().split() for t in texts])
 
 
