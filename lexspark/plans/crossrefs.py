@@ -26,7 +26,7 @@ def refs(spark, sf: str):
 
 
 def spans(spark, sf: str):
-    rows = table(spark, sf, "lineitem").selectExpr("l_orderkey as text", "l_linenumber as ordinal", "l_partkey % 40 as start", "l_partkey % 40 + cast(l_quantity as int) % 12 as end")
+    rows = table(spark, sf, "lineitem").selectExpr("l_orderkey as text", "l_linenumber as ordinal", "l_partkey % 40 as start", "l_partkey % 40 + cast(l_quantity as int) % 12 as end").distinct()
     return crossrefs.longest_spans(rows, "text")
 
 
@@ -42,7 +42,7 @@ def row(ordinal: str, kind: str, target: str, paragraph: str = "null", point: st
     return f"o_orderkey, ({ordinal})::bigint, '{kind}', ({target})::varchar, ({paragraph})::varchar, {point}, ({article})::varchar, {act}, ({year})::varchar, ({number})::varchar, {suffix}"
 
 
-SPANS = "select l_orderkey as text, l_linenumber as ordinal, l_partkey % 40 as start, l_partkey % 40 + l_quantity::int % 12 as \"end\" from lineitem"
+SPANS = "select distinct l_orderkey as text, l_linenumber as ordinal, l_partkey % 40 as start, l_partkey % 40 + l_quantity::int % 12 as \"end\" from lineitem"
 _TWO = "case when two >= 50 then 1900 + two else 2000 + two end"
 SQL = {
     # The range comes to 1 or to w + 1 articles; the later ones stand behind it.

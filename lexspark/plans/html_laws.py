@@ -23,7 +23,7 @@ def word(k: int) -> str:
 
 RECITAL = """case doc_id % 4
  when 0 then '<div class="eli-subdivision" id="rct_' || ord || '"><table><tr><td>(' || ord || ')</td><td><p>' || t || '</p></td></tr></table></div>'
- when 1 then case when ord % 2 = 0 then '<p class="normal">(' || ord || ') ' || t || '</p>' else '<p class="note">Whereas <i>' || t || '</i></p>' end
+ when 1 then case when ord % 2 = 0 then '<p class="normal">(' || ord || ') As ' || t || '</p>' else '<p class="note">Whereas <i>' || t || '</i></p>' end
  when 2 then '<p class="li ManualConsidrant"><span class="num">(' || ord || ')</span> ' || t || '</p>' else '<p>(' || ord || ')' || t || '</p>' end"""
 CHAPTER = f"""case when ord % 3 <> 1 or doc_id % 4 = 3 and ord = 1 then '' when doc_id % 4 = 0 then '<p class="oj-ti-section-1">' || {word(1)} || ' ' || ord || '</p><p class="x oj-ti-section-2">Part ' || ord || '</p>'
  when doc_id % 4 = 1 then '<p class="normal">CHAPTER ' || ord || '</p><p class="normal">PART ' || ord || '</p>'
@@ -57,7 +57,7 @@ SQL = {
  n as (select *, row_number() over (partition by doc_id, kind order by ord) as ordinal, ['structured', 'legacy', 'proposal', 'flat'][k + 1] as layout, max(case when ord % 3 = 1 and kind = 'article' and (k < 3 or ord > 1) then ord end) over (partition by doc_id, kind order by ord) as chapter_at from u),
  g as (select *, max(case when ord % 2 = 0 then ord else 0 end) over (partition by doc_id order by ord) as given from n where kind = 'recital'),
  r as (select *, row_number() over (partition by doc_id, given order by ord) - (given > 0)::int as after from g)
- select doc_id, layout, kind, ordinal, case when k = 1 and ord % 2 = 1 then (given + after)::varchar else ord::varchar end as number, null as title, null as chapter, null as section, case when k = 1 and ord % 2 = 1 then 'Whereas ' else '' end || t as text from r
+ select doc_id, layout, kind, ordinal, case when k = 1 and ord % 2 = 1 then (given + after)::varchar else ord::varchar end as number, null as title, null as chapter, null as section, case when k = 1 and ord % 2 = 1 then 'Whereas ' when k = 1 then 'As ' else '' end || t as text from r
  union all select doc_id, layout, kind, ordinal, ord::varchar, 'Name ' || ord, case k when 0 then {word(1)} else 'CHAPTER' end || ' ' || chapter_at || ' — ' || case when k in (0, 2) then 'Part ' else 'PART ' end || chapter_at, null, '1. ' || t from n where kind = 'article'
  union all select distinct doc_id, layout, 'annex', 1, 'IV', case k when 0 then {word(2)} else 'ANNEX' end || ' IV — Forms', null, null, 'Its text.' from n where k < 3""",
 }
