@@ -47,7 +47,8 @@ on("celex_parse", adapters.registry, lambda d: d.select("ord", "celex", refs.is_
 on("eli_kind", adapters.registry, lambda d: d.select("ord", refs.eli_kind(col("eli")).alias("kind"), refs.eli_key(col("eli")).alias("key")))
 on("official_ref_key", adapters.registry, lambda d: d.select("ord", refs.official_ref_key(refs.celex_type(col("celex")), F.substring("celex", 2, 4), F.substring("celex", 7, 4)).alias("key")))
 on("case_number_celex", part, lambda d: d.select("p_partkey", F.expr("concat('C-', p_partkey % 10000, '/', lpad(cast(p_size % 100 as string), 2, '0'))").alias("c")).select("p_partkey", refs.case_to_celex(col("c")).alias("celex"), refs.celex_to_case(refs.case_to_celex(col("c"))).alias("again")))
-on("ref_parse_backend", adapters.cites, lambda d: d.select("src", "ord", refs.act_type(col("citation")).alias("act_type"), refs.reference_year(col("citation")).alias("year"), refs.reference_number(col("citation")).alias("number")))
+in_text = lambda found: F.when(col("citation").isNotNull(), F.coalesce(found, F.lit("")))  # '' where a text has none
+on("ref_parse_backend", adapters.cites, lambda d: d.select("src", "ord", refs.act_type(col("citation")).alias("act_type"), in_text(refs.reference_year(col("citation"))).alias("year"), in_text(refs.reference_number(col("citation"))).alias("number")))
 on("ip_truncate", adapters.requests, lambda d: d.select("id", refs.truncated_ip(col("ip")).alias("ip")))
 on("citation_pills", adapters.cites, lambda d: d.select("src", "ord", citations.pill(col("citation")).alias("pill")))
 on("back_references", adapters.edges, citations.back_references)
