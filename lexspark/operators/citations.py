@@ -25,7 +25,7 @@ def pill(citation: Column) -> Column:
     out = F.when(F.lit(False), label)
     for name in NAMED_ACTS:
         out = out.when(label.rlike(of(name)), F.regexp_replace(label, of(name) + ".*$", f" {name}"))
-    return (out.when(label.rlike(act + "2016/679"), F.regexp_replace(label, act + r"2016/679.*$", " GDPR"))
+    return (out.when(label.rlike(act + r"2016/679(?!\d)"), F.regexp_replace(label, act + r"2016/679(?!\d).*$", " GDPR"))
             .when(label.rlike(act + r"\d{2,4}/\d+"), F.regexp_replace(label, act + r"(\d{2,4}/\d+).*$", " $1")).otherwise(label))
 
 
