@@ -240,11 +240,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` (with doc_id and text) without the near-duplicates of others: of each component the row with the smallest
     doc_id stays (of equal ones that with the smallest text hash; of fully repeated texts one row). Rows without words stay."""
-    found = near_duplicates(docs, words, percent)
-    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("k"))
-    keys = first.select(F.col("k.doc_id").alias("doc_id"), F.col("k.th").alias("th"))
+    found = near_duplicates(docs, words, percent).where("n_shingles > 0")
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("k")).select(F.col("k.doc_id").alias("k_doc_id"), F.col("k.th").alias("k_th"))
+    times = found.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("times"))
+    told = times.join(first, [times.doc_id.eqNullSafe(first.k_doc_id), times.th == first.k_th], "left").withColumn("stays", F.col("k_th").isNotNull())
+    # Most rows stay and are alone: only those that go or stand repeatedly are written down and looked up, and of the texts only
+    # repeated ones need to meet.
+    marked = stored(told.where("not stays or times > 1").select(F.col("doc_id").alias("m_doc_id"), F.col("th").alias("m_th"), "stays"), "marked-rows")
     # The row as a whole lies in a struct, so that no added name can clash with its columns.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.struct("*").alias("row"))
     empty = F.coalesce(F.regexp_replace("row.text", "[\\x20\\x09-\\x0D]", ""), F.lit("")) == ""
-    kept = rows.where(~empty).join(keys, [rows.doc_id.eqNullSafe(keys.doc_id), rows.th == keys.th], "left_semi").dropDuplicates(["doc_id", "th"])
-    return kept.select("row.*").unionByName(rows.where(empty).select("row.*"))
+    same = [rows.doc_id.eqNullSafe(marked.m_doc_id), rows.th == marked.m_th]
+    alone = rows.where(~empty).join(marked, same, "left_anti")
+    repeated = rows.where(~empty).join(marked.where("stays"), same, "left_semi").dropDuplicates(["doc_id", "th"])
+    return alone.select("row.*").unionByName(repeated.select("row.*")).unionByName(rows.where(empty).select("row.*"))
