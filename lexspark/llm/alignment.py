@@ -21,6 +21,7 @@ doc_id and text are read, so other columns may have any names.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from itertools import chain
 from typing import NamedTuple
@@ -37,6 +38,8 @@ from lexspark.llm.shared import WORKER_CACHES, forget_others, record_batch, sing
 
 MARK = "▁"
 BLOCK_BYTES = 4_000_000
+#: Blocks of a stored file, and about as many of a task that adds up their documents: what a task holds doesn't grow with the table.
+BLOCKS = 8
 NONE, A_END, B_END, BOTH = range(4)
 _GROUP = re.compile(rb"[^\x03]*\x03")
 _ADJACENT = re.compile(r"\s\s")
@@ -279,10 +282,11 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
 
 def alignment_digests(docs: DataFrame, a_file: str, b_file: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row of ``docs``."""
-    blocks = stored(aligned_blocks(docs, a_file, b_file, block_bytes), "aligned-blocks")
+    blocks = stored(aligned_blocks(docs, a_file, b_file, block_bytes), "aligned-blocks", BLOCKS)
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(blocks.count() / BLOCKS))
     asked = blocks.select(F.col("block").alias("of"), F.posexplode("pairs").alias("place", "pair"))
     told = asked.join(pair_counts(blocks), "pair").select("of", F.struct("place", "n", "best").alias("told"))
-    answers = told.groupBy("of").agg(F.sort_array(F.collect_list("told")).alias("told")).select("of", F.col("told.n").alias("n"), F.col("told.best").alias("best"))
+    answers = told.repartition(tasks, "of").groupBy("of").agg(F.sort_array(F.collect_list("told")).alias("told")).select("of", F.col("told.n").alias("n"), F.col("told.best").alias("best"))
     schema = arrow_schema(_OUT)
 
     def sums(batches):
@@ -296,5 +300,6 @@ def alignment_digests(docs: DataFrame, a_file: str, b_file: str, block_bytes: in
                 out |= {"n_best": total(array("best")[place] * times), "count_sum": total(array("n")[place] * times)}
                 yield record_batch(out, schema)
 
-    joined = blocks.join(answers, F.col("block") == F.col("of"), "left")
+    own = blocks.select("block", "doc_ids", "n_a", "n_b", "n_groups", "n_links", "written", "ends", "places", "times").repartition(tasks, "block")
+    joined = own.join(answers, F.col("block") == F.col("of"), "left")
     return joined.select("doc_ids", "n_a", "n_b", "n_groups", "n_links", "written", "ends", "places", "times", "n", "best").mapInArrow(sums, _OUT)

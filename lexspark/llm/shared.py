@@ -31,14 +31,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back.
 
-    It cuts the lineage: after an executor is lost only the reading is repeated.
+    It cuts the lineage: after an executor is lost only the reading is repeated. Rows of megabytes need few ``rows_a_file``, as
+    a writer keeps what it has of a file, and a reader thousands of rows of one, in memory.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
