@@ -36,6 +36,11 @@ def without_marks(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x if x is None else x.lower() if x.isascii() else bare(x.lower()))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalized(text: Column) -> Column:
     return F.trim(F.regexp_replace(without_marks(text), "[^a-z0-9]+", " "))
 
@@ -122,16 +127,20 @@ def character(code: Column) -> Column:
 
 def replaced(text: Column, pattern: str, groups: int, by: Callable[..., Column]) -> Column:
     """``text`` with every match replaced by ``by`` of the match and of its groups."""
-    found = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(pattern), F.lit(k)).alias(f"g{k}") for k in range(groups + 1)))
-    signs = F.transform(found, lambda m: by(*(m[f"g{k}"] for k in range(groups + 1))))
-    return F.array_join(F.zip_with(F.split(text, pattern, -1), signs, lambda around, sign: F.concat(around, F.coalesce(sign, F.lit("")))), "")
+
+    def changed(t: Column) -> Column:
+        found = F.arrays_zip(*(F.regexp_extract_all(t, F.lit(pattern), F.lit(k)).alias(f"g{k}") for k in range(groups + 1)))
+        signs = F.transform(found, lambda m: by(*(m[f"g{k}"] for k in range(groups + 1))))
+        return F.array_join(F.zip_with(F.split(t, pattern, -1), signs, lambda around, sign: F.concat(around, F.coalesce(sign, F.lit("")))), "")
+
+    return bound(text, changed)
 
 
 def referenced(whole: Column, digits: Column, base: int) -> Column:
     """The character that a reference names; half a surrogate pair is U+FFFD, and a number beyond Unicode stays as written."""
     bare = F.regexp_replace(digits, "^0+", "")
-    code = F.when(F.length(bare) <= 7, F.conv(F.concat(F.lit("0"), bare), base, 10).cast("long"))
-    return F.when(code.between(0xD800, 0xDFFF), "�").when(code <= 0x10FFFF, character(code)).otherwise(whole)
+    number = F.when(F.length(bare) <= 7, F.conv(F.concat(F.lit("0"), bare), base, 10).cast("long"))
+    return bound(number, lambda code: F.when(code.between(0xD800, 0xDFFF), "�").when(code <= 0x10FFFF, character(code)).otherwise(whole))
 
 
 def paired(whole: Column, high: Column, low: Column, base: int) -> Column:
@@ -141,7 +150,11 @@ def paired(whole: Column, high: Column, low: Column, base: int) -> Column:
 
 
 def decoded(text: Column) -> Column:
-    """Character references: numbers first, then names, the ampersand last."""
+    """Character references: numbers first, then names, the ampersand last. Each step's text is worked out once."""
+    return bound(text, lambda t: F.when(t.contains("&"), without_references(t)).otherwise(t))
+
+
+def without_references(text: Column) -> Column:
     for mark, digits, half, base in (("x", "[0-9a-fA-F]+", "0*+d[89a-f][0-9a-f]{2}", 16), ("", "[0-9]+", "0*+5[5-7][0-9]{3}", 10)):
         text = replaced(text, f"(?i)&#{mark}({half});&#{mark}({half});", 2, lambda w, a, b: paired(w, a, b, base))  # noqa: B023
         text = replaced(text, f"(?i)&#{mark}({digits});", 1, lambda w, d: referenced(w, d, base))  # noqa: B023
@@ -154,8 +167,7 @@ def decoded(text: Column) -> Column:
 
 def registry_title(title: Column) -> Column:
     """A title, null if it is blank or a placeholder."""
-    t = F.trim(title)
-    return F.when((t != "") & ~t.isin(PLACEHOLDER_TITLES), t)
+    return bound(F.trim(title), lambda t: F.when((t != "") & ~t.isin(PLACEHOLDER_TITLES), t))
 
 
 def recital_title(title: Column, most: int = 90) -> Column:
@@ -210,8 +222,12 @@ def annex_title(title: Column, annex: Column) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """The value of a tag's attribute in double or else in single quotes; null without one."""
-    double = F.when(tag.rlike(rf'(?i)\b{name}="'), F.regexp_extract(tag, rf'(?i)\b{name}="([^"]*)"', 1))
-    return F.coalesce(double, first_match(tag, rf"(?i)\b{name}='([^']*)'"))
+
+    def value(t: Column) -> Column:
+        double = F.when(t.rlike(rf'(?i)\b{name}="'), F.regexp_extract(t, rf'(?i)\b{name}="([^"]*)"', 1))
+        return F.coalesce(double, first_match(t, rf"(?i)\b{name}='([^']*)'"))
+
+    return bound(tag, value)
 
 
 # Grammar of headings.
@@ -240,8 +256,7 @@ def line_kind(line: Column) -> Column:
 def json_object(answer: Column) -> Column:
     """The widest braces in a model's answer, without its fences; null if they hold no JSON object."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(answer), r"(?i)^```(?:json)?\s*", ""), r"(?i)```\s*$", ""))
-    found = F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit(""))
-    return F.when(F.get_json_object(found, "$").isNotNull(), found)
+    return bound(F.regexp_extract(bare, r"(?s)\{.*\}", 0), lambda found: F.when((found != "") & F.get_json_object(found, "$").isNotNull(), found))
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexspark.sources import judgments
-from lexspark.sources.adapters import table
+from lexspark.sources.adapters import spread, table
 
 GROUNDS = "On those grounds, the Court (Grand&nbsp;Chamber) hereby rules:"
 TABLES = (
@@ -23,7 +23,7 @@ HEAD = """'<p class="coj-sum-title-1">JUDGMENT OF THE COURT (' || case p_partkey
 
 
 def of(spark, sf: str, html: str):
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(html).alias("html"))
+    return spread(table(spark, sf, "part")).select(F.col("p_partkey").alias("doc_id"), F.expr(html).alias("html"))
 
 
 QUERIES = {

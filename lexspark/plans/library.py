@@ -15,7 +15,7 @@ from lexspark.functions import refs, text
 from lexspark.operators import citations, library, tfidf, tooltips
 from lexspark.plans.oracle import CITES, EDGES, PIECES, RECITALS, REGISTRY, REQUESTS, UNITS
 from lexspark.sources import adapters
-from lexspark.sources.adapters import table
+from lexspark.sources.adapters import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,7 +37,7 @@ def made(name: str, source: str, key: str, inputs: dict[str, str], outputs: Call
     view = f"(select {key}, {', '.join(f'{x} as {n}' for n, x in inputs.items())} from {source})"
 
     def plan(spark, sf):
-        rows = table(spark, sf, source).select(key, *(F.expr(x).alias(n) for n, x in inputs.items()))
+        rows = spread(table(spark, sf, source)).select(key, *(F.expr(x).alias(n) for n, x in inputs.items()))
         return rows.select(key, *(c.alias(n) for n, c in outputs().items()))
 
     query(name, f"select {key}, {', '.join(f'{x} as {n}' for n, x in sql.items())} from {view}")(plan)
@@ -418,7 +418,7 @@ def spanned(words: str, definition: str) -> str:
 @query("tooltip_inject", f"""select p_partkey as doc_id, '<p title="personal data">' || {spanned("Personal data", "p_name")} || ' and ' || {spanned("data", "'a &quot;fact&quot; &amp; more'")} || ', metadata, data-set</p><p>data ' || p_brand || '</p>' as html from part""")
 def tooltip_inject(spark: SparkSession, sf: str) -> DataFrame:
     """Two terms of each law, one within the other, in its text."""
-    laws = table(spark, sf, "part").select(col("p_partkey").alias("doc_id"), F.expr("""concat('<p title="personal data">Personal data and data, metadata, data-set</p><p>data ', p_brand, '</p>')""").alias("html"), "p_name")
+    laws = spread(table(spark, sf, "part")).select(col("p_partkey").alias("doc_id"), F.expr("""concat('<p title="personal data">Personal data and data, metadata, data-set</p><p>data ', p_brand, '</p>')""").alias("html"), "p_name")
     entry = lambda place, term, meaning: F.struct(lit(place).alias("place"), lit(term).alias("term"), meaning.alias("definition"))
     terms = F.explode(F.array(entry(1, "data", lit('a "fact" & more')), entry(2, "personal data", col("p_name"))))
     return tooltips.with_tooltips(laws.drop("p_name"), laws.select("doc_id", terms.alias("t")).select("doc_id", "t.*"))

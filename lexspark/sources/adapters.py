@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt evenly over four tasks a core: few bytes of a table, which are one or two partitions, may stand for long work."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Act records: ord, celex, title, type, date, eli."""
     year = F.expr("cast(1990 + p_size % 35 as string)")

@@ -7,12 +7,10 @@ operative part, and a null page, has no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.functions.text import bold_name, collapsed, decoded, first_match
+from lexspark.functions.text import bold_name, bound, collapsed, decoded, first_match
 from lexspark.sources import markup
 
 col = F.col
@@ -33,14 +31,9 @@ COUNT = r"(?is)<[^>]*\bcoj-count\b[^>]*>\s*+(?:<[^>]*+>\s*+)*+(\d+)\."
 BOLD_COUNT = r"(?is)<[^>]*\bcoj-count\b[^>]*\bcoj-bold\b|<[^>]*\bcoj-bold\b[^>]*\bcoj-count\b|<[^>]*\bcoj-count\b[^>]*>\s*<[^>]*\bcoj-bold\b"
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is worked out once, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def content(html: Column) -> Column:
     """Text of markup, white space collapsed."""
-    return bound(F.regexp_replace(html, "<[^>]*>", ""), lambda t: collapsed(F.when(t.contains("&"), decoded(t)).otherwise(t)))
+    return collapsed(decoded(F.regexp_replace(html, "<[^>]*>", "")))
 
 
 def classed(name: str, tag: str = r"[a-z]\w*") -> str:
@@ -127,18 +120,20 @@ def parties(html: Column) -> Column:
     spans = every(html, r'<span class="(?:coj-)?bold">([^<]+)</span>', 1)
     older = F.flatten(F.transform(every(html, r'(?is)<p\s+class="C02AlineaAlt[^"]*"[^>]*>(.*?)</p>', 1), lambda p: every(p, "(?is)<b>(.*?)</b>", 1)))
     fonts = F.transform(every(html, r'(?is)<font[^>]+class="[^"]*oj-font[^"]*"[^>]*>\s*<b>([^<]*+(?:<(?!/b>)[^<]*+)*+)</b>\s*</font>', 1), lambda f: F.regexp_replace(f, r"(?i)<br\s*/?>", " "))
-    fonts = F.slice(F.filter(fonts, lambda f: (bold_name(f) != "") & ~bold_name(f).rlike(r"(?i)^Case\s+[CT]-\d")), 1, 1)
-    names = F.transform(F.when(F.size(spans) > 0, spans).when(F.size(older) > 0, older).otherwise(fonts), bold_name)
-    first, second = (F.nullif(F.get(names, F.lit(k)), F.lit("")) for k in (0, 1))
-    return F.when(first.isNotNull() & second.isNotNull(), F.concat(first, F.lit(" v "), second)).otherwise(first)
+    named = lambda found: F.transform(found, bold_name)
+    font = F.slice(F.filter(named(fonts), lambda n: (n != "") & ~n.rlike(r"(?i)^Case\s+[CT]-\d")), 1, 1)
+    some = lambda found, other: bound(found, lambda x: F.when(F.size(x) > 0, named(x)).otherwise(other))
+    both = lambda n: F.struct(*(F.nullif(F.get(n, F.lit(k)), F.lit("")).alias(c) for k, c in enumerate(("first", "second"))))
+    versus = lambda p: F.when(p["first"].isNotNull() & p["second"].isNotNull(), F.concat(p["first"], F.lit(" v "), p["second"])).otherwise(p["first"])
+    return bound(bound(some(spans, some(older, font)), both), versus)
 
 
 def metadata(judgments: DataFrame) -> DataFrame:
     """doc_id, formation, date, subject, case_number, ecli and parties of ``judgments`` (doc_id, html); null where a page
     doesn't say."""
     judgments = judgments.select("doc_id", markup.tidied("html").alias("html"))
-    html, whole = col("html"), content(col("html"))
-    titles = F.transform(every(html, classed("coj-sum-title-1")), content)
+    html, whole, titles = col("html"), col("whole"), col("titles")
+    judgments = judgments.select("doc_id", "html", content(html).alias("whole"), F.transform(every(html, classed("coj-sum-title-1")), content).alias("titles"))
     dated = rf"\d{{1,2}} (?:{MONTHS}) \d{{4}}"
     date = F.get(F.filter(F.transform(titles, lambda t: F.regexp_extract(t, dated, 0)), lambda d: d != ""), F.lit(0))
     return judgments.select(
