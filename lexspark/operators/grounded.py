@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.functions.text import json_object, without_tags_or_references
+from lexspark.functions.text import bound, json_object, without_tags_or_references
 
 col = F.col
 # How much of each part of an answer is kept.
@@ -21,7 +21,7 @@ OBLIGATIONS, INSTRUMENTS, THEMES, CITES = 8, 6, 6, 6
 def said(text: Column, most: int) -> Column:
     """Text without markup, cut to ``most`` characters; '' for null."""
     bare = without_tags_or_references(F.coalesce(text, F.lit("")))
-    return F.when(F.length(bare) > most, F.concat(F.trim(F.substring(bare, 1, most)), F.lit("..."))).otherwise(bare)
+    return bound(bare, lambda b: F.when(F.length(b) > most, F.concat(F.trim(F.substring(b, 1, most)), F.lit("..."))).otherwise(b))
 
 
 def first(array: Column, most: int) -> Column:
@@ -31,24 +31,31 @@ def first(array: Column, most: int) -> Column:
 def cited_block(raw: Column, valid: Column, needs_citation: bool = False) -> Column:
     """(text, citations): an object's text with those of its citations that are valid, each once; a bare text has none. Null
     without a text, or without a citation where one is needed."""
-    own = F.from_json(F.when(raw.startswith("{"), raw), "text string, citations array<string>")
-    cited = F.transform(F.coalesce(own["citations"], F.array().cast("array<string>")), lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)^Art\.?\s*", "")))
-    citations = F.array_distinct(F.filter(cited, lambda c: F.array_contains(valid, c)))
-    text = said(F.when(raw.startswith("{"), own["text"]).otherwise(raw), TEXT)
-    ok = (text != "") & (F.lit(not needs_citation) | (F.size(citations) > 0))
-    return F.when(ok, F.struct(text.alias("text"), citations.alias("citations")))
+
+    def block(own: Column) -> Column:
+        cited = F.transform(F.coalesce(own["citations"], F.array().cast("array<string>")), lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)^Art\.?\s*", "")))
+        citations = F.array_distinct(F.filter(cited, lambda c: F.array_contains(valid, c)))
+        text = said(F.when(raw.startswith("{"), own["text"]).otherwise(raw), TEXT)
+        return F.struct(text.alias("text"), citations.alias("citations"))
+
+    kept = lambda b: F.when((b["text"] != "") & (F.lit(not needs_citation) | (F.size(b["citations"]) > 0)), b)
+    return bound(bound(F.from_json(F.when(raw.startswith("{"), raw), "text string, citations array<string>"), block), kept)
 
 
 def known_instruments(raw: Column, candidates: Column) -> Column:
     """Related instruments (label, celex, relationship) that are among the candidates by identifier or else by label."""
 
-    def one(x: Column) -> Column:
-        own = F.from_json(x, "label string, celex string, relationship string")
-        label, celex, relation = said(own["label"], LABEL), F.nullif(said(own["celex"], 40), F.lit("")), said(own["relationship"], RELATIONSHIP)
+    def read(own: Column) -> Column:
+        return F.struct(said(own["label"], LABEL).alias("label"), F.nullif(said(own["celex"], 40), F.lit("")).alias("celex"), said(own["relationship"], RELATIONSHIP).alias("relation"))
+
+    def known(x: Column) -> Column:
         last = lambda test: F.try_element_at(F.filter(candidates, test), F.lit(-1))
-        found = F.coalesce(last(lambda c: c["celex"] == celex), last(lambda c: F.lower(c["label"]) == F.lower(label)))
-        kept = F.struct(found["label"].alias("label"), F.coalesce(found["celex"], celex).alias("celex"), relation.alias("relationship"))
-        return F.when((label != "") & (relation != "") & found.isNotNull(), kept)
+        match = F.coalesce(last(lambda c: c["celex"] == x["celex"]), last(lambda c: F.lower(c["label"]) == F.lower(x["label"])))
+        kept = lambda found: F.struct(found["label"].alias("label"), F.coalesce(found["celex"], x["celex"]).alias("celex"), x["relation"].alias("relationship"))
+        return bound(match, lambda found: F.when((x["label"] != "") & (x["relation"] != "") & found.isNotNull(), kept(found)))
+
+    def one(x: Column) -> Column:
+        return bound(bound(F.from_json(x, "label string, celex string, relationship string"), read), known)
 
     return first(F.filter(F.transform(F.coalesce(raw, F.array().cast("array<string>")), one), lambda x: x.isNotNull()), INSTRUMENTS)
 
@@ -87,20 +94,26 @@ def grounded_digests(answers: DataFrame, cases: DataFrame) -> DataFrame:
     gathered = cases.groupBy("law", "article").agg(F.array_sort(F.collect_list(case)).alias("cases"))
     parsed = answers.join(gathered, ["law", "article"], "left").withColumn("json", json_object(col("answer"))).withColumn("a", F.from_json("json", "summary string, noCaseLaw string, themes array<string>"))
 
-    def cite(x: Column) -> Column:
-        own = F.from_json(x, "ecli string, celex string, declarationNumber string, declaration string, paragraph string")
-        ecli, celex = F.nullif(said(own["ecli"], 80), F.lit("")), F.nullif(said(own["celex"], 40), F.lit(""))
+    def cited(own: Column) -> Column:
         number = said(F.coalesce(*(F.nullif(own[n], F.lit("")) for n in ("declarationNumber", "declaration", "paragraph"))), 20)
+        return F.struct(F.nullif(said(own["ecli"], 80), F.lit("")).alias("ecli"), F.nullif(said(own["celex"], 40), F.lit("")).alias("celex"), number.alias("number"))
+
+    def known(x: Column) -> Column:
         last = lambda test: F.try_element_at(F.filter("cases", test), F.lit(-1))
-        found = F.coalesce(last(lambda c: c["ecli"] == ecli), last(lambda c: c["celex"] == celex))
-        declared = F.when(F.array_contains(found["declarations"], number), number)
-        return F.when(found.isNotNull(), F.struct(found["ecli"].alias("ecli"), found["celex"].alias("celex"), found["case_number"].alias("case_number"), found["name"].alias("name"), declared.alias("declaration")))
+        declared = lambda found: F.when(F.array_contains(found["declarations"], x["number"]), x["number"])
+        kept = lambda found: F.struct(*(found[n].alias(n) for n in ("ecli", "celex", "case_number", "name")), declared(found).alias("declaration"))
+        return bound(F.coalesce(last(lambda c: c["ecli"] == x["ecli"]), last(lambda c: c["celex"] == x["celex"])), lambda found: F.when(found.isNotNull(), kept(found)))
 
-    def theme(x: Column) -> Column:
-        own = F.from_json(x, "name string, description string, cites array<string>")
-        name, description = said(own["name"], NAME), said(own["description"], TEXT)
+    def cite(x: Column) -> Column:
+        return bound(bound(F.from_json(x, "ecli string, celex string, declarationNumber string, declaration string, paragraph string"), cited), known)
+
+    def theme_of(own: Column) -> Column:
         cites = F.array_distinct(F.filter(F.transform(F.coalesce(own["cites"], F.array().cast("array<string>")), cite), lambda c: c.isNotNull()))
-        return F.when((name != "") & (description != "") & (F.size(cites) > 0), F.struct(name.alias("name"), description.alias("description"), first(cites, CITES).alias("cites")))
+        return F.struct(said(own["name"], NAME).alias("name"), said(own["description"], TEXT).alias("description"), first(cites, CITES).alias("cites"))
+
+    def theme(x: Column) -> Column:
+        kept = lambda t: F.when((t["name"] != "") & (t["description"] != "") & (F.size(t["cites"]) > 0), t)
+        return bound(bound(F.from_json(x, "name string, description string, cites array<string>"), theme_of), kept)
 
     themes = first(F.filter(F.transform(F.coalesce("a.themes", F.array().cast("array<string>")), theme), lambda t: t.isNotNull()), THEMES)
     read = parsed.withColumns({"themes": themes, "summary": said(col("a.summary"), SUMMARY)})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexspark.operators import grounded, tfidf
 from lexspark.plans.oracle import RECITALS, UNITS
 from lexspark.sources import adapters
-from lexspark.sources.adapters import table
+from lexspark.sources.adapters import spread, table
 
 # Each part is a law with p_size % 5 + 1 articles and two instruments; its answer cites articles that exist and others.
 ANSWER = """case when p_partkey % 11 = 0 then 'I cannot say.' when p_partkey % 11 = 1 then '{"purpose": "only this"}' else '```json' || chr(10) || '{"purpose": ' || case when p_partkey % 3 = 0 then '"To rule <b>' || p_name || '</b>"' else '{"text": "To rule ' || p_name || '", "citations": ["Art. 1", "7", 1, "1"]}' end
@@ -17,9 +17,10 @@ ANSWER = """case when p_partkey % 11 = 0 then 'I cannot say.' when p_partkey % 1
 
 def summaries(spark, sf: str):
     part = table(spark, sf, "part")
+    answers = spread(part).select(F.col("p_partkey").alias("law"), F.expr(ANSWER).alias("answer"))
     articles = part.select(F.col("p_partkey").alias("law"), F.explode(F.expr("transform(sequence(1, p_size % 5 + 1), x -> cast(x as string))")).alias("number"))
     listed = part.selectExpr("p_partkey as law", "stack(2, 1L, 'Act ' || p_partkey, cast(null as string), 2L, 'Main act', '3' || p_partkey) as (ordinal, label, celex)")
-    found = grounded.grounded_summaries(part.select(F.col("p_partkey").alias("law"), F.expr(ANSWER).alias("answer")), articles, listed)
+    found = grounded.grounded_summaries(answers, articles, listed)
     block = lambda c: F.concat_ws("|", f"{c}.text", F.array_join(f"{c}.citations", " "))
     obligations = F.array_join(F.transform("key_obligations", lambda o: F.concat_ws("|", o["text"], F.array_join(o["citations"], " "))), ";")
     related = F.array_join(F.transform("related_instruments", lambda r: F.concat_ws("|", r["label"], r["celex"], r["relationship"])), ";")
