@@ -33,8 +33,9 @@ def classed_lines(blocks: DataFrame) -> DataFrame:
 
 def titles(lines: DataFrame) -> DataFrame:
     """doc_id and title: the first paragraph of each of the title's classes."""
-    parts = (F.min(F.when(F.array_contains("classes", c), F.struct("pos", "text")))["text"] for c in TITLE_CLASSES)
-    return lines.groupBy("doc_id").agg(F.concat_ws(" ", *parts).alias("title"))
+    # Only the texts that may be parts of it are grouped.
+    candidates = lines.select("doc_id", *(F.when(F.array_contains("classes", c), F.struct("pos", "text")).alias(c) for c in TITLE_CLASSES))
+    return candidates.groupBy("doc_id").agg(F.concat_ws(" ", *(F.min(c)["text"] for c in TITLE_CLASSES)).alias("title"))
 
 
 def recitals(lines: DataFrame) -> DataFrame:
