@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import refs
-
+from lexspark.functions.text import bound
 
 # Acts that are cited by name, and the grammar of citations in judgments.
 NAMED_ACTS = ["GDPR", "Charter", "TFEU", "TEU", "ECHR"]
@@ -22,19 +22,22 @@ def pill(citation: Column) -> Column:
     label = F.regexp_replace(citation, r"(?i)^Articles?\s+", "Art. ")
     act = r"(?is)\s+of\s+(?:Regulation|Directive|Decision)\s+\(?(?:EU|EC|EEC|Euratom)?\)?\s*(?:No\s+)?"
     of = lambda name: rf"(?is)\s+of\s+(?:the\s+)?{name}"
-    out = F.when(F.lit(False), label)
-    for name in NAMED_ACTS:
-        out = out.when(label.rlike(of(name)), F.regexp_replace(label, of(name) + ".*$", f" {name}"))
-    return (out.when(label.rlike(act + r"2016/679(?!\d)"), F.regexp_replace(label, act + r"2016/679(?!\d).*$", " GDPR"))
-            .when(label.rlike(act + r"\d{2,4}/\d+"), F.regexp_replace(label, act + r"(\d{2,4}/\d+).*$", " $1")).otherwise(label))
+
+    def short(x: Column) -> Column:
+        named = F.when(F.lit(False), x)
+        for name in NAMED_ACTS:
+            named = named.when(x.rlike(of(name)), F.regexp_replace(x, of(name) + ".*$", f" {name}"))
+        return (F.when(x.rlike(of(f"(?:{'|'.join(NAMED_ACTS)})")), named).when(x.rlike(act + r"2016/679(?!\d)"), F.regexp_replace(x, act + r"2016/679(?!\d).*$", " GDPR"))
+                .otherwise(F.regexp_replace(x, act + r"(\d{2,4}/\d+).*$", " $1")))
+
+    return bound(label, short)
 
 
 def article_citations(text: Column) -> Column:
     """Citations of articles in a judgment's text as written: those of each pattern in turn, each once whatever its case."""
-    clean = F.trim(F.regexp_replace(text, r"\s+", " "))
-    found = F.flatten(F.array(*(F.regexp_extract_all(clean, F.lit(p), F.lit(0)) for p in CITATION_PATTERNS)))
-    first = F.filter(F.transform(found, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: F.array_position(F.transform(found, F.lower), F.lower(e["x"])) == e["i"] + 1)
-    return F.transform(first, lambda e: F.trim(e["x"]))
+    all_of = lambda clean: F.flatten(F.array(*(F.regexp_extract_all(clean, F.lit(p), F.lit(0)) for p in CITATION_PATTERNS)))
+    once = lambda found: bound(F.transform(found, F.lower), lambda low: F.filter(found, lambda x, i: F.array_position(low, F.lower(x)) == i + 1))
+    return F.transform(bound(bound(F.trim(F.regexp_replace(text, r"\s+", " ")), all_of), once), lambda x: F.trim(x))
 
 
 def structured(pills: DataFrame, key: list[str], column: str = "pill") -> DataFrame:
@@ -44,12 +47,15 @@ def structured(pills: DataFrame, key: list[str], column: str = "pill") -> DataFr
     tokens = F.split(F.regexp_replace(F.regexp_extract(column, form, 1), r"(?i)\s+and\s+", ", "), ",")
 
     def parts(token: Column) -> Column:
-        return F.struct(*(c.alias(n) for n, c in zip(("article", "paragraph", "point"), refs.article_parts(token))))
+        return bound(F.trim(token), lambda t: F.struct(*(c.alias(n) for n, c in zip(("article", "paragraph", "point"), refs.article_parts(t)))))
+
+    def once(all_parts: Column) -> Column:
+        placed = F.transform(all_parts, lambda p, i: F.struct(i.alias("at"), p.alias("p")))
+        return F.filter(placed, lambda e: e["p"]["article"].isNotNull() & (F.array_position(all_parts, e["p"]) == e["at"] + 1))
 
-    rows = pills.where(F.col(column).rlike(form)).select(*key, F.regexp_extract(column, form, 2).alias("act"), F.transform(tokens, parts).alias("__parts"))
-    placed = F.transform("__parts", lambda p, i: F.struct(i.alias("at"), p.alias("p")))
-    once = F.filter(placed, lambda e: e["p"]["article"].isNotNull() & (F.array_position("__parts", e["p"]) == e["at"] + 1))
-    found = rows.select(*key, "act", F.explode(once).alias("__one"))
+    # What has no such form has no article. The outer explode keeps the optimiser from working the array out for a filter too.
+    rows = pills.select(*key, F.regexp_extract(column, form, 2).alias("act"), F.explode_outer(bound(F.transform(tokens, parts), once)).alias("__one"))
+    found = rows.where(F.col("__one").isNotNull())
     return found.select(*key, "act", refs.act_celex(F.col("act")).alias("act_celex"), "__one.p.article", "__one.p.paragraph", "__one.p.point", "__one.at")
 
 
