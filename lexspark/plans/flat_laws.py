@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.sources import flat_laws
-from lexspark.sources.adapters import table
+from lexspark.sources.adapters import spread, table
 
 LINE = """case o_orderkey % 11 when 0 then 'CHAPTER ' || (o_orderkey % 9) when 1 then 'GENERAL RULES ' || o_custkey when 2 then 'Article ' || (o_orderkey % 100) || 'a' when 3 then 'Definitions'
  when 4 then '(b) “Word ' || o_orderkey || '” means a thing;' when 5 then 'Some text.' when 6 then 'Section 2 Rest' when 7 then 'Article ' || o_orderkey when 8 then 'Name without a stop' when 9 then '(' || (o_orderkey % 50) || ') Reason ' || o_orderkey else 'Whereas:' end"""
@@ -18,7 +18,7 @@ def lines(spark, sf: str) -> DataFrame:
 
 
 def pages(spark, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(PAGE).alias("html"))
+    return spread(table(spark, sf, "part")).select(F.col("p_partkey").alias("doc_id"), F.expr(PAGE).alias("html"))
 
 
 def articles(spark, sf: str) -> DataFrame:
