@@ -70,22 +70,32 @@ def substring_fallback(docs: DataFrame, query: str, key: str = "doc_id") -> Data
     return docs.where(F.lower("text").contains(query.lower())).select(key, F.lit(1.0).alias("score"))
 
 
+def unit_terms(units: DataFrame) -> DataFrame:
+    """doc_id, kind, ord, term, tf, idf, and n_a and n_r, how many articles and recitals the document has, of each term of a unit
+    that its document's articles have; they alone give the idf.
+
+    The units are dealt by document once; all that follows is keyed by it and needs no further shuffle.
+    """
+    in_doc, is_article = Window.partitionBy("doc_id"), F.col("kind") == "article"
+    own = units.where("doc_id is not null and kind in ('article', 'recital')").select("doc_id", "kind", "ord", "text").repartition("doc_id")
+    counted = own.withColumns({"n_a": F.count_if(is_article).over(in_doc), "n_r": F.count_if(~is_article).over(in_doc)})
+    frequencies = tf(counted, ["doc_id", "kind", "ord", "n_a", "n_r"])
+    told = frequencies.withColumn("df", F.count_if(is_article).over(Window.partitionBy("doc_id", "term"))).where("df > 0")
+    return told.select("doc_id", "kind", "ord", "n_a", "n_r", "term", "tf", F.log10(F.col("n_a") / F.col("df")).alias("idf"))
+
+
 def recital_scores(units: DataFrame) -> DataFrame:
     """(doc_id, recital, article, raw cosine, score with the positional prior) of pairs that share a term.
 
-    Articles alone give the idf. Pairs come from an equi-join on the terms within a document, not from a product.
+    Articles alone give the idf. Pairs come from the units that share a term within a document, not from a product.
     """
-    articles, recitals = units.where("kind = 'article'"), units.where("kind = 'recital'")
-    fa, fr = tf(articles, ["doc_id", "ord"]), tf(recitals, ["doc_id", "ord"])
-    counts = articles.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    i = idf(fa, counts, ["doc_id"])
-    wa = fa.join(i, ["doc_id", "term"]).select("doc_id", "ord", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    wr = fr.join(i, ["doc_id", "term"]).select("doc_id", "ord", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    side = lambda w, name: w.withColumnRenamed("ord", name).withColumnRenamed("w", f"w_{name}")
-    norm = lambda w, name: magnitudes(w, ["doc_id", "ord"]).withColumnsRenamed({"ord": name, "magnitude": f"m_{name}"})
-    dot = side(wr, "recital").join(side(wa, "article"), ["doc_id", "term"]).groupBy("doc_id", "recital", "article").agg(F.sum(F.col("w_recital") * F.col("w_article")).alias("dot"))
-    n_r = recitals.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_r"))
-    joined = dot.join(norm(wr, "recital"), ["doc_id", "recital"]).join(norm(wa, "article"), ["doc_id", "article"]).join(n_r, "doc_id").join(counts.withColumnRenamed("n", "n_a"), "doc_id")
+    of_unit = Window.partitionBy("doc_id", "kind", "ord")
+    weights = unit_terms(units).withColumn("w", F.col("tf") * F.col("idf")).withColumn("m", F.sqrt(F.sum(F.col("w") * F.col("w")).over(of_unit)))
+    side = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("ord", "w", "m"))).alias(kind)
+    shared = weights.groupBy("doc_id", "n_a", "n_r", "term").agg(side("recital"), side("article"))
+    pairs = shared.withColumn("r", F.explode("recital")).withColumn("a", F.explode("article"))
+    of_pair = ["doc_id", "n_a", "n_r", F.col("r.ord").alias("recital"), F.col("a.ord").alias("article"), F.col("r.m").alias("m_recital"), F.col("a.m").alias("m_article")]
+    joined = pairs.groupBy(*of_pair).agg(F.sum(F.col("r.w") * F.col("a.w")).alias("dot"))
     raw = F.round(F.when((F.col("m_recital") > 0) & (F.col("m_article") > 0), F.col("dot") / (F.col("m_recital") * F.col("m_article"))).otherwise(0.0), 9)
     r_pos, a_pos = (F.col("recital") - 1) / F.greatest(F.col("n_r") - 1, F.lit(1)), (F.col("article") - 1) / F.greatest(F.col("n_a") - 1, F.lit(1))
     prior = F.pow(1 - BETA * F.abs(r_pos - a_pos), F.lit(GAMMA))
@@ -106,8 +116,6 @@ def recital_orphans(units: DataFrame) -> DataFrame:
 
 def recital_keywords(units: DataFrame, most: int = 3) -> DataFrame:
     """The terms of a recital with the highest idf over its document's articles."""
-    articles = units.where("kind = 'article'")
-    i = idf(tf(articles, ["doc_id", "ord"]), articles.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), ["doc_id"])
-    own = tf(units.where("kind = 'recital'"), ["doc_id", "ord"]).join(i, ["doc_id", "term"])
+    own = unit_terms(units).where("kind = 'recital'")
     place = F.row_number().over(Window.partitionBy("doc_id", "ord").orderBy(F.desc("idf"), "term"))
     return own.withColumn("place", place).where(F.col("place") <= most).select("doc_id", F.col("ord").alias("recital"), "place", "term")

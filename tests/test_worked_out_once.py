@@ -30,3 +30,9 @@ def test_citation_is_read_once(spark):
 def test_references_without_marks(spark):
     rows = spark.createDataFrame([("plain",), ("&#65;&#x42;&amp;lt;",), (None,)], "t string").select(text.decoded(F.col("t")).alias("d")).collect()
     assert [r.d for r in rows] == ["plain", "AB&lt;", None]
+
+
+@pytest.mark.parametrize("name", ["recital_links", "recital_keywords"])
+def test_units_are_shuffled_once(spark, sf_dir, name):
+    plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == plan.count("Exchange ") == 1
