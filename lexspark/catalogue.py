@@ -56,8 +56,8 @@ on("external_overview", adapters.edges, citations.external_overview)
 on("related_instruments", adapters.edges, citations.top_related)
 on("graph_amendments", adapters.edges, lambda d: graph.related(d, 7, "amends", 50))
 on("graph_implementing", adapters.edges, lambda d: graph.related(d, 7, "implements", 100))
-on("tf", docs, lambda d: tfidf.tf(d, ["doc_id"]))
-on("idf", docs, lambda d: tfidf.idf(tfidf.tf(d, ["doc_id"]), d.agg(F.count(F.lit(1)).alias("n"))).select("term", "df", F.round("idf", 6).alias("idf")))
+on("tf", docs, lambda d: tfidf.tf(tfidf.dealt(d, ["doc_id"]), ["doc_id"]))
+on("idf", docs, lambda d: tfidf.idf(tfidf.tf(tfidf.dealt(d, ["doc_id"]), ["doc_id"]), d.agg(F.count(F.lit(1)).alias("n"))).select("term", "df", F.round("idf", 6).alias("idf")))
 on("doc_magnitude", docs, lambda d: tfidf.magnitudes(tfidf.weighted(d, ["doc_id"]), ["doc_id"]).select("doc_id", F.round("magnitude", 6).alias("magnitude")))
 on("content_search", docs, lambda d: tfidf.content_search(d.select("doc_id", "text", F.substring_index("text", "\n", 1).alias("title")), "there thention anonst"))
 on("substring_fallback", docs, lambda d: tfidf.substring_fallback(d, "the of"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lexspark.functions.text import STOPWORDS_EN, tokens
 
+# A term of more than one in so many documents counts as frequent.
+OFTEN = 1000
 # Fixed values of the linking.
 BETA, GAMMA, FLOOR, SECOND, MOST_ARTICLES = 0.9, 2, 0.15, 0.75, 2
 
@@ -18,6 +20,14 @@ def terms(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     return docs.select(*key, F.explode(tokens(F.col(text))).alias("term"))
 
 
+def dealt(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """``docs`` dealt by key, so that the counts of a document's terms need its text sent on once and none of its pairs with terms;
+    into many parts, as a part's pairs are counted in memory."""
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)
+    return docs.select(*key, text).repartition(parts, *key)
+
+
 def tf(docs: DataFrame, key: list[str]) -> DataFrame:
     return terms(docs, key).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -30,8 +40,13 @@ def idf(frequencies: DataFrame, n_docs: DataFrame, by: list[str] = []) -> DataFr
 
 
 def weighted(docs: DataFrame, key: list[str]) -> DataFrame:
-    f = tf(docs, key)
-    return f.join(idf(f, docs.agg(F.count(F.lit(1)).alias("n"))), "term").select(*key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    """(key, term, tf times idf). Terms of more than a thousandth of the documents, which are at most a thousand times a document's
+    different terms on average, are broadcast; only the pairs of the others meet their idf in a shuffle."""
+    f, n = tf(dealt(docs, key), key), docs.agg(F.count(F.lit(1)).alias("n"))
+    i = idf(f, n)
+    often = F.broadcast(i.join(F.broadcast(n)).where(OFTEN * F.col("df") > F.col("n")).select("term", "idf"))
+    rare = f.join(often, "term", "left_anti").join(i, "term")
+    return f.join(often, "term").unionByName(rare, allowMissingColumns=True).select(*key, "term", (F.col("tf") * F.col("idf")).alias("w"))
 
 
 def magnitudes(weights: DataFrame, key: list[str]) -> DataFrame:
@@ -51,15 +66,15 @@ def content_search(docs: DataFrame, query: str, key: str = "doc_id") -> DataFram
     asked = usable_tokens(query)
     if not asked:
         return substring_fallback(docs, query, key)
-    f = tf(docs, [key])
-    i = idf(f, docs.agg(F.count(F.lit(1)).alias("n")))
-    # The query is a few literals; only documents that share a term with it need their length.
+    own, n = dealt(docs, [key]), docs.agg(F.count(F.lit(1)).alias("n"))
+    # The query is a few literals; only documents that share a term with it need their length, and they alone give its own.
     times = F.create_map(*(F.lit(x) for t in sorted(set(asked)) for x in (t, asked.count(t))))
-    q = i.where(F.col("term").isin(asked)).select("term", (times[F.col("term")] * F.col("idf")).alias("qw"))
-    norm = q.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))  # one row
-    near = f.where(F.col("term").isin(asked)).select(key).distinct()
-    weights = f.join(near, key, "left_semi").join(i, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    parts = weights.join(F.broadcast(q), "term", "left").groupBy(key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("magnitude"))
+    qw = F.coalesce(times[F.col("term")], F.lit(0)) * F.col("idf")
+    shares = F.arrays_overlap(tokens(F.col("text")), F.array(*map(F.lit, asked)))
+    norm = idf(tf(dealt(docs.where(shares), [key]), [key]).where(F.col("term").isin(asked)), n).agg(F.sqrt(F.sum(qw * qw)).alias("q_norm"))  # one row
+    near = own.withColumn("near", F.max(shares).over(Window.partitionBy(key))).where("near")
+    weights = tf(near, [key]).join(idf(tf(own, [key]), n), "term").select(key, qw.alias("qw"), (F.col("tf") * F.col("idf")).alias("w"))
+    parts = weights.groupBy(key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("magnitude"))
     cosine = parts.join(F.broadcast(norm)).select(key, F.when((F.col("magnitude") > 0) & (F.col("q_norm") > 0), F.col("dot") / (F.col("magnitude") * F.col("q_norm"))).otherwise(0.0).alias("cosine"))
     bonus = F.when(F.col(key).cast("string") == query.lower(), 200.0).otherwise(0.0) + F.when(F.lower("title").contains(query.lower()), 50.0).otherwise(0.0)
     scored = docs.select(key, bonus.alias("bonus")).join(cosine, key, "left").select(key, F.round(100 * F.coalesce("cosine", F.lit(0.0)) + F.col("bonus"), 6).alias("score"))
