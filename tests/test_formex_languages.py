@@ -59,3 +59,15 @@ def test_tables_are_whole():
     assert set(languages.WORDS) == set(languages.TITLES) and len(languages.WORDS) == 24
     for lang in languages.WORDS:
         formex.forms(lang)
+
+
+def test_rows_leave_a_worker_in_small_batches():
+    import pyarrow as pa
+
+    from lexspark.sources import formex
+
+    xml = "<ACT><ENACTING.TERMS>" + "".join(f"<ARTICLE><TI.ART>Article {k}</TI.ART><PARAG>{'word ' * 100}</PARAG></ARTICLE>" for k in range(20)) + "</ENACTING.TERMS></ACT>"
+    whole = pa.RecordBatch.from_pydict({"doc_id": list(range(500)), "xml": [xml if k % 5 else None for k in range(500)], "lang": pa.nulls(500, pa.string())})
+    found = list(formex.shred(iter([whole])))
+    assert sum(b.num_rows for b in found) == 400 * 20 and max(b.nbytes for b in found) < 2 * formex.PIECE
+    assert [i for b in found for i in b.column("doc_id").to_pylist()] == [k for k in range(500) if k % 5 for _ in range(20)]
