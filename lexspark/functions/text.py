@@ -241,10 +241,10 @@ def likely_article_title(line: Column) -> Column:
     return (line != "") & ~line.rlike(ARTICLE_HEADING) & ~line.rlike(ANNEX_HEADING) & ~numbered & (F.length(line) <= 180) & ~line.rlike("[.;!?]$")
 
 
-def likely_division_title(line: Column) -> Column:
-    """A line in capitals that is no heading itself."""
-    t = collapsed(line)
-    return t.rlike("[A-Za-z]") & (t == F.upper(t)) & (F.length(t) <= 220) & ~t.rlike(ARTICLE_HEADING) & ~t.rlike(ANNEX_HEADING) & ~t.rlike(DIVISION_MARK)
+def likely_division_title(line: Column, clean: bool = False) -> Column:
+    """A line in capitals that is no heading itself; the white space of a ``clean`` one is collapsed already."""
+    t = line if clean else collapsed(line)
+    return (F.length(t) <= 220) & t.rlike("[A-Za-z]") & (t == F.upper(t)) & ~t.rlike(ARTICLE_HEADING) & ~t.rlike(ANNEX_HEADING) & ~t.rlike(DIVISION_MARK)
 
 
 def line_kind(line: Column) -> Column:

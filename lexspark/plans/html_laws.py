@@ -6,12 +6,14 @@ Structured pages are in the document's own language, the others in English. Ever
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.plans.oracle import UNITS
 from lexspark.sources import html_laws
-from lexspark.sources.adapters import units
+from lexspark.sources.adapters import table
 
 # The words of headings per language of a document, in both engines' map literals.
 WORDS = {"en": ("Article", "CHAPTER", "ANNEX"), "de": ("Artikel", "KAPITEL", "ANHANG"), "fr": ("Article", "CHAPITRE", "ANNEXE"), "es": ("Artículo", "CAPÍTULO", "ANEXO")}
@@ -42,9 +44,15 @@ def pages(spark, sf: str) -> DataFrame:
     written = F.col("text")
     for mark, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         written = F.replace(written, F.lit(mark), F.lit(reference))
-    lines = units(spark, sf).where("trim(text) <> ''").select("doc_id", "lang", "kind", "ord", "pos", written.alias("t"))
-    block = F.when(F.col("kind") == "recital", F.expr(RECITAL)).otherwise(F.concat(F.expr(CHAPTER), F.expr(ARTICLE)))
-    parts = lines.groupBy("doc_id", "lang").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", block.alias("block")))).alias("parts"))
+    # As units has them: the first half of the lines are recitals, the second articles. A text is shuffled whole, not line by line,
+    # and split once: its lines are bound to a name.
+    recital, article = (re.sub(r"\bord\b", "x.ord", re.sub(r"\bt\b", "x.t", form)) for form in (RECITAL, f"({CHAPTER}) || ({ARTICLE})"))
+    line = "struct(i + 1 as pos, if(i < half, 'recital', 'article') as kind, if(i < half, i, i - half) + 1 as ord, t)"
+    block = f"struct(x.pos, x.kind, if(x.kind = 'recital', {recital}, {article}) as block)"
+    bound = lambda value, name, plan: f"transform(array({value}), {name} -> {plan})[0]"
+    made = bound("split(t, '\n')", "lines", bound("size(lines) div 2", "half", f"transform(filter(transform(lines, (t, i) -> {line}), x -> trim(x.t) <> ''), x -> {block})"))
+    texts = table(spark, sf, "documents").where("replace(replace(text, '\n', ''), ' ', '') <> ''").select("doc_id", "lang", written.alias("t")).select("doc_id", "lang", F.expr(made).alias("parts"))
+    parts = texts.groupBy("doc_id", "lang").agg(F.collect_list("parts").alias("all")).select("doc_id", "lang", F.expr("if(size(all) = 1, all[0], array_sort(flatten(all)))").alias("parts"))
     of = lambda kind: F.array_join(F.transform(F.filter("parts", lambda p: p["kind"] == kind), lambda p: p["block"]), "\n")
     head = F.expr("case doc_id % 4 when 1 then '<p class=\"doc-ti\">TITLE OF IT</p>' when 2 then '<p class=\"Statut\">Draft</p>' when 3 then '<TXT_TE><p>Some act</p><p>Whereas:</p>' else '<p class=\"oj-doc-ti\">Act</p>' end")
     formula = F.expr("case when doc_id % 4 = 2 then '<p class=\"Formuledadoption\">HAVE ADOPTED</p>' else '' end")

@@ -44,7 +44,7 @@ def articles(lines: DataFrame) -> DataFrame:
     own = F.regexp_extract(text, DIVISION_MARK, 3)
     kind = F.when(mark, F.lower(F.regexp_extract(text, DIVISION_MARK, 1)))
     classified = lines.select(
-        "doc_id", "pos", "text", kind.alias("kind"), likely_division_title(text).alias("capitals"), (mark & (own == "")).alias("bare"), own.alias("own"),
+        "doc_id", "pos", "text", kind.alias("kind"), likely_division_title(text, clean=True).alias("capitals"), (mark & (own == "")).alias("bare"), own.alias("own"),
         F.sum(text.rlike(ARTICLE_HEADING).cast("int")).over(so_far()).alias("ordinal"),
     ).where("ordinal > 0")
     following = F.when(F.lead("capitals").over(in_doc()), F.lead("text").over(in_doc()))
@@ -69,13 +69,13 @@ def articles(lines: DataFrame) -> DataFrame:
     )
 
 
-def definitions(found: DataFrame) -> DataFrame:
-    """doc_id, ordinal, place, term and definition from the lettered lines of articles whose title speaks of definitions."""
-    lines = found.where("title rlike '(?i)definition'").select("doc_id", "ordinal", F.posexplode("body").alias("i", "line"))
+def definitions(found: DataFrame, *more: str) -> DataFrame:
+    """doc_id, ordinal, ``more`` of the columns, place, term and definition from the lettered lines of articles whose title speaks of definitions."""
+    lines = found.where("title rlike '(?i)definition'").select("doc_id", "ordinal", *more, F.posexplode("body").alias("i", "line"))
     entry = F.regexp_extract("line", LETTERED, 1)
     term = F.when(entry.rlike(QUOTED_MEANS), F.regexp_extract(entry, QUOTED_MEANS, 1)).otherwise(F.regexp_replace(F.trim(F.regexp_extract(entry, MEANS, 1)), "^[\"“'‘]|[\"”'’]$", ""))
     meaning = F.when(entry.rlike(QUOTED_MEANS), F.regexp_extract(entry, QUOTED_MEANS, 2)).otherwise(F.regexp_extract(entry, MEANS, 2))
-    out = lines.select("doc_id", "ordinal", (col("i") + 1).cast("long").alias("place"), F.trim(term).alias("term"), F.regexp_replace(F.trim(meaning), ";$", "").alias("definition"))
+    out = lines.select("doc_id", "ordinal", *more, (col("i") + 1).cast("long").alias("place"), F.trim(term).alias("term"), F.regexp_replace(F.trim(meaning), ";$", "").alias("definition"))
     return out.where("term <> '' and definition <> ''")
 
 
@@ -83,11 +83,8 @@ def recitals(lines: DataFrame) -> DataFrame:
     """doc_id, ordinal, number and text of the numbered recitals between the line that says Whereas and the first article;
     none in a document without both."""
     text = col("text")
-    before = F.sum(text.rlike(ARTICLE_HEADING).cast("int")).over(so_far()) == 0
-    opened = F.sum(text.rlike(WHEREAS).cast("int")).over(so_far())
-    whole = F.max(text.rlike(ARTICLE_HEADING)).over(in_doc().rowsBetween(-(1 << 63), (1 << 63) - 1))
-    opening = F.lag("opened", 1, 0).over(in_doc())
-    inside = lines.withColumns({"before": before, "opened": opened, "whole": whole}).withColumn("inside", opening > 0).where("before and whole and inside")
+    first = lambda form: F.min(F.when(text.rlike(form), col("pos"))).over(Window.partitionBy("doc_id"))
+    inside = lines.withColumns({"opened": first(WHEREAS), "ended": first(ARTICLE_HEADING)}).where("pos > opened and pos < ended")
     numbered = inside.withColumn("ordinal", F.sum(text.rlike(NUMBERED).cast("int")).over(so_far())).where("ordinal > 0")
     part = F.struct("pos", F.when(text.rlike(NUMBERED), F.regexp_extract(text, NUMBERED, 2)).otherwise(text).alias("text"))
     grouped = numbered.groupBy("doc_id", "ordinal").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.max(F.when(text.rlike(NUMBERED), F.regexp_extract(text, NUMBERED, 1))).alias("number"))

@@ -18,7 +18,7 @@ from lexspark.functions import languages
 from lexspark.functions.text import ANNEX_HEADING, ARTICLE_HEADING, DIVISION_MARK, likely_article_title, likely_division_title
 from lexspark.operators.structure import in_doc, so_far
 from lexspark.sources import flat_laws, markup, proposals
-from lexspark.sources.stored import stored
+from lexspark.sources.stored import bucketed, stored
 
 col = F.col
 UNIT = ["doc_id", "kind", "ordinal", "number", "title", "chapter", "section", "text"]
@@ -76,7 +76,8 @@ def structured(blocks: DataFrame) -> DataFrame:
 
     # A division's heading waits for the next one of the two kinds; only a title can be taken.
     either = Window.partitionBy("doc_id", "named").orderBy("pos")
-    named = rows.withColumn("named", col("division") | col("its_title")).withColumn("follows", F.when(F.lead("its_title").over(either), F.lead("text").over(either)))
+    lines = rows.where("division or its_title or tag in ('p', '#text') and text <> '' and not recital")
+    named = lines.withColumn("named", col("division") | col("its_title")).withColumn("follows", F.when(F.lead("its_title").over(either), F.lead("text").over(either)))
     label = F.concat_ws(" — ", "text", F.nullif("follows", F.lit("")))
     of_section = ~matches(text, "chapter_form") & matches(text, "section_form")
     divided = carried(named, F.when(col("division") & ~of_section, label), F.when(col("division") & of_section, label))
@@ -85,10 +86,13 @@ def structured(blocks: DataFrame) -> DataFrame:
     in_root = Window.partitionBy("doc_id", "root").orderBy("pos")
     head_pos = F.last(F.when(col("kind").isNotNull(), col("pos")), ignorenulls=True).over(in_root.rowsBetween(Window.unboundedPreceding, 0))
     first_pos = F.min(F.when(col("kind").isNotNull(), col("pos"))).over(Window.partitionBy("doc_id", "root"))
-    paragraphs = divided.where("tag in ('p', '#text') and text <> '' and not recital and not division and not its_title")
-    said = F.lag("title").over(Window.partitionBy("doc_id", "root", "tag").orderBy("pos")) == text
-    by_words = F.lag(col("kind").isNotNull() & ~col("heading")).over(Window.partitionBy("doc_id", "root", "tag").orderBy("pos"))
-    placed = paragraphs.withColumns({"head_pos": F.coalesce(head_pos, F.when(col("root") > 0, first_pos)), "said": F.coalesce(p & by_words & said, F.lit(False))})
+    paragraphs = divided.where("not division and not its_title")
+    # An annex's heading that is one by its words has its title in the paragraph after it.
+    by_words = F.struct("title", (col("kind").isNotNull() & ~col("heading")).alias("by_words"))
+    latest = F.last(F.when(p, by_words), ignorenulls=True).over(in_root.rowsBetween(Window.unboundedPreceding, -1))
+    headed = paragraphs.withColumns({"latest": latest, "head_pos": head_pos, "first_pos": first_pos})
+    said = p & col("latest.by_words") & (col("latest.title") == text)
+    placed = headed.withColumns({"head_pos": F.coalesce("head_pos", F.when(col("root") > 0, col("first_pos"))), "said": F.coalesce(said, F.lit(False))})
     head = F.min(F.when(col("kind").isNotNull(), F.struct("pos", "root", "kind", "text", "title", "chapter", "section", "article_form", "annex_form", "definition_form")))
     body = F.array_sort(F.collect_list(F.when(col("kind").isNull() & ~col("titled") & ~col("said"), F.struct("pos", "text"))))
     units = numbered(placed.where("head_pos is not null").groupBy("doc_id", "head_pos").agg(head.alias("head"), body.alias("lines")).select("doc_id", "head.*", "lines"))
@@ -100,7 +104,7 @@ def structured(blocks: DataFrame) -> DataFrame:
         F.when(is_article, F.coalesce("title", F.lit(""))).otherwise(annex_title).alias("title"), F.when(is_article, col("chapter")).alias("chapter"), F.when(is_article, col("section")).alias("section"),
         F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("text"), "definition_form",
     )
-    defined = cell_definitions(own, laid)
+    defined = cell_definitions(rows)
     return laid.select(*UNIT).unionByName(structured_recitals(own), allowMissingColumns=True).unionByName(defined, allowMissingColumns=True)
 
 
@@ -117,15 +121,20 @@ def structured_recitals(blocks: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lit("recital").alias("kind"), F.row_number().over(order).cast("long").alias("ordinal"), "number", "text")
 
 
-def cell_definitions(blocks: DataFrame, units: DataFrame) -> DataFrame:
+def cell_definitions(rows: DataFrame) -> DataFrame:
     """Terms (as title) and definitions (as text) in the second cells of the tables of the first article whose title says that it
-    defines them."""
-    articles = units.where("kind = 'article' and title <> ''").where(matches(col("title"), "definition_form"))
-    first = articles.groupBy("doc_id").agg(F.min(F.struct("pos", "root", "number")).alias("of")).where("of.root > 0").select("doc_id", "of.root", "of.number")
-    tables = blocks.where("tag in ('table', 'td')").withColumn("table", F.last(F.when(col("tag") == "table", col("pos")), ignorenulls=True).over(so_far())).where("tag = 'td'")
+    defines them (``rows``: blocks with kind, division and its_title)."""
+    # Headings are read with the tables, so that no article is put together for its title.
+    article = (col("kind") == "article") & col("tag").isin("p", "#text") & (col("text") != "") & ~col("recital") & ~col("division") & ~col("its_title")
+    defining = F.coalesce(article & matches(col("title"), "definition_form"), F.lit(False))
+    of_them = rows.where("tag in ('table', 'td') or heading").withColumn("defining", defining).where("tag in ('table', 'td') or defining")
+    number = F.when(col("defining"), F.coalesce(F.nullif(extract("text", "article_form"), F.lit("")), col("text")))
+    first = F.min(F.when(col("defining"), F.struct("pos", "root", number.alias("number")))).over(Window.partitionBy("doc_id"))
+    in_table = F.last(F.when(col("tag") == "table", col("pos")), ignorenulls=True).over(so_far())
+    tables = of_them.withColumns({"of": first, "table": in_table}).where("tag = 'td'")
     second = tables.withColumn("place", F.row_number().over(one_of("table"))).where("place = 2").where(matches(col("text"), "cell_form"))
     term, meaning = F.trim(extract("text", "cell_form")), F.trim(F.regexp_replace("text", col("cell_form"), F.lit("")))
-    found = second.join(first, ["doc_id", "root"]).select("doc_id", "pos", F.lit("definition").alias("kind"), "number", term.alias("title"), meaning.alias("text"))
+    found = second.where("root = of.root and root > 0").select("doc_id", "pos", F.lit("definition").alias("kind"), "of.number", term.alias("title"), meaning.alias("text"))
     return numbered(found).drop("pos")
 
 
@@ -137,7 +146,7 @@ def legacy(blocks: DataFrame) -> DataFrame:
     article = has_class("ti-art") | text.rlike(ARTICLE_HEADING)
     doc_title = has_class("doc-ti")
     annex = ~article & doc_title & text.rlike(ANNEX_HEADING)
-    seen = rows.withColumns({"article": article, "annex": annex, "doc_title": doc_title, "mark": text.rlike(DIVISION_MARK), "capitals": likely_division_title(text)})
+    seen = rows.withColumns({"article": article, "annex": annex, "doc_title": doc_title, "mark": text.rlike(DIVISION_MARK), "capitals": likely_division_title(text, clean=True)})
     before = lambda c: F.coalesce(F.lag(c).over(in_doc()), F.lit(False))
     subtitle = before("annex") & p & col("doc_title") & ~text.rlike(ANNEX_HEADING) & ~text.rlike(ARTICLE_HEADING)
     seen = seen.withColumn("subtitle", subtitle).withColumn("division", col("mark") & ~col("article") & ~col("annex") & ~col("subtitle"))
@@ -162,10 +171,13 @@ def legacy(blocks: DataFrame) -> DataFrame:
     articles = numbered(units).withColumn("body", lines).select(
         "doc_id", "pos", "kind", "ordinal", F.when(col("article"), F.coalesce(number, col("ordinal").cast("string"))).otherwise(F.coalesce(annex_number, annex_title)).alias("number"),
         F.when(col("article"), F.coalesce("titled.text", F.lit(""))).otherwise(annex_title).alias("title"), F.when(col("article"), col("chapter")).alias("chapter"), F.when(col("article"), col("section")).alias("section"),
-        "body", F.array_join("body", "\n").alias("text"),
+        F.array_join("body", "\n").alias("text"),
     )
 
-    opening = counted.where(col("unit") == 0).where(p & ~col("doc_title") & ~text.rlike(WHEREAS) & ~col("capitals")).where(text.rlike(NUMBERED) | has_class("normal", "note"))
+    # Before the first heading a line is no subtitle, and a division's title is in capitals.
+    start = F.min(F.when(article | annex, col("pos"))).over(Window.partitionBy("doc_id"))
+    opening = rows.withColumn("start", start).where("start is null or pos < start").where(p & ~doc_title & ~text.rlike(DIVISION_MARK) & ~text.rlike(WHEREAS) & ~likely_division_title(text, clean=True))
+    opening = opening.where(text.rlike(NUMBERED) | has_class("normal", "note"))
     given = F.when(text.rlike(NUMBERED), F.regexp_extract(text, NUMBERED, 1))
     runs = opening.withColumn("given", given).withColumn("run", F.count("given").over(so_far()))
     place = F.row_number().over(one_of("run")) - F.when(col("run") > 0, 1).otherwise(0)
@@ -173,19 +185,19 @@ def legacy(blocks: DataFrame) -> DataFrame:
     counted_on = (F.coalesce(last_given, F.lit(0)) + place).cast("string")
     recital = F.when(col("given").isNotNull(), F.regexp_extract(text, NUMBERED, 2)).otherwise(text)
     recitals = numbered(runs.select("doc_id", "pos", F.lit("recital").alias("kind"), F.coalesce("given", counted_on).alias("number"), recital.alias("text")))
-    return articles.drop("body").unionByName(recitals, allowMissingColumns=True).unionByName(line_definitions(articles.where("kind = 'article'")), allowMissingColumns=True)
+    return articles.drop("pos").unionByName(recitals.drop("pos"), allowMissingColumns=True)
 
 
-def line_definitions(articles: DataFrame) -> DataFrame:
-    """Definitions in lettered lines as units."""
-    found = flat_laws.definitions(articles).withColumn("pos", col("ordinal") * (1 << 32) + col("place")).drop("ordinal")
-    return numbered(found.select("doc_id", "pos", F.lit("definition").alias("kind"), col("term").alias("title"), col("definition").alias("text"))).drop("pos")
+def line_definitions(units: DataFrame) -> DataFrame:
+    """Definitions in lettered lines of the articles among ``units`` (whose texts are lines joined by \\n) as units."""
+    articles = units.where("kind = 'article' and layout <> 'structured'").withColumn("body", F.split("text", "\n"))
+    found = flat_laws.definitions(articles, "layout").withColumn("pos", col("ordinal") * (1 << 32) + col("place")).drop("ordinal")
+    return numbered(found.select("doc_id", "layout", "pos", F.lit("definition").alias("kind"), col("term").alias("title"), col("definition").alias("text"))).drop("pos")
 
 
 def proposal(blocks: DataFrame) -> DataFrame:
     lines = proposals.classed_lines(blocks)
-    units = proposals.units(lines.drop("classes", "mark"))
-    return units.unionByName(proposals.recitals(lines), allowMissingColumns=True).unionByName(line_definitions(units.where("kind = 'article'").withColumn("body", F.split("text", "\n"))), allowMissingColumns=True)
+    return proposals.units(lines.drop("classes", "mark")).unionByName(proposals.recitals(lines), allowMissingColumns=True)
 
 
 def flat(blocks: DataFrame) -> DataFrame:
@@ -193,21 +205,32 @@ def flat(blocks: DataFrame) -> DataFrame:
     articles = flat_laws.articles(lines)
     units = articles.withColumns({"kind": F.lit("article"), "text": F.array_join("body", "\n")}).drop("body")
     recitals = flat_laws.recitals(lines).withColumn("kind", F.lit("recital"))
-    return units.unionByName(recitals, allowMissingColumns=True).unionByName(line_definitions(articles), allowMissingColumns=True)
+    return units.unionByName(recitals, allowMissingColumns=True)
 
 
 def parsed(pages: DataFrame, lang: str = "EN") -> DataFrame:
     """doc_id, layout and the columns of ``UNIT`` of the recitals, articles, annexes and definitions of ``pages`` (doc_id,
     html); ``lang`` holds where a page doesn't name its language. Null pages and pages without units have no rows."""
-    blocks = stored(markup.blocks(pages), "page-blocks")  # read by four plans, walked once
+    marks = F.coalesce(F.nullif(F.array_join("layouts", " "), F.lit("")), F.lit("none"))
+    blocks = bucketed(markup.blocks(pages).withColumn("marks", marks), "page_blocks", "doc_id", "pos", "marks")  # walked and shuffled once
 
     def read(name: str, parse) -> DataFrame:
-        return parse(blocks.where(F.array_contains("layouts", name))).select(*UNIT, F.lit(name).alias("layout"))
+        return parse(blocks.where(F.array_contains(F.split("marks", " "), name))).select(*UNIT, F.lit(name).alias("layout"))
 
     found = read("structured", lambda b: structured(worded(b, lang)))
     for name, parse in (("legacy", legacy), ("proposal", proposal)):
         found = found.unionByName(read(name, parse))
+    # Each layout is read once, and definitions in lines from what was read; only pages with marks of several, or that have no unit by their marks, are looked at again.
+    found = stored(found, "page-units")
+    ids = blocks.select("doc_id", "marks").distinct()
+    several = stored(ids.where("marks like '% %'").select("doc_id"), "page-ids")
     place = F.array_position(F.array(*map(F.lit, ("structured", "legacy", "proposal"))), col("layout"))
-    found = found.withColumn("first", F.min(place).over(Window.partitionBy("doc_id"))).where(place == col("first")).drop("first")
-    rest = flat(blocks.join(found.select("doc_id").distinct(), "doc_id", "left_anti")).select(*UNIT, F.lit("flat").alias("layout"))
-    return found.unionByName(rest).select("doc_id", "layout", *UNIT[1:])
+    if not several.isEmpty():
+        chosen = found.join(several, "doc_id").withColumn("first", F.min(place).over(Window.partitionBy("doc_id"))).where(place == col("first")).drop("first")
+        found = found.join(several, "doc_id", "left_anti").unionByName(chosen)
+    unread = stored(ids.where("marks <> 'none'").join(found.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id"), "page-ids")
+    plain = blocks.where("marks = 'none'")
+    if not unread.isEmpty():
+        plain = plain.unionByName(blocks.where("marks <> 'none'").join(unread, "doc_id", "left_semi"))
+    found = found.unionByName(stored(flat(plain).select(*UNIT, F.lit("flat").alias("layout")), "page-units"))
+    return found.unionByName(line_definitions(found), allowMissingColumns=True).select("doc_id", "layout", *UNIT[1:])

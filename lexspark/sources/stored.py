@@ -24,3 +24,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_home(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, key: str, order: str, folder: str) -> DataFrame:
+    """``df`` as an external table in the shared folder, in folders by ``folder`` and buckets by ``key``, as many as shuffles have
+    partitions: windows and groups by ``key`` over rows of one folder read that folder alone, and shuffle nothing."""
+    spark = df.sparkSession
+    own, n = f"{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(n, key).write.format("parquet").partitionBy(folder).bucketBy(n, key).sortBy(key, order)
+    writer.option("path", f"{shared_home(spark)}/{own}").saveAsTable(own)
+    return spark.table(own)
