@@ -59,8 +59,8 @@ def text_chunks(texts: list[str]) -> Chunks:
 class ChunkCache:
     """Values of chunks, each computed once while it stays in the cache.
 
-    ``compute`` maps a list of strings to a list of values. The cache is emptied when it holds ``limit`` entries, so its
-    memory is bounded whatever the input.
+    ``compute`` maps a list of strings to a list of values. When the cache holds more than ``limit`` entries, those not asked
+    for again just now are dropped, so its memory is bounded whatever the input.
     """
 
     LONG = 64
@@ -73,7 +73,9 @@ class ChunkCache:
     def values(self, words: list[str]) -> list:
         forget_others(self.known)
         if len(self.known) > self.limit:
+            again = {w: self.known[w] for w in words if w in self.known}
             self.known.clear()
+            self.known.update(again)
         new = [w for w in words if w not in self.known]
         self.known.update(zip(new, self.compute(new)))
         out = [self.known[w] for w in words]
@@ -124,6 +126,7 @@ def id_encoder(path: str) -> ChunkCache:
 
         model = tokenizer.model.tokenize
         shown = str.maketrans({byte: sign for sign, byte in byte_alphabet().items()})
+        space = " ".translate(shown)
 
         def compute(pieces: list[str]) -> list[bytes]:
             """A chunk that is one pre-token goes to the model as it is. Of the others those without inner white space are
@@ -132,7 +135,11 @@ def id_encoder(path: str) -> ChunkCache:
             plain = []
             for p in pieces:
                 if _ONE.fullmatch(p):  # no special token holds marks or letters alone
-                    found[p] = array("I", [t.id for t in model(p.encode().decode("latin-1").translate(shown))]).tobytes()
+                    if p.isascii():  # of these bytes only the space is written as another character
+                        written = space + p[1:] if p[0] == " " else p
+                    else:
+                        written = p.encode().decode("latin-1").translate(shown)
+                    found[p] = array("I", [t.id for t in model(written)]).tobytes()
                 elif len(line_break) == 1 and _PLAIN.fullmatch(p):
                     plain.append(p)
             groups = [plain[k : k + 200] for k in range(0, len(plain), 200)]

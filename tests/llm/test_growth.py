@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexspark.llm import alignment, parity_join, queries
+from lexspark.llm.chunks import ChunkCache
 
 
 def test_rows_that_stay_are_not_shuffled(spark):
@@ -20,3 +21,10 @@ def test_blocks_of_a_task_are_few(spark):
     files = queries.tokenizer_path(queries.BYTE_BPE), queries.tokenizer_path(queries.PIECES)
     found = alignment.alignment_digests(docs, *files, block_bytes=1)
     assert found.rdd.getNumPartitions() >= 200 / 8 and found.count() == 200
+
+
+def test_full_cache_keeps_what_is_asked_again():
+    computed = []
+    cache = ChunkCache(lambda words: [computed.append(w) or w.upper() for w in words], limit=2)
+    assert [cache.values(words) for words in (["a", "b", "c"], ["a", "d"], ["a", "b", "d"])] == [["A", "B", "C"], ["A", "D"], ["A", "B", "D"]]
+    assert computed == ["a", "b", "c", "d", "b"] and sorted(cache.known) == ["a", "b", "d"]
