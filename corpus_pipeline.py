@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lexspark.llm import line_dedup, packing, parity_join, quality
 from lexspark.llm.queries import BYTE_BPE, tokenizer_path
-from lexspark.llm.shared import stored
+from lexspark.llm.shared import discard, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,6 +56,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        read, docs = docs, stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if k:
+            discard(read)
     return STAGES[-1][1](spark, docs, sf_dir)

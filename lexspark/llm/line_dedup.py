@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexspark.llm.shared import forget_others, record_batch, slices, stored, texts_of
+from lexspark.llm.shared import forget_others, record_batch, slices, split_by_keys, stored, texts_of
 from lexspark.llm.shingles import mix
 
 _STRETCHES = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.list_(pa.int32())), ("end", pa.list_(pa.int32())), ("prints", pa.list_(pa.int64()))])
@@ -116,12 +116,14 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """``docs`` (with doc_id and text) with repeated passages deleted from text, and the columns n_lines,
     n_deleted_lines and n_deleted_words added (in place of any so named)."""
     slim = docs.select(docs.doc_id.cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    runs = repeated_runs(slim, min_words)
+    runs = stored(repeated_runs(slim, min_words), "repeated-runs")
     # The row as a whole lies in a struct, so that no added name can clash with its columns.
     rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th")).alias("key"), F.struct("*").alias("row"))
     runs = runs.select(F.struct("doc_id", "th").alias("of"), "runs")
-    on = rows.key.doc_id.eqNullSafe(runs.of.doc_id) & (rows.key.th == runs.of.th)
-    joined = rows.join(runs, on, "left").select("row", "runs")
+    # Only texts that may hold a repeat are shuffled.
+    perhaps, untouched = split_by_keys(rows, [F.col("key.doc_id"), F.col("key.th")], runs.select("of.doc_id", "of.th"))
+    on = perhaps.key.doc_id.eqNullSafe(runs.of.doc_id) & (perhaps.key.th == runs.of.th)
+    joined = perhaps.join(runs, on, "left").select("row", "runs").union(untouched.select("row", F.lit(None).cast("array<int>").alias("runs")))
     names = [n for n in docs.columns if n not in ("n_lines", "n_deleted_lines", "n_deleted_words")]
     added = [("n_lines", pa.int64()), ("n_deleted_lines", pa.int64()), ("n_deleted_words", pa.int64())]
 

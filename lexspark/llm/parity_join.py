@@ -16,7 +16,8 @@ each, then verified on their exact sets.
 Documents with equal sets form one class and are joined once. A group that shares a block isn't expanded into pairs:
 its members are first verified against the member that shares most blocks with others. A group that then lies in one
 component needs no more. Of the others, small ones are expanded into pairs across components, and large ones compared in
-chunks, so that no link that connects components is lost.
+chunks, so that no link that connects components is lost. Groups meet with their sketches alone: texts that merely share a
+passage connect most large groups with each other, and exact sets are made only of what the sketches leave.
 
 Defined cases: null or empty texts, and texts without words, have no shingles and link with nothing; a text with fewer
 words than a shingle is one shingle; repeated rows and copies get the same component; the component of documents is its
@@ -33,12 +34,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.llm.components import components
-from lexspark.llm.shared import record_batch, slices, stored, texts_of
+from lexspark.llm.shared import discard, record_batch, slices, split_by_keys, stored, texts_of
 from lexspark.llm.shingles import mix, shingle_sets
 
 BLOCK_BITS = 16
 #: Open groups of at most FEW members are expanded into pairs, larger ones compared in chunks of about CHUNK members.
 FEW, CHUNK = 8, 256
+#: Sketches that are compared group by group in one call, about.
+BATCH = 4096
 _SIGNATURE = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("cid", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 _SET = pa.schema([("cid", pa.int64()), ("members", pa.binary())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -116,20 +119,32 @@ def exact_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         for b in slices(batches):
             yield record_batch({"cid": b.column("cid"), "members": [m.tobytes() for m in shingle_sets(texts_of(b), words)]}, _SET)
 
-    one = docs.join(wanted, [docs.doc_id.eqNullSafe(wanted.w_doc_id), docs.th == wanted.w_th]).select("cid", "text")
+    perhaps, _ = split_by_keys(docs, ["doc_id", "th"], wanted.select("w_doc_id", "w_th"))
+    one = perhaps.join(wanted, [perhaps.doc_id.eqNullSafe(wanted.w_doc_id), perhaps.th == wanted.w_th]).select("cid", "text")
     return one.mapInArrow(members_of, "cid long, members binary")
 
 
-def linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets have the wanted similarity."""
+def sets_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(cid, members) of the classes in ``pairs`` (a, b), one row each."""
+    named = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    wanted = stored(classes.join(named, "cid", "left_semi").select("cid", F.col("doc_id").alias("w_doc_id"), F.col("th").alias("w_th")), "wanted-sets")
+    return stored(exact_sets(docs, wanted, words).dropDuplicates(["cid"]), "sets")
+
+
+def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that by their sizes and sketches may have the wanted similarity."""
     side = lambda x: classes.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     both_widths = "least(size(s_a), size(s_b))"
     folded = lambda x: F.expr(f"if(size({x}) = {both_widths}, {x}, transform(sequence(0, {both_widths} - 1), i -> aggregate(sequence(i, size({x}) - 1, {both_widths}), 0L, (acc, j) -> acc ^ {x}[j])))")
     apart = F.aggregate(F.zip_with(folded("s_a"), folded("s_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    near = (pairs.join(side("a"), "a").join(side("b"), "b")
+    return (pairs.join(side("a"), "a").join(side("b"), "b")
             .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
             .where(apart <= F.expr(f"(n_a + n_b) * {100 - percent} div {100 + percent}")).select("a", "b"))
 
+
+def linked(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets have the wanted similarity."""
+
     def verify(batches):
         for b in batches:
             ok = []
@@ -144,16 +159,78 @@ def linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
     return near.join(of("a"), "a").join(of("b"), "b").mapInArrow(verify, "a long, b long")
 
 
-def links_in_clusters(groups: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect what is linked within large groups (columns cid, leader, root).
+def close_rows(n: np.ndarray, sketches, percent: int):
+    """(i, those of the rows after i that by sizes and sketches may be linked with it); rows are ordered by their sizes ``n``."""
+    wide = [np.asarray(x, np.int64).view(np.uint64) for x in sketches]  # widths of sketches grow with n
+    width = 0
+    for i in range(len(n) - 1):
+        if len(wide[i]) != width:  # from here on all are at least as wide
+            width, base = len(wide[i]), i
+            sketch = np.array([np.bitwise_xor.reduce(x.reshape(-1, width)) for x in wide[i:]])
+        rest = slice(i + 1, int(np.searchsorted(n, 100 * n[i] // percent, "right")))
+        total = n[i] + n[rest]
+        apart = np.bitwise_count(sketch[i - base] ^ sketch[rest.start - base : rest.stop - base]).sum(axis=1)
+        passed = (apart <= total * (100 - percent) // (100 + percent)) & (100 * np.minimum(n[i], n[rest]) >= percent * np.maximum(n[i], n[rest]))
+        yield i, np.flatnonzero(passed) + i + 1
+
+
+class Forest:
+    """Trees over labels that grow together."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        above = self.above
+        while x in above:
+            above[x] = x = above.get(above[x], above[x])
+        return x
+
+
+def alike_in_groups(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that connect what may be linked across components within large groups (columns key, cid, members, root).
+
+    The members of a group are dealt into chunks of about ``CHUNK``; two chunks meet with their sketches alone, and of the
+    pairs that pass only a spanning forest is returned. Many such meetings share a batch.
+    """
+    chunks = F.ceil(F.col("members") / CHUNK).cast("int")
+    dealt = (groups.select("key", "cid", "root", chunks.alias("chunks")).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+             .withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")}))
+    n_sketches = groups.select(F.sum(chunks)).first()[0] or 0
+    batch = F.pmod(F.xxhash64("key", "low", "high"), F.lit(max(1, n_sketches // BATCH)))
+    meeting = dealt.withColumn("batch", batch).join(classes.select("cid", "n_shingles", "sketch"), "cid")
+
+    def forests(rows):
+        found = []
+        rows = rows.sort_values(["key", "low", "high", "n_shingles"])
+        key, low, high, n, root, chunk, cid, sketch = (rows[c].to_numpy() for c in ("key", "low", "high", "n_shingles", "root", "chunk", "cid", "sketch"))
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+        for at, end in zip(starts, [*starts[1:], len(key)]):
+            trees, across = Forest(), low[at] != high[at]  # pairs within a chunk have a meeting of their own
+            for i, close in close_rows(n[at:end], sketch[at:end], percent):
+                close = close + at
+                close = close[(root[close] != root[at + i]) & ((chunk[close] != chunk[at + i]) | (not across))]
+                for j in close.tolist():
+                    x, y = trees.top(int(cid[at + i])), trees.top(int(cid[j]))
+                    if x != y:
+                        trees.above[x] = y
+                        found.append((cid[at + i], cid[j]))
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return meeting.groupBy("batch").applyInPandas(forests, "a long, b long")
 
-    Groups that overlap form a cluster, so that a pair is looked at once however many blocks it shares. The members are
+
+def links_in_clusters(near: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what is linked within the clusters that the pairs ``near`` connect; ``roots`` (cid, root)
+    has the components so far.
+
+    In a cluster a pair is looked at once however many blocks it shares. The members are
     dealt into chunks of about ``CHUNK``; a task gets two chunks, compares their sketches in a block, verifies
     what passes on the exact sets and returns the links of a spanning forest.
     """
-    nodes = groups.select("cid", "leader", "root").distinct()
-    cluster = components(nodes.select(F.col("cid").alias("a"), F.col("leader").alias("b"))).select(F.col("node").alias("cid"), F.col("root").alias("cluster"))
-    members = nodes.groupBy("cid").agg(F.min("root").alias("root")).join(cluster, "cid")
+    cluster = components(near).select(F.col("node").alias("cid"), F.col("root").alias("cluster"))
+    members = cluster.join(roots, "cid")
     chunks = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     dealt = (members.join(chunks, "cluster").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
              .join(classes.select("cid", "n_shingles", "sketch"), "cid").join(sets, "cid")
@@ -161,38 +238,22 @@ def links_in_clusters(groups: DataFrame, classes: DataFrame, sets: DataFrame, pe
              .withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")}))
 
     def forest(rows):
-        rows = rows.sort_values("n_shingles")  # widths of sketches grow with it
+        rows = rows.sort_values("n_shingles")
         n = rows["n_shingles"].to_numpy()
-        wide = [np.asarray(x, np.int64).view(np.uint64) for x in rows["sketch"]]
         exact = [np.frombuffer(m, np.uint64) for m in rows["members"]]
         chunk, cid = rows["chunk"].to_numpy(), rows["cid"].to_numpy()
-        above: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while x in above:
-                above[x] = x = above.get(above[x], above[x])
-            return x
-
-        found = []
+        trees, found = Forest(), []
         roots = rows["root"].tolist()
         one_chunk = rows["low"].iloc[0] == rows["high"].iloc[0]
-        width = 0
-        for i in range(len(n) - 1):
-            if len(wide[i]) != width:  # from here on all are at least as wide
-                width, base = len(wide[i]), i
-                sketch = np.array([np.bitwise_xor.reduce(x.reshape(-1, width)) for x in wide[i:]])
-            rest = slice(i + 1, int(np.searchsorted(n, 100 * n[i] // percent, "right")))
-            total = n[i] + n[rest]
-            apart = np.bitwise_count(sketch[i - base] ^ sketch[rest.start - base : rest.stop - base]).sum(axis=1)
-            passed = (apart <= total * (100 - percent) // (100 + percent)) & (100 * np.minimum(n[i], n[rest]) >= percent * np.maximum(n[i], n[rest]))
+        for i, close in close_rows(n, rows["sketch"], percent):
             if not one_chunk:
-                passed &= chunk[rest] != chunk[i]  # pairs within a chunk have a task of their own
-            for j in (np.flatnonzero(passed) + i + 1).tolist():
-                x, y = top(roots[i]), top(roots[j])
+                close = close[chunk[close] != chunk[i]]  # pairs within a chunk have a task of their own
+            for j in close.tolist():
+                x, y = trees.top(roots[i]), trees.top(roots[j])
                 if x != y:
                     both = len(np.intersect1d(exact[i], exact[j], assume_unique=True))
                     if 100 * both >= percent * (n[i] + n[j] - both):
-                        above[x] = y
+                        trees.above[x] = y
                         found.append((cid[i], cid[j]))
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
@@ -215,24 +276,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     leaders = groups.groupBy("key").agg(F.max_by("cid", F.struct("fame", "cid")).alias("leader"), F.count(F.lit(1)).alias("members"))
     led = stored(groups.join(leaders, "key").select("key", "cid", "leader", "members"), "led-groups")
     classes = stored(keyed.join(fame.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.min_by(F.struct("doc_id", "th", "n_shingles", "sketch"), F.struct("doc_id", "th")).alias("r")).select("cid", "r.*"), "classes")
-    sets = stored(exact_sets(docs, classes.select("cid", F.col("doc_id").alias("w_doc_id"), F.col("th").alias("w_th")), words).dropDuplicates(["cid"]), "sets")
+    rows = stored(signed.select("doc_id", "th", "n_shingles", "cid"), "signed-rows")
+    discard(signed, shared)
 
-    first = stored(linked(led.where("cid <> leader").select(F.col("cid").alias("a"), F.col("leader").alias("b")).distinct(), classes, sets, percent), "links")
+    # Exact sets are larger than texts: only those of classes that their sketches leave in a pair are made.
+    near = stored(alike(led.where("cid <> leader").select(F.col("cid").alias("a"), F.col("leader").alias("b")).distinct(), classes, percent), "near-pairs")
+    sets = sets_of(near, classes, docs, words)
+    first = stored(linked(near, sets, percent), "links")
     roots = components(first).withColumnRenamed("node", "cid")
     rooted = stored(led.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "rooted-groups")
+    discard(led, sets)
     # Only groups that still hold several components need more pairs.
     mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
     open_groups = stored(rooted.join(mixed, "key"), "open-groups")
     few, many = open_groups.where(F.col("members") <= FEW), open_groups.where(F.col("members") > FEW)
     side = lambda x: few.select("key", F.col("cid").alias(x), F.col("root").alias(f"root_{x}"))
     across = side("a").join(side("b"), "key").where("root_a <> root_b and a < b").select("a", "b").distinct()
-    links = stored(first.union(linked(across, classes, sets, percent)).union(links_in_clusters(many, classes, sets, percent)), "links")
-
-    firsts = signed.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first"))
+    near_in_few = stored(alike(across, classes, percent), "near-pairs")
+    near_in_many = stored(alike_in_groups(many, classes, percent).distinct(), "near-pairs")
+    sets = sets_of(near_in_few.union(near_in_many), classes, docs, words)
+    roots = rooted.select("cid", "root").distinct()
+    links = stored(first.union(linked(near_in_few, sets, percent)).union(links_in_clusters(near_in_many, roots, classes, sets, percent)), "links")
+    discard(rooted, open_groups, classes, sets)
+
+    firsts = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first"))
     named = components(links).withColumnRenamed("node", "cid").join(firsts, "cid")
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     found = firsts.join(named.join(smallest, "root").select("cid", "component_id"), "cid", "left").select("cid", F.coalesce("component_id", "first").alias("component_id"))
-    rows = signed.select("doc_id", "th", "n_shingles", "cid")
     with_words = rows.where("cid is not null").join(found, "cid", "left").select("doc_id", "th", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return with_words.union(rows.where("cid is null").select("doc_id", "th", "n_shingles", F.col("doc_id").alias("component_id")))
 
@@ -250,7 +320,8 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     # The row as a whole lies in a struct, so that no added name can clash with its columns.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.struct("*").alias("row"))
     empty = F.coalesce(F.regexp_replace("row.text", "[\\x20\\x09-\\x0D]", ""), F.lit("")) == ""
-    same = [rows.doc_id.eqNullSafe(marked.m_doc_id), rows.th == marked.m_th]
-    alone = rows.where(~empty).join(marked, same, "left_anti")
-    repeated = rows.where(~empty).join(marked.where("stays"), same, "left_semi").dropDuplicates(["doc_id", "th"])
-    return alone.select("row.*").unionByName(repeated.select("row.*")).unionByName(rows.where(empty).select("row.*"))
+    perhaps, others = split_by_keys(rows, ["doc_id", "th"], marked.select("m_doc_id", "m_th"))
+    same = [perhaps.doc_id.eqNullSafe(marked.m_doc_id), perhaps.th == marked.m_th]
+    alone = perhaps.where(~empty).join(marked, same, "left_anti")
+    repeated = perhaps.where(~empty).join(marked.where("stays"), same, "left_semi").dropDuplicates(["doc_id", "th"])
+    return alone.select("row.*").unionByName(repeated.select("row.*")).unionByName(others.select("row.*")).unionByName(perhaps.where(empty).select("row.*"))

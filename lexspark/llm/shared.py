@@ -11,6 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: While it is set, Spark deletes a query's shuffles when the query ends.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Most rows of the table of marks that ``split_by_keys`` broadcasts.
+MARKS = 1 << 18
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
@@ -35,14 +41,43 @@ def stored(df: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back.
 
     It cuts the lineage: after an executor is lost only the reading is repeated. Rows of megabytes need few ``rows_a_file``, as
-    a writer keeps what it has of a file, and a reader thousands of rows of one, in memory.
+    a writer keeps what it has of a file, and a reader thousands of rows of one, in memory. The shuffles of the writing go
+    when it ends: else they stay on disk until the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLES_GO) if before is None else spark.conf.set(SHUFFLES_GO, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``stored`` returned; nothing may read them from here on."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for path in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path))
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def split_by_keys(rows: DataFrame, of: list, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose values ``of`` may be a row of ``keys``, and those where they are none for certain.
+
+    ``keys`` becomes a table of at most ``MARKS`` numbers of 64 bits, which is broadcast whatever the number of keys: only
+    the first part needs to meet ``keys`` in a shuffle. With 64 bits a number, few others get into it.
+    """
+    word = lambda *c: F.pmod(F.shiftright(F.xxhash64(*c), 6), F.lit(MARKS))
+    bit = lambda *c: F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(*c).bitwiseAND(F.lit(63)).cast("int"))
+    marks = keys.groupBy(word(*keys.columns).alias("marked_word")).agg(F.bit_or(bit(*keys.columns)).alias("marked_bits"))
+    met = rows.join(F.broadcast(marks), word(*of) == F.col("marked_word"), "left")
+    perhaps = F.coalesce(F.col("marked_bits").bitwiseAND(bit(*of)), F.lit(0)) != 0
+    return met.where(perhaps).select(*rows.columns), met.where(~perhaps).select(*rows.columns)
+
+
 def least_hashes(df: DataFrame, key, bound: int, n: int) -> DataFrame:
     """At most ``bound`` of the ``n`` rows of ``df``: those with the least hashes of ``key``.
 
